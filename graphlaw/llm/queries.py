@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphlaw.llm import omh
 from graphlaw.llm.common import read, text_of
+from graphlaw.llm.decontaminate import mark_leaks
 from graphlaw.llm.mix import mix
 from graphlaw.llm.shard import histogram_sort
 from graphlaw.llm.tokens import count_tokens
@@ -24,6 +26,30 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), keep=["doc_id"]).drop("takes")
 
 
+def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with whether it holds a benchmark item, and which."""
+    marked = mark_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return marked.select("doc_id", (F.size("leaked_items") > 0).alias("contaminated"), F.col("leaked_items").alias("item_ids"))
+
+
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = omh.with_next(read(spark, sf_dir, "documents"), omh.fingerprint)
+    n = F.length("text")
+    third = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "value", "next_value")
+    rows = rows.withColumn("edited_value", omh.fingerprint(F.col("edited")))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        omh.as_text(F.col("value")).alias("fingerprint"),
+        omh.as_text(F.col("edited_value")).alias("edited_fingerprint"),
+        omh.likeness(F.col("value"), F.col("edited_value")).alias("near_edited"),
+        omh.likeness(F.col("value"), F.col("next_value")).alias("near_next"),
+    )
+
+
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     text = text_of(docs)
@@ -33,7 +59,7 @@ def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_mix_sources, op9_histogram_shards)}
+    return {f.__name__: f for f in (op2_spaced_seed_decontamination, op3_token_counts, op4_mix_sources, op7_order_minhash, op9_histogram_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
