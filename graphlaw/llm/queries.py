@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlaw.llm import omh
+from graphlaw.llm import omh, pii, toxicity
 from graphlaw.llm.common import read, text_of
 from graphlaw.llm.decontaminate import mark_leaks
 from graphlaw.llm.mix import mix
@@ -26,12 +26,28 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), keep=["doc_id"]).drop("takes")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_on(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with whether it holds a benchmark item, and which."""
     marked = mark_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return marked.select("doc_id", (F.size("leaked_items") > 0).alias("contaminated"), F.col("leaked_items").alias("item_ids"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.fit_judge(docs))
+    n = {f"n_{k}": F.size(F.array_remove(F.col("base.k"), k)) for k in pii.BASE}
+    n = {name: (F.size("base") - rest).cast("long") for name, rest in n.items()}
+    digest = F.sha2(pii.joined(F.col("base")).cast("binary"), 256)
+    return found.select("doc_id", *[v.alias(k) for k, v in n.items()], digest.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = omh.with_next(read(spark, sf_dir, "documents"), omh.fingerprint)
     n = F.length("text")
@@ -59,7 +75,7 @@ def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_spaced_seed_decontamination, op3_token_counts, op4_mix_sources, op7_order_minhash, op9_histogram_shards)}
+    return {f.__name__: f for f in (op1_toxicity, op2_spaced_seed_decontamination, op3_token_counts, op4_mix_sources, op6_pii, op7_order_minhash, op9_histogram_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
