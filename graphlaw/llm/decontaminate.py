@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlaw.llm.common import text_of
-from graphlaw.llm.omh import let
 
 #: The masks: offsets of the tokens that count.
 MASKS = ((0, 1, 2, 4, 5, 7), (0, 1, 3, 6, 8, 9), (0, 2, 3, 7, 8, 10))
@@ -27,17 +26,19 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(h: Column, masks: list[tuple[int, ...]]) -> Column:
-    """The seeds of all masks at every position, one array after another; null where a mask doesn't fit."""
+def with_seeds(rows: DataFrame, h: str, masks: list[tuple[int, ...]]) -> DataFrame:
+    """A row for every position of the array h and every mask that fits there: the columns of rows, pos and seed.
 
-    def of(mask: tuple[int, ...], number: int) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            last = F.get(h, i + mask[-1])
-            return F.when(last.isNotNull(), F.xxhash64(F.lit(number), x, *[F.get(h, i + o) for o in mask[1:-1]], last))
+    The positions come first, as rows; the seeds are then plain expressions over
+    them, which are compiled together with the join that follows.
+    """
+    at = rows.select("*", F.posexplode_outer(h).alias("pos", "__x"))
 
-        return F.transform(h, one)
+    def one(number: int, mask: tuple[int, ...]) -> Column:
+        fits = F.col("pos") + mask[-1] < F.size(h)
+        return F.when(fits, F.xxhash64(F.lit(number), "__x", *[F.get(h, F.col("pos") + o) for o in mask[1:]]))
 
-    return F.concat(*[of(m, n) for n, m in enumerate(masks)])
+    return at.select(*rows.columns, "pos", F.explode(F.array(*[one(n, m) for n, m in enumerate(masks)])).alias("seed")).where("seed is not null")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", agree: int = AGREE, share: float = SHARE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -51,22 +52,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     span = max(m[-1] for m in MASKS) + 1
     short = sorted(r["n"] for r in items.select(F.size("t").alias("n")).where(F.col("n") < span).distinct().collect())
     masks = [*MASKS, *(tuple(range(n)) for n in short)]
-    tested = items.select("item", "t", F.posexplode(let(F.col("t"), lambda h: seeds(h, masks))).alias("at", "seed")).where("seed is not null")
-    tested = tested.select("seed", "item", "t", (F.col("at") % F.size("t")).alias("item_pos"))
+    tested = with_seeds(items, "t", masks).withColumnRenamed("pos", "item_pos")
 
     t = text_of(docs, text)
     hashed = docs.select(F.xxhash64(t).alias("k1"), F.xxhash64(t, F.lit(1)).alias("k2"), token_hashes(t).alias("h"))
-    need = F.least(F.lit(agree), F.ceil(F.lit(share) * F.size("t")))
-    same = F.size(F.filter(F.transform(F.col("t"), lambda x, j: x == F.get(F.col("h"), F.col("diagonal") + j)), lambda x: x))
-    if tested.count() <= broadcast_seeds:
-        # the tokens stay with the seeds: no document moves for the check of a hit
-        rows = hashed.select("k1", "k2", "h", F.posexplode(seeds(F.col("h"), masks)).alias("at", "seed"))
-        hits = rows.join(F.broadcast(tested), "seed").withColumn("diagonal", F.col("at") % F.size("h") - F.col("item_pos"))
+    diagonal = F.col("pos") - F.col("item_pos")
+    #: The tokens that the item lies along; only these leave the document.
+    part = F.slice("h", F.greatest(diagonal, F.lit(0)) + 1, F.least("n", F.col("n") + diagonal))
+    needles = tested.select("seed", "item", "item_pos", F.size("t").alias("n"))
+    if needles.count() <= broadcast_seeds:
+        hits = with_seeds(hashed, "h", masks).join(F.broadcast(needles), "seed")
     else:
-        rows = hashed.dropDuplicates(["k1", "k2"]).select("k1", "k2", F.size("h").alias("n"), F.posexplode(seeds(F.col("h"), masks)).alias("at", "seed")).where("seed is not null")
-        hits = rows.join(tested.drop("t"), "seed").select("k1", "k2", "item", (F.col("at") % F.col("n") - F.col("item_pos")).alias("diagonal")).distinct()
-        hits = hits.join(hashed.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).join(items, "item")
-    leaks = hits.where(same >= need).select("k1", "k2", "item")
+        rows = with_seeds(hashed.dropDuplicates(["k1", "k2"]), "h", masks).select("k1", "k2", "pos", "seed")
+        hits = rows.join(needles, "seed").select("k1", "k2", "item", "n", diagonal.cast("int").alias("pos"), F.lit(0).alias("item_pos")).distinct()
+        hits = hits.join(hashed.dropDuplicates(["k1", "k2"]), ["k1", "k2"])
+    lines = hits.select("k1", "k2", "item", diagonal.alias("diagonal"), part.alias("part")).groupBy("k1", "k2", "item", "diagonal").agg(F.first("part").alias("part"))
+    need = F.least(F.lit(agree), F.ceil(F.lit(share) * F.size("t")))
+    skip = F.greatest(-F.col("diagonal"), F.lit(0))
+    same = F.size(F.filter(F.transform("part", lambda x, j: x == F.get("t", j + skip)), lambda x: x))
+    leaks = lines.join(items.distinct(), "item").where(same >= need).select("k1", "k2", "item")
     return leaks.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
