@@ -11,6 +11,7 @@ from graphlaw.llm import omh, pii, toxicity
 from graphlaw.llm.common import read, text_of
 from graphlaw.llm.decontaminate import mark_leaks
 from graphlaw.llm.mix import mix
+from graphlaw.llm.neardup import mark_near_duplicates
 from graphlaw.llm.shard import histogram_sort
 from graphlaw.llm.tokens import count_tokens
 
@@ -74,8 +75,12 @@ def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_spaced_seed_decontamination, op3_token_counts, op4_mix_sources, op6_pii, op7_order_minhash, op9_histogram_shards)}
+    return {f.__name__: f for f in (op1_toxicity, op2_spaced_seed_decontamination, op3_token_counts, op4_mix_sources, op6_pii, op7_order_minhash, op9_histogram_shards, op10_dart_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
