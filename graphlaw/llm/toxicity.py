@@ -11,7 +11,6 @@ classifier scores every whole text.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -152,50 +151,72 @@ class ToxicityModel:
         return out
 
 
+def incidence(texts: list[str], least: int = 4) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names of the features that at least so many texts have, and which text (row) has which (column).
+
+    A first pass only counts hashes, so that rare features are never stored.
+    """
+    seen = np.zeros(1 << 22, np.uint16)
+    for t in texts:
+        at = np.fromiter((hash(f) & 0x3FFFFF for f in features_of(t)), np.int64)
+        seen[at] = np.minimum(seen[at], 60_000) + 1
+    ids: dict[str, int] = {}
+    cols = [np.fromiter((ids.setdefault(f, len(ids)) for f in sorted(features_of(t)) if seen[hash(f) & 0x3FFFFF] >= least), np.int32) for t in texts]
+    rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c in cols])
+    flat = np.concatenate(cols) if cols else np.zeros(0, np.int32)
+    kept = np.flatnonzero(np.bincount(flat, minlength=len(ids)) >= least)
+    names = np.array(list(ids), object)[kept]
+    order = np.argsort(names) if len(names) else np.zeros(0, np.int64)
+    to = np.full(len(ids), -1, np.int32)
+    to[kept[order]] = np.arange(len(kept))
+    good = to[flat] >= 0 if len(flat) else np.zeros(0, bool)
+    return names[order].tolist(), rows[good], to[flat[good]]
+
+
 def fit(texts: list[str], labels: list[int | None], prior: float | None = None) -> ToxicityModel:
     """A model from whole texts and their labels (None: unknown); prior: the share of toxic rows where it is known."""
-    feats = [features_of(t) for t in texts]
     y = np.array([-1 if v is None else int(v) for v in labels])
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     prior = min(0.9, max(0.005, prior if prior is not None else 0.1))
-    seen, pos = Counter(f for x in feats for f in x), Counter(f for x, v in zip(feats, y, strict=True) if v == 1 for f in x)
-    neg = Counter(f for x, v in zip(feats, y, strict=True) if v == 0 for f in x)
-    learned = min(n1, n0) >= 20
-    gain = {f: np.log((pos[f] + 0.3) / (n1 + 0.6)) - np.log((neg[f] + 0.3) / (n0 + 0.6)) for f in seen if pos[f] + neg[f] >= 4} if learned else {}
-    by_gain = sorted(gain, key=lambda f: (-gain[f] * pos[f] ** 0.5, f))
-    lexicon = [f for f in by_gain if gain[f] > 1.5][:MAX_VOTERS]
-    clean = [f for f in sorted(gain, key=lambda f: (gain[f] * neg[f] ** 0.5, f)) if gain[f] < -1.0][: MAX_VOTERS // 4]
-    groups = [lexicon[i::8] for i in range(8)]
-    names = [*(f"lexicon:{f}" for f in lexicon), *(f"clean:{f}" for f in clean), *(f"{k}:group{i}" for k in ("any", "two", "none") for i in range(8)), "insult", *PATTERNS]
-
-    def votes_of(x: set[str]) -> list[int]:
-        hits = [sum(f in x for f in g) for g in groups]
-        return [
-            *(int(f in x) for f in lexicon),
-            *(-int(f in x) for f in clean),
-            *(int(h > 0) for h in hits),
-            *(int(h > 1) for h in hits),
-            *(-int(h == 0) for h in hits),
-            1 if "!insult" in x else -1,
-            *(int(f"!{p}" in x) for p in PATTERNS),
-        ]
-
     if not texts:
-        return ToxicityModel({"!insult": 6.0}, -3.0, names)
-    votes = np.array([votes_of(x) for x in feats], np.int8).reshape(len(texts), -1)
+        return ToxicityModel({"!insult": 6.0}, -3.0)
+    names, rows, cols = incidence(texts)
+    m = len(names)
+    seen, pos, neg = (np.bincount(c, minlength=m).astype(float) for c in (cols, cols[y[rows] == 1], cols[y[rows] == 0]))
+    learned = min(n1, n0) >= 20
+    gain = np.log((pos + 0.3) / (n1 + 0.6)) - np.log((neg + 0.3) / (n0 + 0.6)) if learned else np.zeros(m)
+    best = lambda value, ok, most: [int(f) for f in np.argsort(-value, kind="stable") if ok[f]][:most]
+    lexicon = best(gain * pos**0.5, gain > 1.5, MAX_VOTERS)
+    clean = best(-gain * neg**0.5, gain < -1.0, MAX_VOTERS // 4)
+
+    def has(features: list[int]) -> np.ndarray:
+        """How many of the features each text has."""
+        chosen = np.zeros(m, bool)
+        chosen[features] = True
+        return np.bincount(rows[chosen[cols]], minlength=len(texts)) if m else np.zeros(len(texts), int)
+
+    index = {n: i for i, n in enumerate(names)}
+    one = lambda name: has([index[name]] if name in index else [])
+    groups = [has(lexicon[i::8]) for i in range(8)]
+    voters = {f"lexicon:{names[f]}": has([f]) for f in lexicon} | {f"clean:{names[f]}": -has([f]) for f in clean}
+    voters |= {f"any:group{i}": (h > 0) * 1 for i, h in enumerate(groups)} | {f"two:group{i}": (h > 1) * 1 for i, h in enumerate(groups)} | {f"none:group{i}": (h == 0) * -1 for i, h in enumerate(groups)}
+    voters |= {"insult": 2 * one("!insult") - 1} | {p: one(f"!{p}") for p in PATTERNS}
+    votes = np.stack(list(voters.values()), 1).astype(np.int8)
     balanced = n1 / (n1 + n0) if learned else prior
     model = LabelModel(min(0.95, max(0.02, balanced))).fit(votes, y if learned else None)
     q = model.posterior(votes, np.where(y == 1, 2.0, np.where(y == 0, -2.0, 0.0)) if learned else 0.0)
-    names_kept = [f for f, c in sorted(seen.items(), key=lambda kv: (-abs(gain.get(kv[0], 0.0)) * kv[1] ** 0.5, kv[0])) if c >= 4][:MAX_FEATURES]
-    index = {f: i for i, f in enumerate(dict.fromkeys([*names_kept, "!insult", *(f"!{p}" for p in PATTERNS)]))}
-    pairs = [(r, index[f]) for r, x in enumerate(feats) for f in sorted(x) if f in index]
-    rows, cols = (np.array(c, np.int64) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    kept = best(np.abs(gain) * seen**0.5, np.ones(m, bool), MAX_FEATURES)
+    kept = list(dict.fromkeys([*kept, *(index[n] for n in ("!insult", *(f"!{p}" for p in PATTERNS)) if n in index)]))
+    to = np.full(m, -1)
+    to[kept] = np.arange(len(kept))
+    ok = to[cols] >= 0
     # both labels weigh alike, whatever their shares in the sample
     share = float(q.mean())
     weight = np.where(q >= 0.5, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
-    w, b = logistic((rows, cols, len(index)), q, weight)
-    accuracy = {n: float(np.exp(model.rates[1, 2, i]) / (np.exp(model.rates[1, 2, i]) + np.exp(model.rates[0, 2, i]))) for i, n in enumerate(names)}
-    return ToxicityModel({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, b, names, accuracy)
+    w, b = logistic((rows[ok], to[cols[ok]], len(kept)), q, weight)
+    rates = np.exp(model.rates)
+    accuracy = {n: float(rates[1, 2, i] / (rates[1, 2, i] + rates[0, 2, i])) for i, n in enumerate(voters)}
+    return ToxicityModel({names[f]: float(w[i]) for i, f in enumerate(kept) if abs(w[i]) > 1e-3}, b, list(voters), accuracy)
 
 
 def held_out(doc_id: Column) -> Column:
