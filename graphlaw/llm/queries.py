@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from graphlaw.llm import omh, pii, toxicity
 from graphlaw.llm.common import read, text_of
 from graphlaw.llm.decontaminate import mark_leaks
+from graphlaw.llm.fmindex import drop_repeated_words
 from graphlaw.llm.mix import mix
 from graphlaw.llm.neardup import mark_near_duplicates
 from graphlaw.llm.shard import histogram_sort
+from graphlaw.llm.suffixes import drop_earlier_bytes
 from graphlaw.llm.tokens import count_tokens
 
 
@@ -40,6 +42,11 @@ def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return marked.select("doc_id", (F.size("leaked_items") > 0).alias("contaminated"), F.col("leaked_items").alias("item_ids"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_words(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_pii(docs, pii.fit_judge(docs))
@@ -67,6 +74,11 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_earlier_bytes(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     text = text_of(docs)
@@ -80,7 +92,7 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_spaced_seed_decontamination, op3_token_counts, op4_mix_sources, op6_pii, op7_order_minhash, op9_histogram_shards, op10_dart_minhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_spaced_seed_decontamination, op3_token_counts, op4_mix_sources, op5_substring_dedup, op6_pii, op7_order_minhash, op8_suffix_dedup, op9_histogram_shards, op10_dart_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
