@@ -16,7 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlaw.llm.common import n_words, text_of, written
+from graphlaw.llm.common import n_words, text_of, words_of, written
+from graphlaw.llm.omh import let
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Rounds of the permutation.
@@ -102,3 +103,36 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     out = laid.join(taken, "uid", "left")
     none = F.array().cast(taken.schema["takes"].dataType)
     return out.select(*[F.col(k).alias(c) for k, c in zip(named, keep, strict=True)], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("takes", none).alias("takes"))
+
+
+def runs(takes: Column) -> Column:
+    """Takes of one document that follow one another in one pass, joined: array of (pass, begin, end)."""
+    flat = F.sort_array(F.transform(takes, lambda t: F.struct(t["pass"].alias("pass"), t["begin"].alias("begin"), (t["begin"] + t["words"]).alias("end"))))
+
+    def merged(a: Column) -> Column:
+        follows = lambda t, u: (t["pass"] == u["pass"]) & (t["end"] == u["begin"])
+        first = F.filter(a, lambda t, i: (i == 0) | ~F.coalesce(follows(F.get(a, i - 1), t), F.lit(False)))
+        last = F.filter(a, lambda t, i: ~F.coalesce(follows(t, F.get(a, i + 1)), F.lit(False)))
+        return F.zip_with(first, last, lambda x, y: F.struct(x["pass"].alias("pass"), x["begin"].alias("begin"), y["end"].alias("end")))
+
+    return let(flat, merged)
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", n_chars: str = "n_chars", **how) -> DataFrame:
+    """The mix as rows like those of docs: a document taken whole is itself, else each run of its words that a pass takes is a row.
+
+    Such a run has the columns of its document, its words joined by one space as
+    text, and the code points of that as n_chars, if there is such a column. Rows
+    without words are never taken. What mix() says of nulls and repeated rows holds.
+    """
+    keys = [F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)]
+    slim = docs.select(docs[text].alias("text"), docs[source].alias("source"), keys[0].alias("h1"), keys[1].alias("h2"))
+    taken = mix(slim, keep=["h1", "h2"], **how).where("taken > 0").select("h1", "h2", "size", F.explode(runs(F.col("takes"))).alias("run"))
+    taken = taken.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("size").alias("__size"), F.col("run").alias("__run"))
+    rows = docs.withColumns({"__h1": keys[0], "__h2": keys[1]}).dropDuplicates(["__h1", "__h2"]).join(taken, ["__h1", "__h2"])
+    whole = (F.col("__run.begin") == 0) & (F.col("__run.end") == F.col("__size"))
+    piece = F.array_join(F.slice(words_of(text_of(docs, text)), F.col("__run.begin").cast("int") + 1, (F.col("__run.end") - F.col("__run.begin")).cast("int")), " ")
+    rows = rows.withColumn(text, F.when(whole, F.col(text)).otherwise(piece))
+    if n_chars in docs.columns:
+        rows = rows.withColumn(n_chars, F.when(whole, F.col(n_chars)).otherwise(F.length(text)).cast(docs.schema[n_chars].dataType))
+    return rows.select(*docs.columns)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bits of the key that each round of probes resolves: at most 2**10 counts a splitter reach the driver.
 STEP = 10
+#: Cells whose counts are broadcast at most; a larger table is joined by its key.
+BROADCAST_CELLS = 50_000
 
 
 def _probe(df: DataFrame, key: str, goals: list[float], slack: float) -> list[tuple[int, int, float, float]]:
@@ -95,10 +97,12 @@ def histogram_sort(df: DataFrame, size: Column, key: list[Column], tie: list[Col
     placed = base.withColumns({"shard": shard, "__bucket": bucket})
     # buckets that equal keys overfill are cut by the tie
     cuts = placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / rows_per_task).alias("__cuts"))
+    # one row a cell, so their number is known beforehand
+    small = F.broadcast if n_shards * 2**bits + 2 * n / rows_per_task <= BROADCAST_CELLS else (lambda df: df)
     sub = F.floor((F.shiftright(F.col("__tie"), 40) + (1 << 23)) * F.col("__cuts") / (1 << 24)).cast("long")
-    cut = placed.join(cuts, cell).withColumn("__sub", sub).drop("__cuts")
+    cut = placed.join(small(cuts), cell).withColumn("__sub", sub).drop("__cuts")
     ahead = Window.partitionBy("shard").orderBy("__bucket", "__sub")
     offsets = cut.groupBy(*cell, "__sub").count().withColumn("__from", F.sum("count").over(ahead) - F.col("count")).drop("count")
     own = Window.partitionBy(*cell, "__sub").orderBy("__key", "__tie")
-    out = cut.withColumn("__nth", F.row_number().over(own)).join(offsets, [*cell, "__sub"])
+    out = cut.withColumn("__nth", F.row_number().over(own)).join(small(offsets), [*cell, "__sub"])
     return out.withColumn("slot", (F.col("__from") + F.col("__nth") - 1).cast("long")).select(*[c for c in df.columns if c not in ("shard", "slot")], "shard", "slot")

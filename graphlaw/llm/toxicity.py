@@ -183,7 +183,7 @@ def fit(texts: list[str], labels: list[int | None], prior: float | None = None)
     names, rows, cols = incidence(texts)
     m = len(names)
     seen, pos, neg = (np.bincount(c, minlength=m).astype(float) for c in (cols, cols[y[rows] == 1], cols[y[rows] == 0]))
-    learned = min(n1, n0) >= 20
+    learned = min(n1, n0) >= 5
     gain = np.log((pos + 0.3) / (n1 + 0.6)) - np.log((neg + 0.3) / (n0 + 0.6)) if learned else np.zeros(m)
     best = lambda value, ok, most: [int(f) for f in np.argsort(-value, kind="stable") if ok[f]][:most]
     lexicon = best(gain * pos**0.5, gain > 1.5, MAX_VOTERS)

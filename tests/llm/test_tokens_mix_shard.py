@@ -101,9 +101,9 @@ def test_op4_awkward(spark):
 def check_shards(rows, n=8, size="size"):
     slots, bytes_ = defaultdict(list), Counter()
     for r in rows:
-        slots[r.shard].append(r.slot)
-        bytes_[r.shard] += r[size]
-        assert 0 <= r.shard < n
+        slots[r["shard"]].append(r["slot"])
+        bytes_[r["shard"]] += r[size]
+        assert 0 <= r["shard"] < n
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     return [bytes_[i] for i in range(n)]
 
