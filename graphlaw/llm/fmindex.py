@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphlaw.llm.arrays import U
-from graphlaw.llm.repeats import LAST_KEY, Units, covered, find
+from graphlaw.llm.repeats import LAST_KEY, Units, covered, find, texts_with_ranges
 
-WINDOW, ANCHOR, SHARD_WORDS = 35, 12, 400_000
+WINDOW, ANCHOR, SHARD_WORDS = 35, 12, 250_000
 
 
 class Bits:
@@ -125,23 +125,31 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW, text: str = "text
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for t, ranges in zip(batch.column("t").cast(pa.binary()).to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                words = t.split()
-                spans = covered(len(words), ranges, window) if ranges else []
-                kept, last = [], 0
-                for s, e in spans:
-                    kept += words[last:s]
-                    last = e
-                rows.append((len(words), sum(e - s for s, e in spans), [{"s": s, "e": e} for s, e in spans], b" ".join(kept + words[last:]).decode()))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], kind), pa.array(cols[3], pa.string())], names=["d", "n_words", "n_removed", "spans", "kept"])
+            for a, b, texts, ranges in texts_with_ranges(batch):
+                n_words, removed, runs, out = [], [], [], []
+                for t, r in zip(texts, ranges, strict=True):
+                    words = t.split()
+                    spans = covered(len(words), r, window) if r else []
+                    kept, last = [], 0
+                    for s, e in spans:
+                        kept += words[last:s]
+                        last = e
+                    n_words.append(len(words))
+                    removed.append(sum(e - s for s, e in spans))
+                    runs.append(spans)
+                    out.append(b" ".join(kept + words[last:]).decode())
+                yield pa.RecordBatch.from_arrays([batch.column("d").slice(a, b - a), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), spans_array(runs), pa.array(out, pa.string())], names=["d", "n_words", "n_removed", "spans", "kept"])
 
     out = dealt.join(flags, ["d", "frag"], "left").select("d", "t", "ranges").mapInArrow(finish, "d long, n_words long, n_removed long, spans array<struct<s:long,e:long>>, kept string")
     return _named(out, docs, key)
 
 
+def spans_array(runs: list[list[tuple[int, int]]]) -> pa.Array:
+    flat = [x for r in runs for x in r]
+    ends = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.int64()), pa.array([e for _, e in flat], pa.int64())], names=["s", "e"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r) for r in runs])], pa.int32()), ends)
+
+
 def _named(out: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     from pyspark.sql import functions as F
 

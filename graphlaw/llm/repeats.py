@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from graphlaw.llm.arrays import LETTERS, M2, Powers, Texts, U, Words, mixed, sli
 from graphlaw.llm.common import text_of, written
 
 #: Text worked on at a time, bits of a position there, windows of one text at a time.
-BLOCK, POSITION, CHUNK = 1 << 20, 24, 1 << 22
+BLOCK, POSITION, CHUNK = 1 << 16, 24, 1 << 22
 #: Bits of the hash of a text that tell texts of one id apart.
 FRAGMENT = 25
 #: Different segments of an anchor that a shard takes; beyond, windows are compared by hash.
@@ -171,18 +172,22 @@ def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict
 
         def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                column, ds = batch.column("t"), batch.column("d").to_pylist()
-                for i, xs in enumerate(batch.column("xs").to_pylist()):
-                    codes, _ = units.of(column, i, i + 1) if units.by_words else (Texts(column, i, i + 1).data, None)
-                    raw = codes.tobytes()
-                    size = codes.itemsize
-                    rows = []
-                    for x in xs:
-                        at, n = x["place"] >> 32, x["place"] >> FRAGMENT & 127
-                        rows.append((x["a"], x["s"], x["c"], ds[i], x["place"], raw[at * size : (at + n + window - 1) * size]))
-                    if rows:
-                        cols = list(zip(*rows, strict=True))
-                        yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in cols[:5]), pa.array(cols[5], pa.binary())], names=["a", "s", "c", "d", "place", "content"])
+                column, lists = batch.column("t"), batch.column("xs")
+                for i, j in slices(column, 4 * BLOCK):
+                    texts, xs = Texts(column, i, j), lists.slice(i, j - i)
+                    if units.by_words:
+                        words = Words(texts)
+                        codes, edges = words.hash, words.first
+                    else:
+                        codes, edges = texts.data, texts.edges
+                    x = xs.flatten()
+                    owner = np.repeat(np.arange(j - i), np.diff(xs.offsets.to_numpy()))
+                    place = x.field("place").to_numpy()
+                    begin = edges[owner] + (place >> 32)
+                    end = begin + (place >> FRAGMENT & 127) + window - 1
+                    content = [codes[s:e].tobytes() for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
+                    d = pa.array(batch.column("d").to_numpy()[i + owner])
+                    yield pa.RecordBatch.from_arrays([*(x.field(c) for c in ("a", "s", "c")), d, x.field("place"), pa.array(content, pa.binary())], names=["a", "s", "c", "d", "place", "content"])
 
         return dealt.join(asked, ["d", "frag"]).select("d", "t", "xs").mapInArrow(take, "a long, s long, c long, d long, place long, content binary")
 
@@ -246,13 +251,24 @@ def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict
     return dealt, found.groupBy("d", "frag").agg(F.collect_list(F.struct("s", "n")).alias("ranges"))
 
 
-def covered(size: int, ranges: list, window: int) -> list[tuple[int, int]]:
-    """The maximal runs of units that repeated windows cover."""
+def covered(size: int, ranges: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+    """The maximal runs of units that repeated windows cover; ranges: (first window, number of windows)."""
     out: list[tuple[int, int]] = []
-    for s, n in sorted((r["s"], r["n"]) for r in ranges or ()):
+    for s, n in sorted(ranges):
         e = min(size, s + n + window - 1)
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], e))
         else:
             out.append((s, e))
     return out
+
+
+def texts_with_ranges(batch: pa.RecordBatch, rows: int = 64) -> Iterator[tuple[int, int, list[bytes], list[list[tuple[int, int]]]]]:
+    """Some rows at a time: (first, last, texts, ranges of each)."""
+    for a in range(0, batch.num_rows, rows):
+        b = min(a + rows, batch.num_rows)
+        lists = batch.column("ranges").slice(a, b - a)
+        at = np.r_[0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy())].tolist()
+        flat = lists.flatten()
+        pairs = list(zip(flat.field("s").to_pylist(), flat.field("n").to_pylist(), strict=True))
+        yield a, b, batch.column("t").slice(a, b - a).cast(pa.binary()).to_pylist(), [pairs[x:y] for x, y in zip(at, at[1:])]

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphlaw.llm.arrays import LETTERS, U, mixed
-from graphlaw.llm.fmindex import _named
-from graphlaw.llm.repeats import Units, covered, find, stretch, sums_of
+from graphlaw.llm.fmindex import _named, spans_array
+from graphlaw.llm.repeats import Units, covered, find, stretch, sums_of, texts_with_ranges
 
-WINDOW, ANCHOR, BLOCK, SHARD_BYTES = 100, 32, 20, 4 << 20
+WINDOW, ANCHOR, BLOCK, SHARD_BYTES = 100, 32, 20, 2 << 20
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -172,17 +172,18 @@ def drop_earlier_bytes(docs: DataFrame, window: int = WINDOW, text: str = "text"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for t, ranges in zip(batch.column("t").cast(pa.binary()).to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                spans = covered(len(t), ranges, window) if ranges else []
-                kept, last = [], 0
-                for s, e in spans:
-                    kept.append(t[last:s])
-                    last = e
-                rows.append((len(t), sum(e - s for s, e in spans), [{"s": s, "e": e} for s, e in spans], b"".join([*kept, t[last:]])))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], kind), pa.array(cols[3], pa.binary())], names=["d", "n_bytes", "n_removed", "spans", "kept"])
+            for a, b, texts, ranges in texts_with_ranges(batch):
+                removed, runs, out = [], [], []
+                for t, r in zip(texts, ranges, strict=True):
+                    spans = covered(len(t), r, window) if r else []
+                    kept, last = [], 0
+                    for s, e in spans:
+                        kept.append(t[last:s])
+                        last = e
+                    removed.append(sum(e - s for s, e in spans))
+                    runs.append(spans)
+                    out.append(b"".join([*kept, t[last:]]))
+                yield pa.RecordBatch.from_arrays([batch.column("d").slice(a, b - a), pa.array(map(len, texts), pa.int64()), pa.array(removed, pa.int64()), spans_array(runs), pa.array(out, pa.binary())], names=["d", "n_bytes", "n_removed", "spans", "kept"])
 
     out = dealt.join(flags, ["d", "frag"], "left").select("d", "t", "ranges").mapInArrow(finish, "d long, n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary")
     return _named(out, docs, key)

@@ -146,4 +146,4 @@ def test_awkward(spark):
 
 
 def test_counter_of_ranges():
-    assert repeats.covered(50, [{"s": 0, "n": 2}, {"s": 30, "n": 1}, {"s": 5, "n": 1}], 10) == [(0, 15), (30, 40)]
+    assert repeats.covered(50, [(0, 2), (30, 1), (5, 1)], 10) == [(0, 15), (30, 40)]
