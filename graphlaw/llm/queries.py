@@ -13,6 +13,7 @@ from graphlaw.llm.decontaminate import mark_leaks
 from graphlaw.llm.fmindex import drop_repeated_words
 from graphlaw.llm.mix import mix
 from graphlaw.llm.neardup import mark_near_duplicates
+from graphlaw.llm.oracles import SQL
 from graphlaw.llm.shard import histogram_sort
 from graphlaw.llm.suffixes import drop_earlier_bytes
 from graphlaw.llm.tokens import count_tokens
@@ -96,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
