@@ -9,9 +9,10 @@ almost surely fills all coordinates are thrown, so a signature costs about
 (coordinates * log coordinates) darts whatever the size of the set.
 
 Bands of the signature are joined. Within a bucket only a pivot is compared with
-the others at first; what then still lies in other classes is compared on, so no
-link between different texts is lost, while texts that are in one class already
-aren't compared again.
+the others, the one that meets most others anywhere. Where classes then still
+share a bucket, its nodes meet once more by elements that similar sets must have
+in common, so no link between different texts is lost, while the pairs of a group
+are never listed.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 from graphlaw.llm.arrays import Texts, U, Words, mixed, shingles, slices
 from graphlaw.llm.common import text_of, written
 
-WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 28, 5
-#: Bytes of text that are worked on at a time.
-BLOCK = 2 << 20
+#: Coordinates of a signature; a band takes ROWS of them, and each is in DEALS bands. A pair of similarity
+#: 0.8 misses all bands in less than one of ten thousand cases, one of 0.3 meets in one of a hundred.
+WORDS, SIMILARITY, COORDINATES, ROWS, DEALS = 5, 0.8, 140, 7, 3
+#: Bytes of text that are worked on at a time; elements that count as common at most.
+BLOCK, COMMON = 2 << 20, 10_000
 
 
 def dart_signatures(element: np.ndarray, weight: np.ndarray | None, owner: np.ndarray, n: int, coordinates: int, seed: int = 1) -> np.ndarray:
@@ -74,11 +77,15 @@ def dart_signatures(element: np.ndarray, weight: np.ndarray | None, owner: np.nd
     return out.reshape(n, coordinates)
 
 
-def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    low = (signatures & U(0xFFFFFFFF)).reshape(len(signatures), bands, rows)
-    key = np.arange(bands, dtype=np.uint64)[None, :].repeat(len(low), 0)
+def band_keys(signatures: np.ndarray, rows: int, deals: int) -> np.ndarray:
+    """Hashes of the bands: deals times, the coordinates are shuffled (always alike) and cut into bands of rows."""
+    n, coordinates = signatures.shape
+    rng = np.random.default_rng(17)
+    picks = np.concatenate([rng.permutation(coordinates)[: coordinates // rows * rows].reshape(-1, rows) for _ in range(deals)])
+    low = signatures & U(0xFFFFFFFF)
+    key = np.arange(len(picks), dtype=np.uint64)[None, :].repeat(n, 0)
     for r in range(rows):
-        key = mixed(key * U(0x9E3779B97F4A7C15) + low[:, :, r] + U(1))
+        key = mixed(key * U(0x9E3779B97F4A7C15) + low[:, picks[:, r]] + U(1))
     return key
 
 
@@ -90,7 +97,7 @@ def counted(element: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     return e[new], np.diff(np.r_[new, len(e)]).astype(np.float64), d[new]
 
 
-def _signed(docs: DataFrame, k: int, bands: int, rows: int, weighted: bool) -> DataFrame:
+def _signed(docs: DataFrame, k: int, coordinates: int, rows: int, deals: int, weighted: bool) -> DataFrame:
     """docs (k1, k2, id, t) -> (k1, k2, id, bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +109,9 @@ def _signed(docs: DataFrame, k: int, bands: int, rows: int, weighted: bool) -> D
                 if weighted:
                     element, weight, owner = counted(element, owner)
                 n = b - a
-                keys = band_keys(dart_signatures(element, weight, owner, n, bands * rows), bands, rows).view(np.int64)
+                keys = band_keys(dart_signatures(element, weight, owner, n, coordinates), rows, deals).view(np.int64)
                 some = np.bincount(owner, minlength=n) > 0
-                offsets = np.r_[0, np.cumsum(some * bands)].astype(np.int32)
+                offsets = np.r_[0, np.cumsum(some * keys.shape[1])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))
                 part = batch.slice(a, n)
                 yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), part.column("id"), lists], names=["k1", "k2", "id", "bands"])
@@ -140,6 +147,68 @@ def _alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float, weight
     return pairs.join(t, "a").join(u, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _meeting(nodes: DataFrame, texts: DataFrame, labels: DataFrame, k: int, similarity: float, weighted: bool) -> DataFrame:
+    """All pairs (a, b) of the nodes that can be similar enough and lie in different classes.
+
+    Similar sets share an element of their first ones, in any order common to all:
+    as many as may be missing, and one more. Here the elements that fewest nodes have
+    come first, so edited copies of one text meet by what their edits have in
+    common and not by the text itself. Elements that no other node has bound what a
+    node can share at all: with a partner of nearly its size it may lack less than with a
+    smaller one, so nodes meet by size as well.
+    """
+    wanted = texts.join(nodes, "uid", "left_semi")
+
+    def elements(batches: Iterator[pa.RecordBatch], pick: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, uid = batch.column("t"), batch.column("uid").to_numpy()
+            for a, b in slices(column, BLOCK):
+                e, c, d = counted(*shingles(Words(Texts(column, a, b)), k))
+                w = c if weighted else np.ones(len(e))
+                e = e.view(np.int64)
+                late, whole = np.zeros(len(e), bool), np.bincount(d, w, b - a)[d]
+                if pick is not None:
+                    late = np.isin(e, pick)
+                    order = np.lexsort((e, late, d))
+                    e, w, d, late = e[order], w[order], d[order], late[order]
+                    begin = np.r_[0, np.cumsum(w)][:-1]
+                    before = begin - begin[np.searchsorted(d, d)]
+                    keep = ~late | (before <= whole * (1 - similarity) + 1e-9)
+                    e, w, d, late, whole = e[keep], w[keep], d[keep], late[keep], whole[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(uid[a + d]), pa.array(w), pa.array(late), pa.array(whole)], names=["e", "uid", "w", "late", "whole"])
+
+    kind = "e long, uid long, w double, late boolean, whole double"
+    parts = wanted.mapInArrow(lambda x: elements(x, None), kind)
+    counts = written(parts.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("uid"), F.min("w").alias("w")), "elements")
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    # by this bound at most COMMON elements
+    common = np.array([r["e"] for r in counts.where(F.col("c") > max(2, total / COMMON)).select("e").collect()], np.int64)
+    alone = counts.where("c = 1").groupBy("uid").agg(F.sum("w").alias("alone"))
+    size = parts.groupBy("uid").agg(F.max("whole").alias("n"))
+    share = similarity / (1 + similarity)  # of both sizes together, that the common part must reach
+    nodes = size.join(alone, "uid", "left").select("uid", "n", F.coalesce("alone", F.lit(0.0)).alias("u"))
+    hopeful = written(nodes.where(F.col("u") <= F.col("n") * (1 - similarity) + 1e-9), "hopeful")
+    rows = wanted.join(hopeful, "uid", "left_semi").mapInArrow(lambda x: elements(x, common), kind).select("e", "uid", "w", "late")
+    rows = rows.join(counts.where("c > 1").select("e", "c"), "e").join(hopeful, "uid")
+    ahead = Window.partitionBy("uid").orderBy("late", "c", "e").rowsBetween(Window.unboundedPreceding, -1)
+    lacking = F.coalesce(F.sum("w").over(ahead), F.lit(0.0)) + F.col("u")
+    first = rows.withColumn("lacking", lacking).where(F.col("lacking") <= F.col("n") * (1 - similarity) + 1e-9)
+    step = float(np.log(1.03))
+    first = first.join(labels, "uid", "left").select("e", "uid", F.coalesce("root", "uid").alias("root"), "n", "lacking", (F.col("lacking") <= F.col("n") * (1 - 2 * share) + 1e-9).alias("short"))
+    first = written(first, "first")
+    major = first.groupBy("e", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("e").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("major")).where("roots > 1").drop("roots")
+    split = written(first.join(major, "e"), "split")
+    # what stands before the first element that two have in common they don't share: that bounds the common part
+    # for this row of the pair, and the sizes that the larger of the two leaves possible for the smaller
+    small = split.where("short").select("e", F.floor(F.log("n") / step).alias("class"), *[F.col(c).alias(f"x_{c}") for c in ("uid", "root", "n", "lacking")], (F.col("root") == F.col("major")).alias("x_major"))
+    most = F.least(F.lit(1.0), (1 - F.col("lacking") / F.col("n")) / share - 1)
+    classes = F.sequence(F.floor(F.log(F.col("n") * similarity) / step - 1e-6), F.floor(F.log(F.col("n") * most) / step + 1e-6))
+    large = split.where(most >= similarity - 1e-9).select("e", F.explode(classes).alias("class"), *[F.col(c).alias(f"y_{c}") for c in ("uid", "root", "n", "lacking")], (F.col("root") == F.col("major")).alias("y_major"))
+    fit = (F.col("x_root") != F.col("y_root")) & (F.col("x_n") <= F.col("y_n")) & (F.least(F.col("x_n") - F.col("x_lacking"), F.col("y_n") - F.col("y_lacking")) >= (F.col("x_n") + F.col("y_n")) * share - 1e-6)
+    meet = lambda x, y: x.join(y, ["e", "class"]).where(fit).select(F.least("x_uid", "y_uid").alias("a"), F.greatest("x_uid", "y_uid").alias("b"))
+    return meet(small.where("not x_major"), large).unionByName(meet(small.where("x_major"), large.where("not y_major"))).distinct()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(uid, root) of every node that edges (a, b) name: root is the same within a component. Edges are contracted round by round; only counts reach the driver."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -160,7 +229,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, similarity: float = SIMILARITY, coordinates: int = COORDINATES, rows: int = ROWS, deals: int = DEALS, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
     """(classes, documents).
 
     classes: k1, k2 (hashes of a text) with class (long), class_id (the least key
@@ -173,39 +242,31 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     """
     t = text_of(docs, text)
     keyed = docs.select(docs[key].alias("id"), F.xxhash64(t).alias("k1"), F.xxhash64(t, F.lit(1)).alias("k2"), t.alias("t"))
-    signed = _signed(keyed.select("k1", "k2", "id", "t"), k, bands, rows, weighted)
+    signed = _signed(keyed.select("k1", "k2", "id", "t"), k, coordinates, rows, deals, weighted)
     nodes = signed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     nodes = written(nodes.withColumn("uid", F.monotonically_increasing_id()), "nodes")
     band = nodes.select("uid", F.explode("bands").alias("key"))
-    shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("pivot")).where("c > 1").drop("c")
-    buckets = written(band.join(shared, "key"), "buckets")
+    shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    buckets = written(band.join(shared, "key"), "members")
+    # the pivot of a bucket is the node that meets most others anywhere: of a group of edited copies, the one in their middle
+    central = buckets.groupBy("uid").agg(F.sum("c").alias("meets"))
+    pivots = buckets.join(central, "uid").groupBy("key").agg(F.max_by("uid", F.struct("meets", "uid")).alias("pivot"))
+    buckets = written(buckets.join(pivots, "key").select("key", "uid", "pivot"), "buckets")
     wanted = buckets.select("uid").distinct().join(nodes.select("uid", "k1", "k2", "id"), "uid")
     texts = keyed.alias("d").join(wanted.alias("w"), (F.col("d.k1") == F.col("w.k1")) & (F.col("d.k2") == F.col("w.k2")) & F.col("d.id").eqNullSafe(F.col("w.id"))).select("w.uid", "d.t")
     texts = written(texts.dropDuplicates(["uid"]), "texts")
     pairs = written(buckets.where("uid != pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct(), "pairs")
     edges = written(_alike(pairs, texts, k, similarity, weighted), "links")
-    compared, labels = pairs, components(edges)
-    # what a pivot has been compared with is settled; the others of its bucket go on among themselves
-    open_ = buckets.where("uid != pivot").select("key", "uid")
-    width = 1
-    while True:
-        placed = open_.join(labels, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-        split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("major")).where("roots > 1").drop("roots")
-        open_ = written(placed.join(split, "key"), "open")
-        if open_.isEmpty():
-            break
-        minor = open_.where("root != major").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("uid"))).where(F.col("nth") <= width)
-        minor = written(minor.select("key", F.col("uid").alias("p"), F.col("root").alias("pr")), "minor")
-        fresh = minor.join(open_, "key").where("pr != root").select(F.least("p", "uid").alias("a"), F.greatest("p", "uid").alias("b")).distinct()
-        fresh = written(fresh.join(compared, ["a", "b"], "left_anti"), "pairs")
+    labels = components(edges)
+    # what the pivots are linked with is settled; where a bucket still has several classes, its others meet one another
+    placed = buckets.where("uid != pivot").select("key", "uid").join(labels, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
+    open_ = written(placed.join(split, "key", "left_semi").select("uid").distinct(), "open")
+    if not open_.isEmpty():
+        fresh = written(_meeting(open_, texts, labels, k, similarity, weighted).join(pairs, ["a", "b"], "left_anti"), "pairs")
         more = written(_alike(fresh, texts, k, similarity, weighted), "links")
-        compared = compared.unionByName(fresh)
         if not more.isEmpty():
-            edges = edges.unionByName(more)
-            labels = components(edges)
-        open_ = open_.select("key", "uid").join(minor.select("key", F.col("p").alias("uid")), ["key", "uid"], "left_anti")
-        width *= 4
+            labels = components(edges.unionByName(more))
     rooted = nodes.join(labels, "uid", "left").withColumn("class", F.coalesce("root", "uid")).select("k1", "k2", "id", "n", "class")
     totals = rooted.groupBy("class").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_rows"), F.count(F.lit(1)).alias("class_texts"))
     classes = written(rooted.select("k1", "k2", "class").join(totals, "class"), "classes")

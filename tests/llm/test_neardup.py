@@ -20,7 +20,6 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
     # a set is a bag of weights 1, its repeats don't matter
     s = dart_signatures(np.r_[names, names[:5]], None, np.zeros(65, np.int64), 1, 200)
-    assert (s == dart_signatures(names, np.ones(60), np.zeros(60, np.int64), 1, 200)).mean() < 1 or True
     assert (s == dart_signatures(names, None, np.zeros(60, np.int64), 1, 200)).all()
     assert (dart_signatures(names[:0], None, np.zeros(0, np.int64), 2, 8) == 2**64 - 1).all()
 
