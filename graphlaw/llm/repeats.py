@@ -146,8 +146,10 @@ def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x["a"], x["s"], d[a + x["doc"]], place)], names=["a", "s", "d", "place"])
 
     anchors = base.mapInArrow(cut, "a long, s long, d long, place long")
-    twice = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
-    repeated = written(anchors.join(twice, "a"), "repeated")
+    # a table of its own, so that the join deals both sides anew and can split a hot anchor
+    twice = written(anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "twice")
+    # all these tables grow with the corpus, so none is broadcast at any size
+    repeated = written(anchors.join(twice.hint("merge"), "a"), "repeated")
     different = repeated.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "place")).alias("first"))
     different = written(different.select("a", "s", "c", "first.d", "first.place"), "different")
     p, n, frag = F.shiftright("place", 32), F.shiftright("place", FRAGMENT).bitwiseAND(127), F.col("place").bitwiseAND((1 << FRAGMENT) - 1)
@@ -155,13 +157,13 @@ def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict
 
     # equal segments: all windows of all of them, or of all but the first
     many = different.where("c > 1")
-    again = repeated.alias("r").join(many.select("a", "s", F.col("d").alias("d0"), F.shiftright("place", 32).alias("p0")).alias("m"), ["a", "s"])
+    again = repeated.alias("r").join(many.select("a", "s", F.col("d").alias("d0"), F.shiftright("place", 32).alias("p0")).hint("merge").alias("m"), ["a", "s"])
     again = again.where((F.col("d") > F.col("d0")) | ((F.col("d") == F.col("d0")) & (p > F.col("p0")))) if later_only else again
     flags = [flagged(again.select("d", "place"))]
 
     # one anchor in different segments: contents are compared
     several = written(different.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
-    wanted = different.join(several, "a")
+    wanted = different.join(several.hint("merge"), "a")
     total, hot = wanted.agg(F.coalesce(F.sum(F.when(F.col("m") <= SHARD_SEGMENTS, n + window - 1)), F.lit(0)), F.count(F.when(F.col("m") > SHARD_SEGMENTS, 1))).first()
     parts = max(1, base.sparkSession.sparkContext.defaultParallelism, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = base.repartition(parts, "d", "frag")
@@ -240,7 +242,8 @@ def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict
                 cols = [np.concatenate([a for a, _ in h]), np.concatenate([b for _, b in h]), np.repeat(x["c"], reps), np.repeat(x["d"], reps), np.repeat(x["p"], reps) + nth, np.repeat(x["place"] & ((1 << FRAGMENT) - 1), reps)]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["h1", "h2", "c", "d", "s", "frag"])
 
-        each = written(contents(F.col("m") > SHARD_SEGMENTS).mapInArrow(windows, "h1 long, h2 long, c long, d long, s long, frag long"), "windows").distinct()
+        # part of the one plan that deals the texts, so that they move once for all uses
+        each = contents(F.col("m") > SHARD_SEGMENTS).mapInArrow(windows, "h1 long, h2 long, c long, d long, s long, frag long").distinct()
         known = each.groupBy("h1", "h2").agg(F.sum("c").alias("places"), F.min(F.struct("d", "s")).alias("first")).where("places > 1")
         known = each.drop("c").join(known, ["h1", "h2"])
         known = known.where(F.struct("d", "s") > F.col("first")) if later_only else known
