@@ -86,7 +86,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     laid = written(laid.select("uid", *named, "size", "sid", "source_size", "target", begins), "laid")
 
     chunk = 4096
-    slots = totals.where("slots > 0").select("sid", "blocks", "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / chunk))).alias("part")).repartition("sid", "part")
+    # a fixed number of partitions: rows as few as these would else be gathered into one task before they multiply
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slots = totals.where("slots > 0").select("sid", "blocks", "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / chunk))).alias("part")).repartition(parts, "sid", "part")
     slots = slots.select("sid", "blocks", F.explode(F.sequence(F.col("part") * chunk, F.least(F.col("slots"), (F.col("part") + 1) * chunk) - 1)).alias("slot"))
     shard = F.pmod(F.xxhash64(F.lit(seed), F.col("sid"), F.col("slot")), F.lit(n_shards)).cast("int")
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("int")
@@ -98,7 +100,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     begin = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     end = F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
     pieces = pieces.select("uid", "sid", "block", begin.alias("begin"), (end - begin).alias("words"))
-    used = pieces.join(slots, ["sid", "block"]).select("uid", F.struct("use.shard", "use.slot", "use.pass", "begin", "words").alias("take"))
+    # slots are counted by the sources' totals, so the planner takes their table for a small one
+    used = pieces.join(slots.hint("merge"), ["sid", "block"]).select("uid", F.struct("use.shard", "use.slot", "use.pass", "begin", "words").alias("take"))
     taken = used.groupBy("uid").agg(F.sum("take.words").alias("taken"), F.sort_array(F.collect_list("take")).alias("takes"))
     out = laid.join(taken, "uid", "left")
     none = F.array().cast(taken.schema["takes"].dataType)
