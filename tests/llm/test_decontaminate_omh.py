@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -70,6 +71,27 @@ def test_op2_substitutions_by_either_join(planted, limit):
     assert got == want and sum(map(bool, want.values())) >= 30
 
 
+@pytest.mark.parametrize("limit", [300_000, 0])
+def test_op2_finds_every_pattern_of_substitutions(spark, limit):
+    """Every pattern up to 14 tokens; of longer items 300 with just the tokens needed. No more may be found than agree."""
+    rng = random.Random(5)
+    items, docs = [], []
+    long = (30, 31, 45, 60) if limit == 0 else (30, 31, 45, 60, 75, 150)
+    for n in [*range(5, 21), 24, *long]:
+        item = [f"i{n}x{j}" for j in range(n)]
+        items.append((n, " ".join(item)))
+        need = min(13, -(-n * 8 // 10))
+        full = list(itertools.combinations(range(n), n - need)) if n < 15 else [rng.sample(range(n), n - need) for _ in range(300)]
+        for gone in [*full, rng.sample(range(n), n - need + 1)]:
+            docs.append((len(docs), " ".join(f"d{j}" if j in gone else w for j, w in enumerate(item)), [n] if n - len(gone) >= need else []))
+    # tokens that agree sit as far apart as they can
+    docs += [(len(docs) + k, " ".join(f"i{n}x{j}" if j % ((n - 1) // 12) == 0 and j <= 12 * ((n - 1) // 12) else f"d{j}" for j in range(n)), [n]) for k, n in enumerate(long)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.leaked_items for r in mark_leaks(df, bench, broadcast_seeds=limit).collect()}
+    assert got == {i: w for i, _, w in docs}
+
+
 def test_op2_awkward(spark, planted):
     df = frame(spark, extra=True)
     out = decontaminate(df, planted[1])
