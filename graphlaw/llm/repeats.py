@@ -28,8 +28,6 @@ from graphlaw.llm.common import text_of, written
 
 #: Text worked on at a time, bits of a position there, windows of one text at a time.
 BLOCK, POSITION, CHUNK = 1 << 16, 24, 1 << 22
-#: Bits of the hash of a text that tell texts of one id apart.
-FRAGMENT = 25
 #: Different segments of an anchor that a shard takes; beyond, windows are compared by hash.
 SHARD_SEGMENTS = 4000
 #: Key of rows without one: after all others.
@@ -122,7 +120,7 @@ def _pieces(edges: np.ndarray, units: Units) -> Iterator[tuple[int, int, int | N
 
 
 def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict[str, np.ndarray]], list[np.ndarray]], later_only: bool, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(docs, flags). docs: d, frag, t, partitioned by d, frag; flags: d, frag and ranges, an array of (s, n): n windows from unit s on are repeats.
+    """(docs, flags). docs: d, frag (64-bit hash of the text, which tells texts of one key apart), t, partitioned by d, frag; flags: d, frag and ranges, an array of (s, n): n windows from unit s on are repeats.
 
     later_only: a window is a repeat if an equal one starts in a lower key, or in
     the same key further left; else if an equal one starts at any other place.
@@ -134,7 +132,7 @@ def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict
     """
     window = units.window
     t = text_of(docs, text)
-    base = docs.select(F.coalesce(docs[key].cast("long"), F.lit(LAST_KEY)).alias("d"), F.xxhash64(t).bitwiseAND((1 << FRAGMENT) - 1).alias("frag"), t.alias("t"))
+    base = docs.select(F.coalesce(docs[key].cast("long"), F.lit(LAST_KEY)).alias("d"), F.xxhash64(t).alias("frag"), t.alias("t"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,24 +140,24 @@ def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict
             d, frag = (batch.column(c).to_numpy() for c in ("d", "frag"))
             for a, b in slices(column, BLOCK):
                 x = segments(*units.of(column, a, b), units)
-                place = (x["p"] << 32) | (x["n"] << FRAGMENT) | frag[a + x["doc"]]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x["a"], x["s"], d[a + x["doc"]], place)], names=["a", "s", "d", "place"])
+                own, place = a + x["doc"], (x["p"] << 32) | x["n"]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x["a"], x["s"], d[own], frag[own], place)], names=["a", "s", "d", "frag", "place"])
 
-    anchors = base.mapInArrow(cut, "a long, s long, d long, place long")
+    anchors = base.mapInArrow(cut, "a long, s long, d long, frag long, place long")
     # a table of its own, so that the join deals both sides anew and can split a hot anchor
     twice = written(anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "twice")
     # all these tables grow with the corpus, so none is broadcast at any size
     repeated = written(anchors.join(twice.hint("merge"), "a"), "repeated")
-    different = repeated.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "place")).alias("first"))
-    different = written(different.select("a", "s", "c", "first.d", "first.place"), "different")
-    p, n, frag = F.shiftright("place", 32), F.shiftright("place", FRAGMENT).bitwiseAND(127), F.col("place").bitwiseAND((1 << FRAGMENT) - 1)
-    flagged = lambda df: df.select("d", frag.alias("frag"), p.cast("long").alias("s"), n.cast("long").alias("n"))
+    different = repeated.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "place", "frag")).alias("first"))
+    different = written(different.select("a", "s", "c", "first.d", "first.frag", "first.place"), "different")
+    p, n = F.shiftright("place", 32), F.col("place").bitwiseAND(127)
+    flagged = lambda df: df.select("d", "frag", p.cast("long").alias("s"), n.cast("long").alias("n"))
 
     # equal segments: all windows of all of them, or of all but the first
     many = different.where("c > 1")
     again = repeated.alias("r").join(many.select("a", "s", F.col("d").alias("d0"), F.shiftright("place", 32).alias("p0")).hint("merge").alias("m"), ["a", "s"])
     again = again.where((F.col("d") > F.col("d0")) | ((F.col("d") == F.col("d0")) & (p > F.col("p0")))) if later_only else again
-    flags = [flagged(again.select("d", "place"))]
+    flags = [flagged(again.select("d", "frag", "place"))]
 
     # one anchor in different segments: contents are compared
     several = written(different.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
@@ -170,7 +168,7 @@ def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict
 
     def contents(which: Column) -> DataFrame:
         """The segments asked for, with their content."""
-        asked = wanted.where(which).select("d", frag.alias("frag"), F.struct("a", "s", "c", "place").alias("x")).groupBy("d", "frag").agg(F.collect_list("x").alias("xs"))
+        asked = wanted.where(which).select("d", "frag", F.struct("a", "s", "c", "place").alias("x")).groupBy("d", "frag").agg(F.collect_list("x").alias("xs"))
 
         def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -186,25 +184,25 @@ def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict
                     owner = np.repeat(np.arange(j - i), np.diff(xs.offsets.to_numpy()))
                     place = x.field("place").to_numpy()
                     begin = edges[owner] + (place >> 32)
-                    end = begin + (place >> FRAGMENT & 127) + window - 1
+                    end = begin + (place & 127) + window - 1
                     content = [codes[s:e].tobytes() for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
-                    d = pa.array(batch.column("d").to_numpy()[i + owner])
-                    yield pa.RecordBatch.from_arrays([*(x.field(c) for c in ("a", "s", "c")), d, x.field("place"), pa.array(content, pa.binary())], names=["a", "s", "c", "d", "place", "content"])
+                    row = [pa.array(batch.column(c).to_numpy()[i + owner]) for c in ("d", "frag")]
+                    yield pa.RecordBatch.from_arrays([*(x.field(c) for c in ("a", "s", "c")), *row, x.field("place"), pa.array(content, pa.binary())], names=["a", "s", "c", "d", "frag", "place", "content"])
 
-        return dealt.join(asked, ["d", "frag"]).select("d", "t", "xs").mapInArrow(take, "a long, s long, c long, d long, place long, content binary")
+        return dealt.join(asked, ["d", "frag"]).select("d", "frag", "t", "xs").mapInArrow(take, "a long, s long, c long, d long, frag long, place long, content binary")
 
     code = np.uint64 if units.by_words else np.uint8
 
     def opened(tables: list[pa.RecordBatch]) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
         table = pa.Table.from_batches(tables).combine_chunks()
-        x = {c: table.column(c).to_numpy() for c in ("a", "s", "c", "d", "place")}
+        x = {c: table.column(c).to_numpy() for c in ("a", "s", "c", "d", "frag", "place")}
         # rows that repeat key and text ask for a segment once each
-        order = np.lexsort((x["place"], x["d"], x["s"], x["a"]))
+        order = np.lexsort((x["frag"], x["place"], x["d"], x["s"], x["a"]))
         same = [x[c][order][1:] == x[c][order][:-1] for c in ("a", "s")]
         keep = np.sort(order[np.r_[True, ~(same[0] & same[1])]]) if len(order) else order
         content = table.column("content")
         x = {c: v[keep] for c, v in x.items()}
-        x |= {"p": x["place"] >> 32, "n": x["place"] >> FRAGMENT & 127, "off": x["s"] & 127}
+        x |= {"p": x["place"] >> 32, "n": x["place"] & 127, "off": x["s"] & 127}
         return [np.frombuffer(content[int(i)].as_py(), code) for i in keep], x
 
     if total:
@@ -218,7 +216,7 @@ def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict
             rows: list[tuple[int, int, int, int]] = []
             for i, bad in enumerate(kernel(codes, x)):
                 edge = np.flatnonzero(np.diff(np.r_[False, bad, False].astype(np.int8)))
-                rows += [(int(x["d"][i]), int(x["place"][i]) & ((1 << FRAGMENT) - 1), int(x["p"][i] + s), int(e - s)) for s, e in zip(edge[::2], edge[1::2], strict=True)]
+                rows += [(int(x["d"][i]), int(x["frag"][i]), int(x["p"][i] + s), int(e - s)) for s, e in zip(edge[::2], edge[1::2], strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows, strict=True)], names=["d", "frag", "s", "n"])
 
@@ -239,7 +237,7 @@ def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict
                     h.append((first.view(np.int64), stretch(sums, at, window).view(np.int64)))
                 nth = np.concatenate([np.arange(len(a)) for a, _ in h])
                 reps = [len(a) for a, _ in h]
-                cols = [np.concatenate([a for a, _ in h]), np.concatenate([b for _, b in h]), np.repeat(x["c"], reps), np.repeat(x["d"], reps), np.repeat(x["p"], reps) + nth, np.repeat(x["place"] & ((1 << FRAGMENT) - 1), reps)]
+                cols = [np.concatenate([a for a, _ in h]), np.concatenate([b for _, b in h]), np.repeat(x["c"], reps), np.repeat(x["d"], reps), np.repeat(x["p"], reps) + nth, np.repeat(x["frag"], reps)]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["h1", "h2", "c", "d", "s", "frag"])
 
         # part of the one plan that deals the texts, so that they move once for all uses

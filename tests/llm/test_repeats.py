@@ -145,5 +145,20 @@ def test_awkward(spark):
         assert f(frame(spark, [])).collect() == []
 
 
+def test_texts_under_one_key_stay_apart(spark):
+    """Two texts without a key whose hashes agree in their low 25 bits: what goes from one doesn't go from the other."""
+    xxhash = pytest.importorskip("xxhash")
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage, clean = " ".join(word() for _ in range(60)), " ".join(word() for _ in range(70))
+    low = lambda t: xxhash.xxh64(t.encode(), seed=42).intdigest() & ((1 << 25) - 1)
+    seen = {low(t): t for t in (f"{passage} a{i}" for i in range(20_000))}
+    other = next(t for t in (f"{clean} b{i}" for i in range(1_000_000)) if low(t) in seen)
+    rows = [(1, passage), (None, seen[low(other)]), (None, other)]
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], COLUMNS)
+    assert got_words(drop_repeated_words(df)) == brute_words(rows, 35)
+    assert got_bytes(drop_earlier_bytes(df)) == brute_bytes(rows, 100)
+
+
 def test_counter_of_ranges():
     assert repeats.covered(50, [(0, 2), (30, 1), (5, 1)], 10) == [(0, 15), (30, 40)]
