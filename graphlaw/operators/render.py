@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphlaw.functions.dialect import form_text
 from graphlaw.plans.registry import Registry, Structure
+from graphlaw.sources.shared import written
 from graphlaw.sources.store import GraphStore
 
 
@@ -17,8 +18,12 @@ def _ordered(store: GraphStore, kind: str, forms: DataFrame) -> DataFrame:
     return e.groupBy(F.col("src").alias("eid")).agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("ord", "form"))), lambda x: x["form"])).alias("text"))
 
 
-def schema_forms(store: GraphStore, depth: int = 6) -> DataFrame:
-    """(eid, form): the text of every stored type; types nested deeper than depth show as …"""
+#: Stands for a type whose text isn't known yet.
+OPEN = "\0"
+
+
+def schema_forms(store: GraphStore) -> DataFrame:
+    """(eid, form): the text of every stored type, however deep; a type that holds itself shows as … where it does."""
     schemas = store.nodes.where("tag = 'type/Schema'").select("eid")
     text = lambda a: store.attr(a, "string").select(F.col("e").alias("eid"), F.col("v").alias(a))
     number = lambda a: store.attr(a, "long").select(F.col("e").alias("eid"), F.col("v").alias(a))
@@ -32,10 +37,13 @@ def schema_forms(store: GraphStore, depth: int = 6) -> DataFrame:
     leaf = F.when(F.col("kind") == "ref", F.coalesce("target", F.lit("?"))).when(F.col("kind") == "enum", F.concat(F.lit("[:enum "), F.coalesce("choices", F.lit("")), F.lit("]"))).when(F.col("kind") == "re", F.concat(F.lit('[:re "'), "regex", F.lit('"]')))
     compound = ["vector", "set", "sequential", "tuple", "or", "and", "map-of"]
     has = {r["kind"] for r in base.select("kind").distinct().collect()}
-    forms = base.select("eid", F.when(F.col("kind").isin([*compound, "map", "=>"]), F.lit("…")).otherwise(F.coalesce(leaf, wrapped)).alias("form"))
+    forms = base.select("eid", F.when(F.col("kind").isin([*compound, "map", "=>"]), F.lit(OPEN)).otherwise(F.coalesce(leaf, wrapped)).alias("form"))
     if not has & {*compound, "map", "=>"}:
         return forms
-    for _ in range(depth):
+    base = written(base.withColumn("leaf", F.coalesce(leaf, wrapped)), "types")
+    forms = written(forms, "forms")
+    left, before = forms.where(F.contains("form", F.lit(OPEN))).count(), None
+    while left and left != before:  # a round completes the types whose parts are complete
         of = _ordered(store, "of", forms).withColumnRenamed("text", "of")
         ins = _ordered(store, "in", forms).withColumnRenamed("text", "ins")
         outs = _ordered(store, "out", forms).withColumnRenamed("text", "outs")
@@ -44,11 +52,12 @@ def schema_forms(store: GraphStore, depth: int = 6) -> DataFrame:
         entry = F.concat(F.lit("["), "key", F.when(F.coalesce("opt", F.lit(False)), F.lit(" {:optional true} ")).otherwise(F.lit(" ")), "form", F.lit("]"))
         fields = store.edges.where("kind = 'field'").select(F.col("src"), F.col("dst").alias("eid")).join(keys.join(field_schema, "eid").select("eid", "key", entry.alias("entry")), "eid")
         fields = fields.groupBy(F.col("src").alias("eid")).agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("key", "entry"))), lambda x: x["entry"])).alias("fields"))
-        rows = base.select("eid", "kind", F.coalesce(leaf, wrapped).alias("leaf")).join(of, "eid", "left").join(ins, "eid", "left").join(outs, "eid", "left").join(fields, "eid", "left")
+        rows = base.select("eid", "kind", "leaf").join(of, "eid", "left").join(ins, "eid", "left").join(outs, "eid", "left").join(fields, "eid", "left")
         space = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(" "), c)).otherwise(F.lit(""))
         form = F.when(F.col("kind").isin(compound), F.concat(F.lit("[:"), "kind", space("of"), F.lit("]"))).when(F.col("kind") == "map", F.concat(F.lit("[:map"), space("fields"), F.lit("]"))).when(F.col("kind") == "=>", F.concat(F.lit("[:=> [:cat"), space("ins"), F.lit("] "), F.coalesce("outs", F.lit(":nil")), F.lit("]"))).otherwise(F.col("leaf"))
-        forms = rows.select("eid", form.alias("form"))
-    return forms
+        forms = written(rows.select("eid", form.alias("form")), "forms")
+        left, before = forms.where(F.contains("form", F.lit(OPEN))).count(), left
+    return forms.withColumn("form", F.replace("form", F.lit(OPEN), F.lit("…"))) if left else forms
 
 
 def operations(store: GraphStore) -> DataFrame:

@@ -272,6 +272,15 @@ def test_dispatch_and_totality(spark, reg):
     assert render.instance(store, reg, store.lookup("entity/id", "m:z.c")).startswith("(Module z.c {:child [read]")
 
 
+def test_deep_types_are_written_out(spark, reg):
+    deep = "[:vector " * 9 + ":int" + "]" * 9
+    authored = op("read", "c", signature=T.read_form(f"[:=> [:catn [:x {deep}]] :string]"))
+    extracted = op("read", "z", extracted=True, sig=f"[:=> [:cat {deep}] :string]")
+    store = store_of(spark, reg, module("c", "c/read"), module("z.c", "z/read", extracted=True), authored, extracted)
+    assert deep in {r.form for r in render.schema_forms(store).collect()}
+    assert rows(readings.type_drifted_operations(store, reg)) == []
+
+
 def test_architecture_laws(spark, reg):
     def cycle(*deps):
         mods = sorted({m for d in deps for m in d})
