@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlaw.sources.shared import written
+from graphlaw.sources.shared import drop, written
 
 #: Rounds after which a fixpoint is given up, with an error.
 MAX_ROUNDS = 1000
@@ -45,25 +45,50 @@ def semi_naive(start: dict[str, list[DataFrame]], more: Callable[[dict[str, Data
         for n, f in fresh.items():
             parts[n].append(f)
             if len(parts[n]) > MERGE:
-                parts[n] = [written(_union(parts[n]), "total")]
+                merged = written(_union(parts[n]), "total")
+                drop(*(x for x in parts[n] if x is not f))
+                parts[n] = [merged]
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
 def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """All pairs (src, dst) joined by a path of one edge or more, in rounds that double the length of the paths."""
-    total = written(edges.select("src", "dst").distinct(), "closure")
+    """All pairs (src, dst) joined by a path of one edge or more, in rounds that double the length of the paths.
+
+    A round joins only the pairs found in the last one with all: what two old pairs give is known.
+    """
+    total = fresh = written(edges.select("src", "dst").distinct(), "closure")
     for _ in range(max_rounds):
-        a, b = total.toDF("src", "mid"), total.toDF("mid", "dst")
-        new = written(a.join(b, "mid").select("src", "dst").distinct().join(total, ["src", "dst"], "left_anti"), "paths")
+        ahead = fresh.toDF("src", "mid").join(total.toDF("mid", "dst"), "mid").select("src", "dst")
+        behind = total.toDF("src", "mid").join(fresh.toDF("mid", "dst"), "mid").select("src", "dst")
+        new = written(ahead.unionByName(behind).distinct().join(total, ["src", "dst"], "left_anti"), "paths")
         if new.isEmpty():
             return total
-        total = written(total.unionByName(new), "closure")
+        grown = written(total.unionByName(new), "closure")
+        drop(total, fresh)
+        total, fresh = grown, new
     raise RuntimeError(f"no closure after {max_rounds} rounds")
 
 
-def on_cycle(edges: DataFrame) -> DataFrame:
-    """Nodes from which a path leads back to them."""
-    return closure(edges).where("src = dst").select(F.col("src").alias("node"))
+def on_cycle(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """Nodes from which a path leads back to them.
+
+    Nodes without an edge in or out can't be on a cycle and are taken off, round by
+    round; only among what is left, mostly the cycles and the paths between them, are
+    paths looked for.
+    """
+    left = written(edges.select("src", "dst").distinct(), "edges")
+    n = left.count()
+    for _ in range(max_rounds):
+        if not n:
+            return left.select(F.col("src").alias("node"))
+        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        inner = written(inner.select("src", "dst"), "edges")
+        m = inner.count()
+        drop(left)
+        left, n, before = inner, m, n
+        if m == before:
+            return closure(left).where("src = dst").select(F.col("src").alias("node"))
+    raise RuntimeError(f"no cycles after {max_rounds} rounds")
 
 
 def reach_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -86,12 +111,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     labels = written(both(now).select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+    old: list[DataFrame] = []
     for _ in range(max_rounds):
         now = written(now.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        drop(*old)
         if now.isEmpty():
             return labels
         to = both(now).groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to"))
         jump = written(to.alias("x").join(to.alias("y"), F.col("x.to") == F.col("y.a")).select(F.col("x.a").alias("old"), F.col("y.to").alias("new")), "jumps")
-        labels = written(labels.join(jump, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
+        moved = written(labels.join(jump, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
+        old, labels = [now, jump, labels], moved
         now = now.join(jump.toDF("a", "na"), "a").join(jump.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     raise RuntimeError(f"no components after {max_rounds} rounds")

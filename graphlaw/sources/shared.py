@@ -6,18 +6,54 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that are deleted when the JVM ends, by application.
+_FOLDERS: dict[str, str] = {}
+_PATH = "_graphlaw_path"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset (tests, one machine) a folder of our own."""
+    """spark.checkpoint.dir; where it is unset and master is local (tests, one machine), a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "/tmp/checkpoints/graphlaw"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder; the file system deletes it at the JVM's end."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        folder = f"{shared_dir(spark)}/graphlaw/{app}"
+        _, files, path = _file(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[app] = folder
+    return _FOLDERS[app]
+
+
+def _file(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a table in the shared folder; its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/graphlaw/{name}-{uuid.uuid4().hex}"
+    """df as a table in the shared folder; its lineage ends there. Tables go with the application, or by drop()."""
+    spark = df.sparkSession
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _PATH, path)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, _PATH, None)
+        if path:
+            _, files, p = _file(df.sparkSession, path)
+            files.delete(p, True)
