@@ -1,13 +1,14 @@
-"""What the training-data operators share: reading, the shared folder, key columns."""
+"""What the training-data operators share: reading, the shared folder, key columns, numbering."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
-from graphlaw.sources.shared import shared_dir, written
+from graphlaw.sources.shared import drop, shared_dir, written
 
-__all__ = ["SPACE", "WORD", "n_words", "read", "shared_dir", "text_of", "words_of", "written"]
+__all__ = ["SPACE", "WORD", "drop", "long_keys", "n_words", "named_keys", "numbered", "read", "row_hash", "shared_dir", "text_of", "words_of", "written"]
 
 #: A word of the contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,3 +30,49 @@ def n_words(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """The words of a text, in order; no empty ones."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")
+
+
+def _has_map(kind: ST.DataType) -> bool:
+    if isinstance(kind, ST.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return _has_map(kind.elementType) if isinstance(kind, ST.ArrayType) else isinstance(kind, ST.MapType | ST.VariantType)
+
+
+def row_hash(df: DataFrame, *seed: int) -> Column:
+    """A hash of all columns of a row; those of types that can't be hashed go in as JSON."""
+    columns = [F.to_json(F.struct(df[f.name])) if _has_map(f.dataType) else df[f.name] for f in df.schema.fields]
+    return F.xxhash64(*map(F.lit, seed), *columns)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, rows_per_task: int = 500_000) -> DataFrame:
+    """df as a table with a gapless long number from 0 in the given order (no ties).
+
+    Rows are dealt into ranges, numbered there, and moved on by the sizes of the
+    ranges before: one row a range is gathered, no more.
+    """
+    parts = int(max(1, df.count() // rows_per_task))
+    placed = written(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    ahead = F.sum("count").over(Window.orderBy("__range")) - F.col("count")
+    offsets = placed.groupBy("__range").count().select("__range", ahead.alias("__from"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    out = placed.withColumn("__nth", own).join(offsets, "__range")
+    return written(out.withColumn(name, (F.col("__from") + F.col("__nth") - 1).cast("long")).select(*df.columns, name), "numbers")
+
+
+def long_keys(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """(docs with a long key and text, names): integers stay as they are; keys of other types become their numbers in order, which names (key, d) tells."""
+    if isinstance(docs.schema[key].dataType, ST.IntegralType):
+        return docs.select(docs[key], docs[text]), None
+    keys = docs.select(docs[key].alias("__key")).where("__key is not null").distinct()
+    names = numbered(keys, [F.col("__key")], "__d")
+    rows = docs.select(docs[key].alias("__key"), docs[text].alias("__text")).join(names, "__key", "left")
+    return rows.select(F.col("__d").alias(key), F.col("__text").alias(text)), names
+
+
+def named_keys(out: DataFrame, names: DataFrame | None, key: str) -> DataFrame:
+    """out, by the keys that long_keys replaced."""
+    if names is None:
+        return out
+    rest = [c for c in out.columns if c != key]
+    found = out.join(names, out[key] == names["__d"], "left")
+    return found.select(F.col("__key").alias(key), *[out[c] for c in rest])

@@ -1,8 +1,9 @@
 """Substring dedup with an FM-index for each shard.
 
-Backward search over a wavelet matrix gives, for the streamed segments, how far
-a stretch of words can be extended while it still stands at another place of the
-index; intervals of the threshold's length or more are reported.
+Backward search over a wavelet matrix gives the matching statistics of the
+streamed segments: how far the words from each place on can be followed while they
+still stand at another place of the index. Intervals of the threshold's length
+or more are reported.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from graphlaw.llm.arrays import U
+from graphlaw.llm.common import long_keys, named_keys
 from graphlaw.llm.repeats import LAST_KEY, Units, covered, find, texts_with_ranges
 
 WINDOW, ANCHOR, SHARD_WORDS = 35, 12, 250_000
@@ -36,13 +40,15 @@ class Bits:
 
 
 class FMIndex:
-    """Counts of patterns of at most depth symbols in a text of symbols 0 to sigma - 1; 0 separates and is never searched.
+    """A compressed index of a text of symbols 0 to sigma - 1 for patterns of at most depth symbols; 0 separates and is never searched.
 
-    Suffixes are sorted by their first depth symbols only; for patterns no
-    longer than that, the intervals are those of the full order.
+    The symbols before the sorted suffixes are held as runs: a wavelet matrix of
+    the runs' symbols, and where they begin. Suffixes are sorted by their first depth
+    symbols only; for patterns no longer than that, the intervals are those of the
+    full order. weight: what an occurrence that begins at a place of the text counts.
     """
 
-    def __init__(self, text: np.ndarray, sigma: int, depth: int):
+    def __init__(self, text: np.ndarray, sigma: int, depth: int, weight: np.ndarray | None = None):
         n = len(text)
         rank, have = text.astype(np.int64), 1
         while have < depth:
@@ -58,12 +64,41 @@ class FMIndex:
         last = text[order - 1]  # the symbol before each suffix; before the first stands the last, a separator
         self.size, self.levels = n, max(1, int(sigma - 1).bit_length())
         self.starts = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))]
+        self.weight = np.r_[0, np.cumsum(weight[order])] if weight is not None else np.arange(n + 1)
+        self.run = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
+        heads = last[self.run]
+        self.heads = heads.astype(np.int32)
+        sizes = np.diff(np.r_[self.run, n])[np.argsort(heads, kind="stable")]
+        self.runs = np.r_[0, np.cumsum(np.bincount(heads, minlength=sigma))]  # of lower symbols
+        self.sums = np.r_[0, np.cumsum(sizes)]  # symbols in the runs of lower symbols and in earlier runs of the same
         self.bits: list[Bits] = []
         for level in reversed(range(self.levels)):
-            bit = (last >> level & 1).astype(np.uint8)
+            bit = (heads >> level & 1).astype(np.uint8)
             self.bits.append(Bits(bit))
-            last = np.concatenate([last[bit == 0], last[bit == 1]])
+            heads = np.concatenate([heads[bit == 0], heads[bit == 1]])
         self.base = self._down(np.arange(sigma), np.zeros(sigma, np.int64))
+        self._parents(text, order, depth)
+
+    def _parents(self, text: np.ndarray, order: np.ndarray, depth: int) -> None:
+        """common: symbols that neighbours in the order share; lower, higher: the nearest places on either side that share less."""
+        n = self.size
+        self.common = np.zeros(n + 1, np.int32)
+        self.common[[0, n]] = -1
+        live = np.arange(1, n)
+        for m in range(depth):
+            x = text[order[live] + m]
+            live = live[(x == text[order[live - 1] + m]) & (x > 0)]
+            if not len(live):
+                break
+            self.common[live] = m + 1
+        self.lower, self.higher = np.zeros(n + 1, np.int32), np.full(n + 1, n, np.int32)
+        places = np.arange(n + 1, dtype=np.int32)
+        for v in range(int(self.common.max(initial=0)) + 1):
+            at = np.flatnonzero(self.common == v)
+            if len(at):
+                less = places[self.common < v]
+                next_ = np.searchsorted(less, at)
+                self.lower[at], self.higher[at] = less[next_ - 1], less[next_]
 
     def _down(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for level, bits in zip(reversed(range(self.levels)), self.bits, strict=True):
@@ -71,45 +106,65 @@ class FMIndex:
             i = np.where(symbol >> level & 1, bits.zeros + ones, i - ones)
         return i
 
+    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """How often the symbol stands among the first i symbols before suffixes."""
+        run = np.searchsorted(self.run, i, "right") - 1
+        first = self.runs[symbol]
+        full = self.sums[first + self._down(symbol, run) - self.base[symbol]] - self.sums[first]
+        return full + np.where(self.heads[run] == symbol, i - self.run[run], 0)
+
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the patterns with the symbol put before."""
-        shift = self.starts[symbol] - self.base[symbol]
-        return self._down(symbol, low) + shift, self._down(symbol, high) + shift
+        start = self.starts[symbol]
+        return self.rank(symbol, low) + start, self.rank(symbol, high) + start
+
+    def parent(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next larger intervals, of shorter patterns: (low, high, symbols)."""
+        a, b = self.common[low], self.common[high]
+        q = np.maximum(np.maximum(a, b), 0)
+        return np.where(a == q, self.lower[low], low), np.where(b == q, self.higher[high], high), q
+
+    def matching_statistics(self, text: np.ndarray, begin: np.ndarray, size: np.ndarray, least: int = 2) -> np.ndarray:
+        """For every place of the stretches text[begin : begin + size], one after another: how many symbols from there on, within the stretch, occur in the index least times or more.
+
+        All stretches are streamed side by side from their ends. A step either puts
+        the next symbol before the pattern or, where that occurs too rarely, drops
+        symbols at the pattern's end, so a stretch takes at most two steps a symbol.
+        """
+        out = np.zeros(int(size.sum()), np.int32)
+        to = np.r_[0, np.cumsum(size)][:-1]
+        at, q = size - 1, np.zeros(len(size), np.int64)
+        low, high = np.zeros(len(size), np.int64), np.full(len(size), self.size)
+        live = at >= 0
+        begin, to, at, q, low, high = (v[live] for v in (begin, to, at, q, low, high))
+        while len(at):
+            a, b = self.extend(text[begin + at], low, high)
+            good = self.weight[b] - self.weight[a] >= least
+            done = good | (q == 0)
+            up, down, shorter = self.parent(low, high)
+            out[to[done] + at[done]] = np.where(good, q + 1, 0)[done]
+            low = np.where(good, a, np.where(done, 0, up))
+            high = np.where(good, b, np.where(done, self.size, down))
+            q = np.where(good, q + 1, np.where(done, 0, shorter))
+            at = at - done
+            live = at >= 0
+            if not live.all():
+                begin, to, at, q, low, high = (v[live] for v in (begin, to, at, q, low, high))
+        return out
 
 
 def repeated_windows(codes: list[np.ndarray], x: dict[str, np.ndarray], window: int = WINDOW) -> list[np.ndarray]:
-    """For each segment which of its windows stand in another one as well. Segments that occur more than once are not searched."""
+    """For each segment which of its windows occur twice or more, a segment standing for as many as c says: those from which the matching statistics reach the window's length."""
     sizes = np.array([len(c) for c in codes])
     flat = np.concatenate(codes)
     values, symbols = np.unique(flat, return_inverse=True)
     begin = np.r_[0, np.cumsum(sizes + 1)][:-1]
-    text = np.zeros(int(sizes.sum()) + len(codes), np.int64)
-    text[np.arange(len(flat)) + np.repeat(np.arange(len(codes)), sizes)] = symbols + 1
-    index = FMIndex(text, len(values) + 1, int(sizes.max()))
-    out = [np.zeros(s - window + 1, bool) for s in sizes]
-    # each segment goes through its windows from the left. The stretch [j, j + window + g) is searched from its right
-    # end; if it stops standing elsewhere at f, no window from j to f that reaches as far is a repeat
-    seg = np.flatnonzero(x["c"] == 1)
-    n = sizes[seg] - window + 1
-    j, g = np.zeros(len(seg), np.int64), np.zeros(len(seg), np.int64)
-    at = j + window - 1
-    low, high = np.zeros(len(seg), np.int64), np.full(len(seg), index.size)
-    while len(seg):
-        low, high = index.extend(text[begin[seg] + at], low, high)
-        lost, done = high - low < 2, at == j
-        found = done & ~lost
-        for k in np.flatnonzero(found):
-            out[seg[k]][j[k] : j[k] + g[k] + 1] = True
-        stop = lost | found
-        nj = np.where(found, j + g + 1, np.where(lost & (g == 0), at + 1, j))
-        ng = np.where(found, np.minimum(2 * g + 1, np.maximum(0, n - 1 - nj)), np.where(lost, 0, g))
-        j, g = nj, ng
-        at = np.where(stop, j + g + window - 1, at - 1)
-        low, high = np.where(stop, 0, low), np.where(stop, index.size, high)
-        live = j < n
-        if not live.all():
-            seg, n, j, g, at, low, high = (v[live] for v in (seg, n, j, g, at, low, high))
-    return out
+    at = np.arange(len(flat)) + np.repeat(np.arange(len(codes)), sizes)
+    text, weight = np.zeros(int(sizes.sum()) + len(codes), np.int64), np.zeros(int(sizes.sum()) + len(codes), np.int64)
+    text[at], weight[at] = symbols + 1, np.repeat(x["c"], sizes)
+    index = FMIndex(text, len(values) + 1, int(sizes.max()), weight)
+    reach = np.split(index.matching_statistics(text, begin, sizes), np.cumsum(sizes)[:-1])
+    return [r[: len(r) - window + 1] >= window for r in reach]
 
 
 def drop_repeated_words(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -118,9 +173,13 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW, text: str = "text
     A word goes if a window of that many consecutive words covers it whose
     sequence also starts at any other place, in any document or the same; rows that
     repeat a document are places of their own. Texts with fewer words than a
-    window lose nothing; null counts as empty. Null keys stay null.
+    window lose nothing; null counts as empty. Null keys stay null; keys may be of any
+    type that can be ordered. Texts of any length are whole. An empty table gives an
+    empty table; other columns of docs play no part.
     """
     units = Units(window, min(ANCHOR, window // 2 + 1), True, SHARD_WORDS)
+    kind = docs.schema[key].dataType
+    docs, names = long_keys(docs, key, text)
     dealt, flags = find(docs, units, lambda codes, x: repeated_windows(codes, x, window), False, text, key)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +200,7 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW, text: str = "text
                 yield pa.RecordBatch.from_arrays([batch.column("d").slice(a, b - a), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), spans_array(runs), pa.array(out, pa.string())], names=["d", "n_words", "n_removed", "spans", "kept"])
 
     out = dealt.join(flags, ["d", "frag"], "left").select("d", "t", "ranges").mapInArrow(finish, "d long, n_words long, n_removed long, spans array<struct<s:long,e:long>>, kept string")
-    return _named(out, docs, key)
+    return by_key(out, key, kind, names)
 
 
 def spans_array(runs: list[list[tuple[int, int]]]) -> pa.Array:
@@ -150,8 +209,8 @@ def spans_array(runs: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r) for r in runs])], pa.int32()), ends)
 
 
-def _named(out: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    value = F.when(F.col("d") != LAST_KEY, F.col("d")).cast(docs.schema[key].dataType)
-    return out.select(value.alias(key), *[c for c in out.columns if c != "d"])
+def by_key(out: DataFrame, key: str, kind: DataType, names: DataFrame | None) -> DataFrame:
+    """The rows of out (d, …) by the key that d stands for."""
+    value = F.when(F.col("d") != LAST_KEY, F.col("d"))
+    rest = [c for c in out.columns if c != "d"]
+    return named_keys(out.select((value if names else value.cast(kind)).alias(key), *rest), names, key)

@@ -3,13 +3,14 @@
 Texts are sequences of units (bytes or words). Of every window of a fixed length
 the k units of the least hash are its anchor; equal windows have equal anchors,
 and neighbouring windows mostly share one, so a document becomes a few segments:
-the windows of one anchor, one after another. Segments whose anchor occurs once
-hold no repeat and go no further. Those of equal content are counted natively.
-Only where one anchor stands in different segments must contents be compared:
-they are dealt to shards by anchor, and an index is built for each shard (the
-kernels of the two operators that use this module). Anchors with very many
-different segments are compared by the hashes of their windows, natively, so no
-task holds an unbounded group.
+the windows of one anchor, one after another. Anchors only route: segments whose
+anchor occurs once hold no repeat and go no further, segments of equal content
+become one with their number as weight, and all others are dealt to shards by anchor.
+An index is built for each shard (the kernels of the two operators that use this
+module) and decides which windows are repeats. Where one anchor has more different
+segments than a shard takes, its windows are told apart by longer anchors, each
+twice as near to the whole window, until every anchor's segments fit; so no task
+holds an unbounded group and no pairs are compared.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlaw.llm.arrays import LETTERS, M2, Powers, Texts, U, Words, mixed, slices
@@ -28,8 +29,10 @@ from graphlaw.llm.common import text_of, written
 
 #: Text worked on at a time, bits of a position there, windows of one text at a time.
 BLOCK, POSITION, CHUNK = 1 << 16, 24, 1 << 22
-#: Different segments of an anchor that a shard takes; beyond, windows are compared by hash.
+#: Different segments that share an anchor; of more, the anchors are made longer.
 SHARD_SEGMENTS = 4000
+#: A place: first window in the high 32 bits, the anchor's distance from there and the number of windows in 16 bits each.
+OFF, SHORT = 16, (1 << 16) - 1
 #: Key of rows without one: after all others.
 LAST_KEY = 2**63 - 1
 
@@ -43,6 +46,10 @@ class Units:
     by_words: bool
     shard: int
 
+    def __post_init__(self) -> None:
+        if not 0 < self.anchor <= self.window or self.reach > SHORT:
+            raise ValueError(f"windows of {self.window} units aren't supported")
+
     @property
     def reach(self) -> int:
         return self.window - self.anchor + 1
@@ -56,6 +63,14 @@ class Units:
         return LETTERS[texts.data], texts.edges
 
 
+def placed(p: np.ndarray, off: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (p.astype(np.int64) << 32) | (off.astype(np.int64) << OFF) | n
+
+
+def parts_of(place: np.ndarray) -> dict[str, np.ndarray]:
+    return {"p": place >> 32, "off": place >> OFF & SHORT, "n": place & SHORT}
+
+
 def sums_of(codes: np.ndarray) -> np.ndarray:
     up, _ = Powers.upto(len(codes) + 1)
     out = np.zeros(len(codes) + 1, np.uint64)
@@ -70,7 +85,7 @@ def stretch(sums: np.ndarray, begin: np.ndarray, size: np.ndarray | int) -> np.n
 
 
 def segments(codes: np.ndarray, edges: np.ndarray, units: Units) -> dict[str, np.ndarray]:
-    """The segments of some texts: doc, p (first window), n (windows), a (hash of the anchor), s (hash of the content, and the anchor's place in its low 7 bits)."""
+    """The segments of some texts: doc, place (first window, the anchor's distance from there, windows), a (hash of the anchor), s (hash of the content)."""
     out = []
     for lo, hi, doc in _pieces(edges, units):
         part = codes[lo:hi]
@@ -100,9 +115,10 @@ def segments(codes: np.ndarray, edges: np.ndarray, units: Units) -> dict[str, np
         new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         n = np.diff(np.r_[new, len(at)])
         p, anchor = starts[new], at[new]
-        s = (stretch(sums, p, n + (units.window - 1)) << U(7)) | (anchor - p).astype(np.uint64)
-        out.append((own[new], p + lo - edges[own[new]], n, kmer[anchor].view(np.int64), s.view(np.int64)))
-    names = ("doc", "p", "n", "a", "s")
+        s = stretch(sums, p, n + (units.window - 1))
+        place = placed(p + lo - edges[own[new]], anchor - p, n)
+        out.append((own[new], place, kmer[anchor].view(np.int64), s.view(np.int64)))
+    names = ("doc", "place", "a", "s")
     if not out:
         return {x: np.zeros(0, np.int64) for x in names}
     return {x: np.concatenate(c) for x, c in zip(names, zip(*out, strict=True), strict=True)}
@@ -119,20 +135,42 @@ def _pieces(edges: np.ndarray, units: Units) -> Iterator[tuple[int, int, int | N
             yield at, min(hi, at + CHUNK + units.window - 1), d
 
 
+def longer_anchors(content: list[np.ndarray], place: np.ndarray, core: np.ndarray, units: Units) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """Two parts of each segment by longer anchors: (segment, its first window in it, place's off and n, length of the anchor, hash of the anchor, hash of the content).
+
+    Every window holds the anchor and slack more units, so it reaches half of them
+    further on the left, or more than the other half on the right. Equal windows go the
+    same way, by equal anchors; an anchor of a whole window has one content only.
+    """
+    x = parts_of(place)
+    for i, codes in enumerate(content):
+        sums = sums_of(codes if units.by_words else LETTERS[codes])
+        off, n, length = int(x["off"][i]), int(x["n"][i]), int(core[i])
+        slack = units.window - length
+        far = -(-slack // 2)
+        left = min(max(off - far + 1, 0), n)
+        for first, windows, at, size in ((0, left, off - far, length + far), (left, n - left, off - left, length + slack // 2 + 1)):
+            if windows:
+                anchor, whole = (int(stretch(sums, np.array([b]), s).view(np.int64)[0]) for b, s in ((first + at, size), (first, windows + units.window - 1)))
+                yield i, first, at, windows, size, anchor, whole
+
+
 def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict[str, np.ndarray]], list[np.ndarray]], later_only: bool, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(docs, flags). docs: d, frag (64-bit hash of the text, which tells texts of one key apart), t, partitioned by d, frag; flags: d, frag and ranges, an array of (s, n): n windows from unit s on are repeats.
 
     later_only: a window is a repeat if an equal one starts in a lower key, or in
     the same key further left; else if an equal one starts at any other place.
     kernel(codes, columns) gets the codes (or bytes) of the different segments of
-    a shard and the columns d, p, n, off, c (occurrences), and gives for each segment
-    which of its windows also stand in another segment (later_only: an earlier one).
-    Rows of equal key and equal text have equal ranges. Null keys count as the
-    largest, null texts as empty.
+    a shard and the columns d, p, off, n (of the first occurrence), c (occurrences), and
+    gives for each segment which of its windows occur twice or more (later_only: which
+    of the first occurrence's windows also stand earlier).
+    Rows of equal key and equal text have equal ranges. key: a long column; null keys
+    count as the largest, null texts as empty.
     """
     window = units.window
     t = text_of(docs, text)
     base = docs.select(F.coalesce(docs[key].cast("long"), F.lit(LAST_KEY)).alias("d"), F.xxhash64(t).alias("frag"), t.alias("t"))
+    code = np.uint64 if units.by_words else np.uint8
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,8 +178,8 @@ def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict
             d, frag = (batch.column(c).to_numpy() for c in ("d", "frag"))
             for a, b in slices(column, BLOCK):
                 x = segments(*units.of(column, a, b), units)
-                own, place = a + x["doc"], (x["p"] << 32) | x["n"]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x["a"], x["s"], d[own], frag[own], place)], names=["a", "s", "d", "frag", "place"])
+                own = a + x["doc"]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x["a"], x["s"], d[own], frag[own], x["place"])], names=["a", "s", "d", "frag", "place"])
 
     anchors = base.mapInArrow(cut, "a long, s long, d long, frag long, place long")
     # a table of its own, so that the join deals both sides anew and can split a hot anchor
@@ -150,106 +188,121 @@ def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict
     repeated = written(anchors.join(twice.hint("merge"), "a"), "repeated")
     different = repeated.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "place", "frag")).alias("first"))
     different = written(different.select("a", "s", "c", "first.d", "first.frag", "first.place"), "different")
-    p, n = F.shiftright("place", 32), F.col("place").bitwiseAND(127)
-    flagged = lambda df: df.select("d", "frag", p.cast("long").alias("s"), n.cast("long").alias("n"))
-
-    # equal segments: all windows of all of them, or of all but the first
-    many = different.where("c > 1")
-    again = repeated.alias("r").join(many.select("a", "s", F.col("d").alias("d0"), F.shiftright("place", 32).alias("p0")).hint("merge").alias("m"), ["a", "s"])
-    again = again.where((F.col("d") > F.col("d0")) | ((F.col("d") == F.col("d0")) & (p > F.col("p0")))) if later_only else again
-    flags = [flagged(again.select("d", "frag", "place"))]
-
-    # one anchor in different segments: contents are compared
-    several = written(different.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
-    wanted = different.join(several.hint("merge"), "a")
-    total, hot = wanted.agg(F.coalesce(F.sum(F.when(F.col("m") <= SHARD_SEGMENTS, n + window - 1)), F.lit(0)), F.count(F.when(F.col("m") > SHARD_SEGMENTS, 1))).first()
+    crowded = written(different.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHARD_SEGMENTS).select("a"), "crowded")
     parts = max(1, base.sparkSession.sparkContext.defaultParallelism, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = base.repartition(parts, "d", "frag")
 
-    def contents(which: Column) -> DataFrame:
-        """The segments asked for, with their content."""
-        asked = wanted.where(which).select("d", "frag", F.struct("a", "s", "c", "place").alias("x")).groupBy("d", "frag").agg(F.collect_list("x").alias("xs"))
-
-        def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                column, lists = batch.column("t"), batch.column("xs")
-                for i, j in slices(column, 4 * BLOCK):
-                    texts, xs = Texts(column, i, j), lists.slice(i, j - i)
-                    if units.by_words:
-                        words = Words(texts)
-                        codes, edges = words.hash, words.first
-                    else:
-                        codes, edges = texts.data, texts.edges
-                    x = xs.flatten()
-                    owner = np.repeat(np.arange(j - i), np.diff(xs.offsets.to_numpy()))
-                    place = x.field("place").to_numpy()
-                    begin = edges[owner] + (place >> 32)
-                    end = begin + (place & 127) + window - 1
-                    content = [codes[s:e].tobytes() for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
-                    row = [pa.array(batch.column(c).to_numpy()[i + owner]) for c in ("d", "frag")]
-                    yield pa.RecordBatch.from_arrays([*(x.field(c) for c in ("a", "s", "c")), *row, x.field("place"), pa.array(content, pa.binary())], names=["a", "s", "c", "d", "frag", "place", "content"])
-
-        return dealt.join(asked, ["d", "frag"]).select("d", "frag", "t", "xs").mapInArrow(take, "a long, s long, c long, d long, frag long, place long, content binary")
-
-    code = np.uint64 if units.by_words else np.uint8
-
-    def opened(tables: list[pa.RecordBatch]) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, lists = batch.column("t"), batch.column("xs")
+            for i, j in slices(column, 4 * BLOCK):
+                texts, xs = Texts(column, i, j), lists.slice(i, j - i)
+                if units.by_words:
+                    words = Words(texts)
+                    codes, edges = words.hash, words.first
+                else:
+                    codes, edges = texts.data, texts.edges
+                x = xs.flatten()
+                owner = np.repeat(np.arange(j - i), np.diff(xs.offsets.to_numpy()))
+                at = parts_of(x.field("place").to_numpy())
+                begin = edges[owner] + at["p"]
+                end = begin + at["n"] + window - 1
+                content = [codes[s:e].tobytes() for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
+                d = pa.array(batch.column("d").to_numpy()[i + owner])
+                yield pa.RecordBatch.from_arrays([x.field("a"), x.field("s"), x.field("c"), d, x.field("place"), pa.array(content, pa.binary())], names=["a", "s", "c", "d", "place", "content"])
+
+    kind = "a long, s long, c long, d long, place long, content binary"
+    asked = lambda rows: rows.select("d", "frag", F.struct("a", "s", "c", "place").alias("x")).groupBy("d", "frag").agg(F.collect_list("x").alias("xs"))
+    contents = lambda texts, asked: texts.join(asked, ["d", "frag"]).select("d", "frag", "t", "xs").mapInArrow(take, kind)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = list(batches)
+        if not sum(b.num_rows for b in tables):
+            return
         table = pa.Table.from_batches(tables).combine_chunks()
-        x = {c: table.column(c).to_numpy() for c in ("a", "s", "c", "d", "frag", "place")}
+        x = {c: table.column(c).to_numpy() for c in ("a", "s", "c", "d", "place")}
         # rows that repeat key and text ask for a segment once each
-        order = np.lexsort((x["frag"], x["place"], x["d"], x["s"], x["a"]))
+        order = np.lexsort((x["place"], x["d"], x["s"], x["a"]))
         same = [x[c][order][1:] == x[c][order][:-1] for c in ("a", "s")]
-        keep = np.sort(order[np.r_[True, ~(same[0] & same[1])]]) if len(order) else order
+        keep = np.sort(order[np.r_[True, ~(same[0] & same[1])]])
         content = table.column("content")
         x = {c: v[keep] for c, v in x.items()}
-        x |= {"p": x["place"] >> 32, "n": x["place"] & 127, "off": x["s"] & 127}
-        return [np.frombuffer(content[int(i)].as_py(), code) for i in keep], x
-
-    if total:
-        shards = max(parts, -(-int(total) // units.shard))
-
-        def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = list(batches)
-            if not sum(b.num_rows for b in tables):
-                return
-            codes, x = opened(tables)
-            rows: list[tuple[int, int, int, int]] = []
-            for i, bad in enumerate(kernel(codes, x)):
-                edge = np.flatnonzero(np.diff(np.r_[False, bad, False].astype(np.int8)))
-                rows += [(int(x["d"][i]), int(x["frag"][i]), int(x["p"][i] + s), int(e - s)) for s, e in zip(edge[::2], edge[1::2], strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows, strict=True)], names=["d", "frag", "s", "n"])
-
-        flags.append(contents(F.col("m") <= SHARD_SEGMENTS).repartition(shards, "a").mapInArrow(index, "d long, frag long, s long, n long"))
+        x |= parts_of(x["place"])
+        codes = [np.frombuffer(content[int(i)].as_py(), code) for i in keep]
+        rows: list[tuple[int, ...]] = []
+        for i, bad in enumerate(kernel(codes, x)):
+            own = (int(x["a"][i]), int(x["s"][i]))
+            edge = np.flatnonzero(np.diff(np.r_[False, bad, False].astype(np.int8)))
+            rows += [(*own, int(s), int(e - s), 0, -1) for s, e in zip(edge[::2], edge[1::2], strict=True)]
+            if later_only and x["c"][i] > 1 and not bad.all():
+                # all others stand later than the first
+                rows.append((*own, 0, int(x["n"][i]), int(x["d"][i]), int(x["p"][i])))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows, strict=True)], names=["a", "s", "from", "n", "xd", "xp"])
+
+    judged_as = "a long, s long, from long, n long, xd long, xp long"
+
+    def judged(segments: DataFrame, total: int) -> DataFrame:
+        """Ranges of windows that are repeats, by segment (a, s), at every occurrence but the one that starts at xd, xp."""
+        return segments.repartition(max(parts, -(-int(total) // units.shard)), "a").mapInArrow(index, judged_as)
+
+    units_in = lambda df: df.agg(F.coalesce(F.sum(F.col("place").bitwiseAND(SHORT) + window - 1), F.lit(0))).first()[0]
+    hot = not crowded.isEmpty()
+    easy = different.join(crowded.hint("merge"), "a", "left_anti") if hot else different
+    found = judged(contents(dealt, asked(easy)), units_in(easy))
     if hot:
+        # a size that the planner knows, so few texts are looked up without moving all
+        wanted = written(asked(different.join(crowded, "a", "left_semi")), "asked")
+        now = contents(base, wanted).dropDuplicates(["a", "s"]).select("a", "s", F.lit(0).cast("long").alias("shift"), "c", "d", "place", F.lit(units.anchor).alias("core"), "content")
+        now = written(now, "crowd")
+        while not now.isEmpty():
+            now, more = _apart(now, units, code, judged)
+            found = found.unionByName(more) if more is not None else found
+    hits = repeated.join(found.withColumnRenamed("n", "k").hint("merge"), ["a", "s"])
+    p = F.shiftright("place", 32)
+    hits = hits.where((F.col("d") != F.col("xd")) | (p != F.col("xp")))
+    hits = hits.select("d", "frag", F.struct((p + F.col("from")).cast("long").alias("s"), F.col("k").alias("n")).alias("x"))
+    return dealt, hits.groupBy("d", "frag").agg(F.collect_list("x").alias("ranges"))
+
+
+def _apart(now: DataFrame, units: Units, code: type, judged: Callable[[DataFrame, int], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """One round of longer anchors for segments (a, s, shift, …, content): those whose anchors are still shared by too many, and what is judged of the others.
+
+    A segment keeps the name (a, s) of the one that it is a part of, and shift, its first window there.
+    """
 
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                codes, x = opened([batch])
-                h = []
-                for c in codes:
-                    sums = sums_of(c if units.by_words else LETTERS[c])
-                    at = np.arange(len(c) - window + 1)
-                    first = stretch(sums, at, window)
-                    sums = sums_of(mixed(c.astype(np.uint64) + U(1)))
-                    h.append((first.view(np.int64), stretch(sums, at, window).view(np.int64)))
-                nth = np.concatenate([np.arange(len(a)) for a, _ in h])
-                reps = [len(a) for a, _ in h]
-                cols = [np.concatenate([a for a, _ in h]), np.concatenate([b for _, b in h]), np.repeat(x["c"], reps), np.repeat(x["d"], reps), np.repeat(x["p"], reps) + nth, np.repeat(x["frag"], reps)]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["h1", "h2", "c", "d", "s", "frag"])
-
-        # part of the one plan that deals the texts, so that they move once for all uses
-        each = contents(F.col("m") > SHARD_SEGMENTS).mapInArrow(windows, "h1 long, h2 long, c long, d long, s long, frag long").distinct()
-        known = each.groupBy("h1", "h2").agg(F.sum("c").alias("places"), F.min(F.struct("d", "s")).alias("first")).where("places > 1")
-        known = each.drop("c").join(known, ["h1", "h2"])
-        known = known.where(F.struct("d", "s") > F.col("first")) if later_only else known
-        flags.append(known.select("d", "frag", "s", F.lit(1).cast("long").alias("n")))
-    found = flags[0]
-    for more in flags[1:]:
-        found = found.unionByName(more)
-    return dealt, found.groupBy("d", "frag").agg(F.collect_list(F.struct("s", "n")).alias("ranges"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [np.frombuffer(v.as_py(), code) for v in batch.column("content")]
+            x = {c: batch.column(c).to_numpy() for c in ("a", "s", "shift", "c", "d", "place", "core")}
+            rows = list(longer_anchors(codes, x["place"], x["core"], units))
+            if not rows:
+                continue
+            i, first, off, n, core, anchor, whole = (np.array(v, np.int64) for v in zip(*rows, strict=True))
+            place = placed((x["place"][i] >> 32) + first, off, n)
+            content = [codes[k][f : f + m + units.window - 1].tobytes() for k, f, m in zip(i.tolist(), first.tolist(), n.tolist(), strict=True)]
+            cols = [x["a"][i], x["s"][i], x["shift"][i] + first, x["c"][i], x["d"][i], place, core.astype(np.int32), anchor, whole]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(content, pa.binary())], names=["a", "s", "shift", "c", "d", "place", "core", "a2", "s2", "content"])
+
+    parts = now.mapInArrow(run, "a long, s long, shift long, c long, d long, place long, core int, a2 long, s2 long, content binary")
+    parts = written(parts, "parts")
+    kinds = parts.groupBy("a2", "s2").agg(F.sum("c").alias("c"), F.min(F.struct("d", "place")).alias("first"))
+    totals = kinds.groupBy("a2").agg(F.count(F.lit(1)).alias("m"), F.sum("c").alias("all")).where("all > 1").select("a2", "m")
+    totals = written(totals, "anchors")
+    fine = totals.where(F.col("m") <= SHARD_SEGMENTS).select("a2")
+    # different segments of one anchor, each once, with the weight of all of its kind
+    each = parts.join(fine, "a2", "left_semi").groupBy("a2", "s2").agg(F.sum("c").alias("c"), F.min(F.struct("d", "place")).alias("first"), F.first("content").alias("content"))
+    each = written(each.select(F.col("a2").alias("a"), F.col("s2").alias("s"), "c", "first.d", "first.place", "content"), "kinds")
+    total = each.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0] // np.dtype(code).itemsize
+    more = None
+    if total:
+        said = judged(each, total).withColumnsRenamed({"a": "a2", "s": "s2"})
+        names = parts.select("a", "s", "shift", "a2", "s2")
+        # xp names the first window of the kind, a segment's name that of the whole: hence less its shift
+        back = said.join(names, ["a2", "s2"]).select("a", "s", (F.col("from") + F.col("shift")).alias("from"), "n", "xd", F.when(F.col("xp") >= 0, F.col("xp") - F.col("shift")).otherwise(-1).alias("xp"))
+        more = written(back, "judged")
+    left = parts.join(totals.where(F.col("m") > SHARD_SEGMENTS).select("a2"), "a2", "left_semi")
+    return written(left.select("a", "s", "shift", "c", "d", "place", "core", "content"), "crowd"), more
 
 
 def covered(size: int, ranges: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:

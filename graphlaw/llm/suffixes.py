@@ -9,8 +9,8 @@ groups are filled in ascending order: each suffix emitted brings the one before
 pointers those that follow from it, to the front of their groups.
 
 Symbols are blocks of bytes that are aligned to a segment's anchor, as equal
-windows are; runs of the array with a common prefix, with the bytes left over at
-both ends, tell equal windows exactly.
+windows are; runs of the array with a common prefix, with hashes of the bytes left
+over at both ends, give equal windows, whose bytes are then compared.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphlaw.llm.arrays import LETTERS, U, mixed
-from graphlaw.llm.fmindex import _named, spans_array
+from graphlaw.llm.common import long_keys
+from graphlaw.llm.fmindex import by_key, spans_array
 from graphlaw.llm.repeats import Units, covered, find, stretch, sums_of, texts_with_ranges
 
 WINDOW, ANCHOR, BLOCK, SHARD_BYTES = 100, 32, 20, 2 << 20
@@ -112,7 +113,7 @@ def suffix_array(text: list[int]) -> list[int]:
 
 
 def earlier_windows(codes: list[np.ndarray], x: dict[str, np.ndarray], window: int = WINDOW, block: int = BLOCK) -> list[np.ndarray]:
-    """For each segment which of its windows stand earlier (lower d, or equal d and lower place) in this or another segment."""
+    """For each segment which of its windows stand earlier (lower d, or equal d and lower place) in this or another segment, by first occurrences."""
     sizes = np.array([len(c) for c in codes])
     begin = np.r_[0, np.cumsum(sizes)][:-1]
     sums = sums_of(LETTERS[np.concatenate(codes)])
@@ -152,9 +153,22 @@ def earlier_windows(codes: list[np.ndarray], x: dict[str, np.ndarray], window: i
     d, p = x["d"][owner], x["p"][owner] + j
     order = np.lexsort((p, d, key))
     new = np.r_[True, key[order][1:] != key[order][:-1]]
-    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    bad = np.zeros(len(owner), bool)
-    bad[order] = (d[order] > d[head]) | (p[order] > p[head])
+    head = np.empty(len(order), np.int64)
+    head[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    bad = (d > d[head]) | (p > p[head])
+    # hashes named the windows; their bytes decide
+    every = np.concatenate(codes)
+    wrong = []
+    for part in np.array_split(np.flatnonzero(bad), 1 + len(bad) // 100_000):
+        a, b = ((begin[owner[i]] + j[i])[:, None] + np.arange(window) for i in (part, head[part]))
+        wrong.append(part[(every[a] != every[b]).any(1)])
+    for k in np.unique(key[np.concatenate(wrong)]):
+        seen: set[bytes] = set()
+        for i in order[key[order] == k]:
+            content = every[begin[owner[i]] + j[i] :][:window].tobytes()
+            first = content not in seen
+            seen.add(content)
+            bad[i] = not first and any((d[h], p[h]) < (d[i], p[i]) and every[begin[owner[h]] + j[h] :][:window].tobytes() == content for h in order[key[order] == k])
     return np.split(bad, np.cumsum(n)[:-1])
 
 
@@ -164,10 +178,14 @@ def drop_earlier_bytes(docs: DataFrame, window: int = WINDOW, text: str = "text"
     A byte goes if a string of that many bytes covers it which also starts
     earlier: in a lower key, or in the same key further left. Rows of equal key and
     text are one document in this sense. Shorter texts lose nothing; null counts as
-    empty. Null keys stay null and come after all others.
+    empty. Null keys stay null and come after all others; keys may be of any type that
+    can be ordered. Texts of any length are whole. An empty table gives an empty
+    table; other columns of docs play no part.
     """
     units = Units(window, min(ANCHOR, window // 2 + 1), False, SHARD_BYTES)
     block = max(1, window // 5)
+    kind = docs.schema[key].dataType
+    docs, names = long_keys(docs, key, text)
     dealt, flags = find(docs, units, lambda codes, x: earlier_windows(codes, x, window, block), True, text, key)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,4 +204,4 @@ def drop_earlier_bytes(docs: DataFrame, window: int = WINDOW, text: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column("d").slice(a, b - a), pa.array(map(len, texts), pa.int64()), pa.array(removed, pa.int64()), spans_array(runs), pa.array(out, pa.binary())], names=["d", "n_bytes", "n_removed", "spans", "kept"])
 
     out = dealt.join(flags, ["d", "frag"], "left").select("d", "t", "ranges").mapInArrow(finish, "d long, n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary")
-    return _named(out, docs, key)
+    return by_key(out, key, kind, names)

@@ -107,23 +107,62 @@ def planted(spark):
 def test_op5_equals_brute_force(planted, hot, monkeypatch):
     monkeypatch.setattr(repeats, "SHARD_SEGMENTS", 3 if hot else 4000)
     rows, df = planted
-    assert got_words(drop_repeated_words(df)) == brute_words(rows, 35)
-    assert got_words(drop_repeated_words(df, 8)) == brute_words(rows, 8)
+    for window in (35, 8, *((120, 400) if not hot else ())):
+        assert got_words(drop_repeated_words(df, window)) == brute_words(rows, window)
 
 
 @pytest.mark.parametrize("hot", [False, True])
 def test_op8_equals_brute_force(planted, hot, monkeypatch):
     monkeypatch.setattr(repeats, "SHARD_SEGMENTS", 3 if hot else 4000)
     rows, df = planted
+    for window in (100, *((300,) if not hot else ())):
+        assert got_bytes(drop_earlier_bytes(df, window)) == brute_bytes(rows, window)
+
+
+def test_a_common_passage_between_different_words(spark, monkeypatch):
+    """Anchors at its edges stand in as many different segments as there are documents."""
+    monkeypatch.setattr(repeats, "SHARD_SEGMENTS", 5)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage = [word() for _ in range(70)]
+    some = lambda: [word() for _ in range(rng.randrange(5, 40))]
+    rows = [(i, " ".join(some() + passage[rng.randrange(12) : 70 - rng.randrange(12)] + some())) for i in range(60)]
+    rows += [(100, " ".join(passage[:40])), (101, " ".join(passage[10:44])), (None, " ".join(passage))]
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], COLUMNS)
+    assert got_words(drop_repeated_words(df)) == brute_words(rows, 35)
     assert got_bytes(drop_earlier_bytes(df)) == brute_bytes(rows, 100)
 
 
+def test_keys_of_text(spark):
+    rows = [(None if k is None else f"k{k:06}", t) for k, t in pieces(40, 8)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert got_words(drop_repeated_words(df)) == brute_words(rows, 35)
+    key = lambda k: "z" if k is None else k
+    want = brute_bytes([(key(k), t) for k, t in rows], 100)
+    assert got_bytes(drop_earlier_bytes(df).selectExpr("coalesce(doc_id, 'z') doc_id", "n_bytes", "n_removed", "spans", "kept")) == want
+    assert drop_repeated_words(df).schema["doc_id"].dataType.simpleString() == "string"
+
+
+def test_matching_statistics():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        segs = [rng.integers(1, rng.integers(2, 6), rng.integers(1, 25)) for _ in range(rng.integers(2, 12))]
+        sizes, c = np.array([len(s) for s in segs]), rng.integers(1, 3, len(segs))
+        begin = np.r_[0, np.cumsum(sizes + 1)][:-1]
+        text, weight = np.concatenate([np.r_[s, 0] for s in segs]), np.concatenate([np.r_[np.full(len(s), n), 0] for s, n in zip(segs, c, strict=True)])
+        index = FMIndex(text, int(text.max()) + 1, int(sizes.max()), weight)
+        count = lambda x: sum(n * sum((s[i : i + len(x)] == x).all() for i in range(len(s) - len(x) + 1)) for s, n in zip(segs, c, strict=True))  # noqa: E731, B023
+        want = [max(m for m in range(len(s) - i + 1) if not m or count(s[i : i + m]) > 1) for s in segs for i in range(len(s))]
+        assert index.matching_statistics(text, begin, sizes).tolist() == want
+
+
 def test_long_texts_are_cut_in_overlapping_parts(monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 500)
     rng = np.random.default_rng(3)
     codes = rng.integers(0, 2**63, 3000).astype(np.uint64)
     edges = np.array([0, 10, 2600, 3000])
     got = repeats.segments(codes, edges, repeats.Units(35, 12, True, 1))
+    got |= repeats.parts_of(got["place"])
     for d in range(3):
         at = [p + i for p, n, o in zip(got["p"], got["n"], got["doc"], strict=True) if o == d for i in range(n)]
         assert sorted(at) == list(range(max(0, edges[d + 1] - edges[d] - 34)))
