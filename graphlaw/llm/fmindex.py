@@ -18,7 +18,7 @@ from pyspark.sql.types import DataType
 
 from graphlaw.llm.arrays import U
 from graphlaw.llm.common import long_keys, named_keys
-from graphlaw.llm.repeats import LAST_KEY, Units, covered, find, texts_with_ranges
+from graphlaw.llm.repeats import LAST_KEY, Units, covered, find, inside, texts_with_ranges
 
 WINDOW, ANCHOR, SHARD_WORDS = 35, 12, 250_000
 
@@ -153,18 +153,16 @@ class FMIndex:
         return out
 
 
-def repeated_windows(codes: list[np.ndarray], x: dict[str, np.ndarray], window: int = WINDOW) -> list[np.ndarray]:
-    """For each segment which of its windows occur twice or more, a segment standing for as many as c says: those from which the matching statistics reach the window's length."""
-    sizes = np.array([len(c) for c in codes])
-    flat = np.concatenate(codes)
+def repeated_windows(flat: np.ndarray, sizes: np.ndarray, x: dict[str, np.ndarray], window: int = WINDOW) -> np.ndarray:
+    """For the windows of all segments which occur twice or more, a segment standing for as many as c says: those from which the matching statistics reach the window's length."""
     values, symbols = np.unique(flat, return_inverse=True)
-    begin = np.r_[0, np.cumsum(sizes + 1)][:-1]
-    at = np.arange(len(flat)) + np.repeat(np.arange(len(codes)), sizes)
-    text, weight = np.zeros(int(sizes.sum()) + len(codes), np.int64), np.zeros(int(sizes.sum()) + len(codes), np.int64)
+    begin = np.cumsum(sizes + 1) - (sizes + 1)
+    at = np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)
+    text, weight = np.zeros(len(flat) + len(sizes), np.int64), np.zeros(len(flat) + len(sizes), np.int64)
     text[at], weight[at] = symbols + 1, np.repeat(x["c"], sizes)
     index = FMIndex(text, len(values) + 1, int(sizes.max()), weight)
-    reach = np.split(index.matching_statistics(text, begin, sizes), np.cumsum(sizes)[:-1])
-    return [r[: len(r) - window + 1] >= window for r in reach]
+    reach = index.matching_statistics(text, begin, sizes)
+    return reach[inside(np.cumsum(sizes) - sizes, sizes - window + 1)] >= window
 
 
 def drop_repeated_words(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -180,7 +178,7 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW, text: str = "text
     units = Units(window, min(ANCHOR, window // 2 + 1), True, SHARD_WORDS)
     kind = docs.schema[key].dataType
     docs, names = long_keys(docs, key, text)
-    dealt, flags = find(docs, units, lambda codes, x: repeated_windows(codes, x, window), False, text, key)
+    dealt, flags = find(docs, units, lambda codes, sizes, x: repeated_windows(codes, sizes, x, window), False, text, key)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -155,15 +155,31 @@ def longer_anchors(content: list[np.ndarray], place: np.ndarray, core: np.ndarra
                 yield i, first, at, windows, size, anchor, whole
 
 
-def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict[str, np.ndarray]], list[np.ndarray]], later_only: bool, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def inside(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of some stretches, one after another."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def runs_of(bad: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of windows that hold, segments having n each: (segment, first window, windows)."""
+    ends = np.cumsum(n)
+    cut = np.zeros(len(bad) + 1, bool)
+    cut[np.r_[0, ends]] = True
+    before, after = np.r_[False, bad[:-1]] & ~cut[:-1], np.r_[bad[1:], False] & ~cut[1:]
+    start, last = np.flatnonzero(bad & ~before), np.flatnonzero(bad & ~after)
+    owner = np.searchsorted(ends, start, "right")
+    return owner, start - (ends - n)[owner], last - start + 1
+
+
+def find(docs: DataFrame, units: Units, kernel: Callable[[np.ndarray, np.ndarray, dict[str, np.ndarray]], np.ndarray], later_only: bool, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(docs, flags). docs: d, frag (64-bit hash of the text, which tells texts of one key apart), t, partitioned by d, frag; flags: d, frag and ranges, an array of (s, n): n windows from unit s on are repeats.
 
     later_only: a window is a repeat if an equal one starts in a lower key, or in
     the same key further left; else if an equal one starts at any other place.
-    kernel(codes, columns) gets the codes (or bytes) of the different segments of
-    a shard and the columns d, p, off, n (of the first occurrence), c (occurrences), and
-    gives for each segment which of its windows occur twice or more (later_only: which
-    of the first occurrence's windows also stand earlier).
+    kernel(codes, sizes, columns) gets the codes (or bytes) of the different segments of
+    a shard, one after another by d and p, and the columns d, p, off, n (of the first
+    occurrence), c (occurrences), and tells for all windows of all segments which occur
+    twice or more (later_only: which of the first occurrence's windows also stand earlier).
     Rows of equal key and equal text have equal ranges. key: a long column; null keys
     count as the largest, null texts as empty.
     """
@@ -221,24 +237,27 @@ def find(docs: DataFrame, units: Units, kernel: Callable[[list[np.ndarray], dict
             return
         table = pa.Table.from_batches(tables).combine_chunks()
         x = {c: table.column(c).to_numpy() for c in ("a", "s", "c", "d", "place")}
-        # rows that repeat key and text ask for a segment once each
+        # rows that repeat key and text ask for a segment once each; the others by key and place
         order = np.lexsort((x["place"], x["d"], x["s"], x["a"]))
         same = [x[c][order][1:] == x[c][order][:-1] for c in ("a", "s")]
-        keep = np.sort(order[np.r_[True, ~(same[0] & same[1])]])
-        content = table.column("content")
+        keep = order[np.r_[True, ~(same[0] & same[1])]]
+        keep = keep[np.lexsort((x["place"][keep], x["d"][keep]))]
+        content = Texts(table.column("content").chunk(0))
+        del tables, table
         x = {c: v[keep] for c, v in x.items()}
         x |= parts_of(x["place"])
-        codes = [np.frombuffer(content[int(i)].as_py(), code) for i in keep]
-        rows: list[tuple[int, ...]] = []
-        for i, bad in enumerate(kernel(codes, x)):
-            own = (int(x["a"][i]), int(x["s"][i]))
-            edge = np.flatnonzero(np.diff(np.r_[False, bad, False].astype(np.int8)))
-            rows += [(*own, int(s), int(e - s), 0, -1) for s, e in zip(edge[::2], edge[1::2], strict=True)]
-            if later_only and x["c"][i] > 1 and not bad.all():
-                # all others stand later than the first
-                rows.append((*own, 0, int(x["n"][i]), int(x["d"][i]), int(x["p"][i])))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows, strict=True)], names=["a", "s", "from", "n", "xd", "xp"])
+        data = content.data.view(code)
+        begin, size = content.edges[keep] // data.itemsize, (content.edges[keep + 1] - content.edges[keep]) // data.itemsize
+        flat = data[inside(begin, size)]
+        bad = kernel(flat, size, x)
+        owner, first, n = runs_of(bad, x["n"])
+        cols = [x["a"][owner], x["s"][owner], first, n, np.zeros(len(owner), np.int64), np.full(len(owner), -1)]
+        if later_only:
+            # all others of a kind stand later than the first
+            whole = np.add.reduceat(bad, np.cumsum(x["n"]) - x["n"]) == x["n"]
+            more = np.flatnonzero((x["c"] > 1) & ~whole)
+            cols = [np.r_[u, v] for u, v in zip(cols, (x["a"][more], x["s"][more], np.zeros(len(more), np.int64), x["n"][more], x["d"][more], x["p"][more]), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in cols], names=["a", "s", "from", "n", "xd", "xp"])
 
     judged_as = "a long, s long, from long, n long, xd long, xp long"
 

@@ -26,7 +26,7 @@ from graphlaw.llm.common import long_keys
 from graphlaw.llm.fmindex import by_key, spans_array
 from graphlaw.llm.repeats import Units, covered, find, stretch, sums_of, texts_with_ranges
 
-WINDOW, ANCHOR, BLOCK, SHARD_BYTES = 100, 32, 20, 2 << 20
+WINDOW, ANCHOR, BLOCK, SHARD_BYTES = 100, 32, 33, 2 << 20
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -112,18 +112,17 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def earlier_windows(codes: list[np.ndarray], x: dict[str, np.ndarray], window: int = WINDOW, block: int = BLOCK) -> list[np.ndarray]:
-    """For each segment which of its windows stand earlier (lower d, or equal d and lower place) in this or another segment, by first occurrences."""
-    sizes = np.array([len(c) for c in codes])
-    begin = np.r_[0, np.cumsum(sizes)][:-1]
-    sums = sums_of(LETTERS[np.concatenate(codes)])
+def earlier_windows(flat: np.ndarray, sizes: np.ndarray, x: dict[str, np.ndarray], window: int = WINDOW, block: int = BLOCK) -> np.ndarray:
+    """For the windows of all segments, which are in the order of their first occurrences (d, p), which stand earlier in this or another segment."""
+    begin = np.cumsum(sizes) - sizes
+    sums = sums_of(LETTERS[flat])
     skip = x["off"] % block  # bytes before the first block
     blocks = (sizes - skip) // block
-    seg = np.repeat(np.arange(len(codes)), blocks)
+    seg = np.repeat(np.arange(len(sizes)), blocks)
     nth = np.arange(len(seg)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     names, symbol = np.unique(stretch(sums, begin[seg] + skip[seg] + nth * block, block), return_inverse=True)
     own = np.cumsum(blocks + 1) - (blocks + 1)  # where a segment's symbols begin; a separator follows them
-    text = np.ones(int(blocks.sum()) + len(codes) + 1, np.int64)
+    text = np.ones(int(blocks.sum()) + len(sizes) + 1, np.int64)
     text[own[seg] + nth] = symbol + 2
     text[-1] = 0
     array = np.array(suffix_array(text.tolist()))
@@ -140,36 +139,37 @@ def earlier_windows(codes: list[np.ndarray], x: dict[str, np.ndarray], window: i
             runs[m] = np.empty(len(array), np.int64)
             runs[m][array] = np.cumsum(~same)
     n = sizes - window + 1
-    owner = np.repeat(np.arange(len(codes)), n)
+    owner = np.repeat(np.arange(len(sizes)), n)
     j = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     lead = (skip[owner] - j) % block
     full = (window - lead) // block
     start = own[owner] + (j + lead - skip[owner]) // block
-    name = np.where(full == most, runs[most][start], runs[most - 1][start])
-    left = stretch(sums, begin[owner] + j, lead)
-    rest = window - lead - full * block
-    right = stretch(sums, begin[owner] + j + lead + full * block, rest)
+    name = np.where(full == most, runs[most][start], runs.get(most - 1, runs[most])[start])
+    at = begin[owner] + j
+    left = stretch(sums, at, lead)
+    right = stretch(sums, at + lead + full * block, window - lead - full * block)
     key = mixed(mixed(mixed(name.astype(np.uint64) * U(8) + full.astype(np.uint64)) + left) + right + lead.astype(np.uint64))
-    d, p = x["d"][owner], x["p"][owner] + j
-    order = np.lexsort((p, d, key))
+    order = np.argsort(key, kind="stable")
     new = np.r_[True, key[order][1:] != key[order][:-1]]
     head = np.empty(len(order), np.int64)
     head[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    bad = (d > d[head]) | (p > p[head])
-    # hashes named the windows; their bytes decide
-    every = np.concatenate(codes)
-    wrong = []
-    for part in np.array_split(np.flatnonzero(bad), 1 + len(bad) // 100_000):
-        a, b = ((begin[owner[i]] + j[i])[:, None] + np.arange(window) for i in (part, head[part]))
-        wrong.append(part[(every[a] != every[b]).any(1)])
+    bad = head != np.arange(len(head))
+    # hashes named the windows; their bytes decide. Where a window follows one that equals its head's forerunner, only its last byte is new
+    follows = np.zeros(len(bad), bool)
+    follows[1:] = bad[1:] & bad[:-1] & (at[1:] == at[:-1] + 1) & (at[head[1:]] == at[head[:-1]] + 1)
+    wrong = [i[flat[at[i] + window - 1] != flat[at[head[i]] + window - 1]] for i in (np.flatnonzero(bad & follows),)]
+    fresh = np.flatnonzero(bad & ~follows)
+    for part in np.array_split(fresh, 1 + len(fresh) // 100_000):
+        wrong.append(part[(flat[at[part][:, None] + np.arange(window)] != flat[at[head[part]][:, None] + np.arange(window)]).any(1)])
+    # two windows at one place of texts of one key are no repeats of one another
+    d, p = x["d"][owner], x["p"][owner] + j
+    bad &= (d > d[head]) | (p > p[head])
     for k in np.unique(key[np.concatenate(wrong)]):
-        seen: set[bytes] = set()
-        for i in order[key[order] == k]:
-            content = every[begin[owner[i]] + j[i] :][:window].tobytes()
-            first = content not in seen
-            seen.add(content)
-            bad[i] = not first and any((d[h], p[h]) < (d[i], p[i]) and every[begin[owner[h]] + j[h] :][:window].tobytes() == content for h in order[key[order] == k])
-    return np.split(bad, np.cumsum(n)[:-1])
+        seen: dict[bytes, int] = {}
+        for i in order[key[order] == k].tolist():
+            first = seen.setdefault(flat[at[i] : at[i] + window].tobytes(), i)
+            bad[i] = (d[first], p[first]) < (d[i], p[i])
+    return bad
 
 
 def drop_earlier_bytes(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -183,10 +183,10 @@ def drop_earlier_bytes(docs: DataFrame, window: int = WINDOW, text: str = "text"
     table; other columns of docs play no part.
     """
     units = Units(window, min(ANCHOR, window // 2 + 1), False, SHARD_BYTES)
-    block = max(1, window // 5)
+    block = max(1, window // 3)
     kind = docs.schema[key].dataType
     docs, names = long_keys(docs, key, text)
-    dealt, flags = find(docs, units, lambda codes, x: earlier_windows(codes, x, window, block), True, text, key)
+    dealt, flags = find(docs, units, lambda codes, sizes, x: earlier_windows(codes, sizes, x, window, block), True, text, key)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
