@@ -1,11 +1,14 @@
 """Toxicity by weak supervision.
 
 Many voters, each a lexicon or a pattern, say toxic, clean, or nothing of a
-text. A generative label model (expectation maximisation over the unknown label)
+text, labelled or not. Lexicons are learned on one half of the labelled rows and
+vote on the other half and on unlabelled rows; a row's own label is one voter among
+them. A generative label model (expectation maximisation over the unknown label)
 estimates how often each voter says what under either label, and which voters
 err together; correlated voters share their say. The posterior labels it gives
 train a linear classifier on words, word beginnings and patterns, and that
-classifier scores every whole text.
+classifier scores every whole text. Texts of the sample stay on the executors;
+only which text has which of the chosen features reaches the driver.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlaw.llm.common import text_of
+from graphlaw.llm.common import text_of, written
 
-#: Bounds of the fit: labelled rows of either class, features, lexicon voters learned.
+#: Bounds of the fit: rows of either label and without one, features, lexicon voters learned on a half.
 ROWS_A_CLASS, MAX_FEATURES, MAX_VOTERS = 3000, 3000, 160
+#: Texts of the sample that a feature must be in; standard errors that a voter's feature must be off by.
+LEAST_SEEN, SURE = 4, 4.0
 #: How often a given label is taken to be right.
 LABEL_TRUST = 0.97
 #: Characters of a word's beginning that are features of their own.
@@ -75,7 +80,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
     def fit(self, votes: np.ndarray, labels: np.ndarray | None = None) -> LabelModel:
-        """labels: 1, 0 or -1 (unknown) for each row; a label counts as one more voter, right LABEL_TRUST of the time, that never adapts.
+        """labels: 1, 0 or -1 (unknown) for each row; a label counts as one more voter, right LABEL_TRUST of the time, that never adapts. q: the posterior.
 
         The first guess is that voter where it speaks, else the majority of the
         others, near copies of a voter sharing one vote.
@@ -103,6 +108,7 @@ class LabelModel:
                 np.fill_diagonal(share, 1)
                 self.say = np.minimum(self.say, 1 / share.sum(0))  # else copies of a voter come to be the label
             q = self.posterior(votes, evidence)
+        self.q = q
         return self
 
 
@@ -151,99 +157,141 @@ class ToxicityModel:
         return out
 
 
-def incidence(texts: list[str], least: int = 4) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Names of the features that at least so many texts have, and which text (row) has which (column).
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 5 == 0
+
+
+def sample_of(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, rows_a_class: int) -> tuple[DataFrame, float | None]:
+    """(rows, share of toxic labels): (key, y, half, text) of at most rows_a_class rows of either label and as many without (y -1), those of the least hashes of the key, as a table."""
+    known = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("y")).where("key is not null and y in (0, 1)")
+    known = known.where(~held_out(F.col("key"))).groupBy("key").agg(F.max("y").alias("y"))
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    least = lambda df: df.orderBy(F.xxhash64("key"), "key").limit(rows_a_class)
+    others = docs.select(docs[key].alias("key")).where(F.col("key").isNotNull() & ~held_out(F.col("key"))).join(known, "key", "left_anti")
+    picked = [least(known.where(F.col("y") == y)) for y in (0, 1)] + [least(others.distinct()).withColumn("y", F.lit(-1))]
+    sample = F.broadcast(picked[0].unionByName(picked[1]).unionByName(picked[2]))  # 3 * rows_a_class rows at most
+    rows = docs.select(docs[key].alias("key"), text_of(docs, text).alias("text")).join(sample, "key")
+    # of rows that share a key one text is taken
+    rows = rows.groupBy("key").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+    half = F.when(F.col("y") < 0, -1).otherwise(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(2)).cast("int"))
+    prior = counts.get(1, 0) / sum(counts.values()) if counts else None
+    return written(rows.select("key", "y", half.alias("half"), "text"), "sample"), prior
 
-    A first pass only counts hashes, so that rare features are never stored.
+
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """(feature, seen, p0, n0, p1, n1): texts of the sample that have each feature, and those of either label in either half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = {}
+        for batch in batches:
+            for text, y, half in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "half")), strict=True):
+                at = 0 if half < 0 else 1 + 2 * half + (1 - y)
+                for f in features_of(text):
+                    row = counts.setdefault(f, [0, 0, 0, 0, 0])
+                    row[at] += 1
+        if counts:
+            cols = np.array(list(counts.values()), np.int64)
+            arrays = [pa.array(list(counts)), pa.array(cols.sum(1)), *(pa.array(cols[:, i]) for i in range(1, 5))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["feature", "seen", "p0", "n0", "p1", "n1"])
+
+    parts = sample.mapInArrow(run, "feature string, seen long, p0 long, n0 long, p1 long, n1 long")
+    return parts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("seen", "p0", "n0", "p1", "n1")]).where(F.col("seen") >= LEAST_SEEN)
+
+
+def incidence(sample: DataFrame, names: list[str]) -> list:
+    """Rows (y, half, has): which of the named features each text of the sample has, by their places in names; in the order of the keys' hashes."""
+    index = {n: i for i, n in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has = [sorted(index[f] for f in features_of(t) if f in index) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), batch.column("half"), pa.array(has, pa.list_(pa.int32()))], names=["h", "y", "half", "has"])
+
+    rows = sample.withColumn("h", F.xxhash64("key")).select("h", "y", "half", "text").mapInArrow(run, "h long, y int, half int, has array<int>")
+    return sorted(rows.collect(), key=lambda r: (r["h"], r["y"], r["has"]))
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows_a_class: int = ROWS_A_CLASS) -> ToxicityModel:
+    """A model from rows of docs that aren't held out, labelled ones and others.
+
+    The sample is bounded as sample_of says; the share of toxic rows is counted over
+    all labels. Conflicting labels of one key count as toxic; null keys and labels are
+    left out; texts of any length are whole. Without labels, or with fewer than 5 of either kind
+    in either half, the built-in voters alone vote. Empty tables give a model of the
+    built-in lexicon.
     """
-    seen = np.zeros(1 << 22, np.uint16)
-    for t in texts:
-        at = np.fromiter((hash(f) & 0x3FFFFF for f in features_of(t)), np.int64)
-        seen[at] = np.minimum(seen[at], 60_000) + 1
-    ids: dict[str, int] = {}
-    cols = [np.fromiter((ids.setdefault(f, len(ids)) for f in sorted(features_of(t)) if seen[hash(f) & 0x3FFFFF] >= least), np.int32) for t in texts]
-    rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c in cols])
-    flat = np.concatenate(cols) if cols else np.zeros(0, np.int32)
-    kept = np.flatnonzero(np.bincount(flat, minlength=len(ids)) >= least)
-    names = np.array(list(ids), object)[kept]
-    order = np.argsort(names) if len(names) else np.zeros(0, np.int64)
-    to = np.full(len(ids), -1, np.int32)
-    to[kept[order]] = np.arange(len(kept))
-    good = to[flat] >= 0 if len(flat) else np.zeros(0, bool)
-    return names[order].tolist(), rows[good], to[flat[good]]
-
-
-def fit(texts: list[str], labels: list[int | None], prior: float | None = None) -> ToxicityModel:
-    """A model from whole texts and their labels (None: unknown); prior: the share of toxic rows where it is known."""
-    y = np.array([-1 if v is None else int(v) for v in labels])
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    prior = min(0.9, max(0.005, prior if prior is not None else 0.1))
-    if not texts:
+    sample, prior = sample_of(docs, labels, text, key, label, rows_a_class)
+    totals = {(r["y"], r["half"]): r["count"] for r in sample.groupBy("y", "half").count().collect()}
+    if not totals:
         return ToxicityModel({"!insult": 6.0}, -3.0)
-    names, rows, cols = incidence(texts)
-    m = len(names)
-    seen, pos, neg = (np.bincount(c, minlength=m).astype(float) for c in (cols, cols[y[rows] == 1], cols[y[rows] == 0]))
-    learned = min(n1, n0) >= 5
-    gain = np.log((pos + 0.3) / (n1 + 0.6)) - np.log((neg + 0.3) / (n0 + 0.6)) if learned else np.zeros(m)
-    best = lambda value, ok, most: [int(f) for f in np.argsort(-value, kind="stable") if ok[f]][:most]
-    lexicon = best(gain * pos**0.5, gain > 1.5, MAX_VOTERS)
-    clean = best(-gain * neg**0.5, gain < -1.0, MAX_VOTERS // 4)
-
-    def has(features: list[int]) -> np.ndarray:
-        """How many of the features each text has."""
-        chosen = np.zeros(m, bool)
-        chosen[features] = True
-        return np.bincount(rows[chosen[cols]], minlength=len(texts)) if m else np.zeros(len(texts), int)
+    prior = min(0.9, max(0.005, prior if prior is not None else 0.1))
+    learned = all(totals.get((y, h), 0) >= 5 for y in (0, 1) for h in (0, 1))
+    counts = written(feature_counts(sample), "features")
+    of = lambda y, *halves: sum(totals.get((y, h), 0) for h in halves)
+
+    def surplus(*halves: int) -> Column:
+        """By how many standard errors the share of toxic texts with the feature is above that of clean ones."""
+        p, n = (sum((F.col(f"{c}{h}") for h in halves), F.lit(0)) for c in "pn")
+        toxic, calm = max(1, of(1, *halves)), max(1, of(0, *halves))
+        share = (p + n + 0.5) / (toxic + calm + 1)
+        return (p / toxic - n / calm) / F.sqrt(share * (1 - share) * (1 / toxic + 1 / calm))
+
+    def ratio() -> Column:
+        """How much more often toxic texts have the feature than clean ones: the logarithm of the rates' ratio, of either sign."""
+        p, n = F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1")
+        return F.log((p + 0.3) / (of(1, 0, 1) + 0.6)) - F.log((n + 0.3) / (of(0, 0, 1) + 0.6))
+
+    def best(value: Column, ok: Column, most: int) -> list[str]:
+        return [r["feature"] for r in counts.where(ok).orderBy(value.desc(), "feature").limit(most).select("feature").collect()]
+
+    lexicons, clean = ([[], []], [[], []]) if not learned else ([best(surplus(h), (surplus(h) > SURE) & (F.col(f"p{h}") >= LEAST_SEEN - 1), MAX_VOTERS) for h in (0, 1)], [best(-surplus(h), surplus(h) < -SURE, MAX_VOTERS // 4) for h in (0, 1)])
+    built_in = ["!insult", *(f"!{p}" for p in PATTERNS)]
+    known = {r["feature"] for r in counts.where(F.col("feature").isin(built_in)).select("feature").collect()}
+    kept = best(F.abs(ratio()) * F.sqrt("seen") if learned else F.col("seen"), F.lit(True), MAX_FEATURES)
+    kept = list(dict.fromkeys([*kept, *(f for f in built_in if f in known)]))
+    names = list(dict.fromkeys([*kept, *lexicons[0], *lexicons[1], *clean[0], *clean[1]]))
+    rows = incidence(sample, names)
 
     index = {n: i for i, n in enumerate(names)}
-    one = lambda name: has([index[name]] if name in index else [])
-    groups = [has(lexicon[i::8]) for i in range(8)]
-    voters = {f"lexicon:{names[f]}": has([f]) for f in lexicon} | {f"clean:{names[f]}": -has([f]) for f in clean}
-    voters |= {f"any:group{i}": (h > 0) * 1 for i, h in enumerate(groups)} | {f"two:group{i}": (h > 1) * 1 for i, h in enumerate(groups)} | {f"none:group{i}": (h == 0) * -1 for i, h in enumerate(groups)}
-    voters |= {"insult": 2 * one("!insult") - 1} | {p: one(f"!{p}") for p in PATTERNS}
+    y, half = (np.array([r[c] for r in rows]) for c in ("y", "half"))
+    cols = np.concatenate([np.array(r["has"], np.int64) for r in rows])
+    row = np.repeat(np.arange(len(rows)), [len(r["has"]) for r in rows])
+
+    def has(features: list[str]) -> np.ndarray:
+        """How many of the features each text has."""
+        chosen = np.zeros(len(names) + 1, bool)
+        chosen[[index[f] for f in features if f in index]] = True
+        return np.bincount(row[chosen[cols]], minlength=len(rows))
+
+    def fair(by_half: list[list[str]]) -> np.ndarray:
+        """The same, by lexicons of the other half; rows of neither half by both."""
+        a, b = map(has, by_half)
+        return np.where(half == 0, b, np.where(half == 1, a, has(list({*by_half[0], *by_half[1]}))))
+
+    voters: dict[str, np.ndarray] = {}
+    for sign, name, lists in ((1, "lexicon", lexicons), (-1, "clean", clean)):
+        for f in sorted({*lists[0], *lists[1]}):
+            voters[f"{name}:{f}"] = sign * (fair([[f] if f in x else [] for x in lists]) > 0)
+    for i in range(8):
+        n = fair([x[i::8] for x in lexicons])
+        voters |= {f"any:group{i}": (n > 0) * 1, f"two:group{i}": (n > 1) * 1, f"none:group{i}": (n == 0) * -1}
+    voters |= {"insult": 2 * has(["!insult"]) - 1} | {p: has([f"!{p}"]) for p in PATTERNS}
     votes = np.stack(list(voters.values()), 1).astype(np.int8)
-    balanced = n1 / (n1 + n0) if learned else prior
+    balanced = of(1, 0, 1) / max(1, len(rows)) if learned else prior
     model = LabelModel(min(0.95, max(0.02, balanced))).fit(votes, y if learned else None)
-    q = model.posterior(votes, np.where(y == 1, 2.0, np.where(y == 0, -2.0, 0.0)) if learned else 0.0)
-    kept = best(np.abs(gain) * seen**0.5, np.ones(m, bool), MAX_FEATURES)
-    kept = list(dict.fromkeys([*kept, *(index[n] for n in ("!insult", *(f"!{p}" for p in PATTERNS)) if n in index)]))
-    to = np.full(m, -1)
-    to[kept] = np.arange(len(kept))
-    ok = to[cols] >= 0
+    q = model.q
+    ok = cols < len(kept)  # kept come first among the names
     # both labels weigh alike, whatever their shares in the sample
     share = float(q.mean())
     weight = np.where(q >= 0.5, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
-    w, b = logistic((rows[ok], to[cols[ok]], len(kept)), q, weight)
+    w, b = logistic((row[ok], cols[ok], len(kept)), q, weight)
     rates = np.exp(model.rates)
     accuracy = {n: float(rates[1, 2, i] / (rates[1, 2, i] + rates[0, 2, i])) for i, n in enumerate(voters)}
-    return ToxicityModel({names[f]: float(w[i]) for i, f in enumerate(kept) if abs(w[i]) > 1e-3}, b, list(voters), accuracy)
-
-
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 5 == 0
-
-
-def fit_on(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows_a_class: int = ROWS_A_CLASS) -> ToxicityModel:
-    """A model from the labelled rows of docs that aren't held out.
-
-    The sample has at most rows_a_class rows of either class, those of the least
-    hashes of the key; the share of toxic rows is counted over all labels.
-    Conflicting labels of one key count as toxic; null keys and labels are left
-    out. Without labels the built-in voters alone make the model.
-    """
-    known = labels.select(labels[key].alias("__key"), labels[label].cast("int").alias("__y")).where("__key is not null and __y in (0, 1)")
-    known = known.where(~held_out(F.col("__key"))).groupBy("__key").agg(F.max("__y").alias("__y"))
-    counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
-    picked = [known.where(F.col("__y") == y).orderBy(F.xxhash64("__key"), "__key").limit(rows_a_class) for y in (0, 1)]
-    sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * rows_a_class rows at most
-    rows = docs.select(docs[key].alias("__key"), text_of(docs, text).alias("__text")).join(sample, "__key")
-    found = rows.orderBy(F.xxhash64("__key"), "__key", F.xxhash64("__text")).limit(2 * rows_a_class).select("__text", "__y").collect()
-    prior = counts.get(1, 0) / sum(counts.values()) if counts else None
-    return fit([r[0] for r in found], [r[1] for r in found], prior)
+    return ToxicityModel({f: float(w[i]) for i, f in enumerate(kept) if abs(w[i]) > 1e-3}, b, list(voters), accuracy)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", column: str = "score") -> DataFrame:
-    """docs with the model's score (0 to 1) of every whole text; null texts score as empty ones. Repeated rows stay; a column of that name is replaced."""
+    """docs with the model's score (0 to 1) of every whole text, however long; null texts score as empty ones. Repeated rows stay; a column of that name is replaced; an empty table gives an empty table."""
     base = docs.drop(column).withColumn("__text", text_of(docs, text))
     names = base.columns[:-1]
     schema = base.drop("__text").schema.add(column, "double")

@@ -61,6 +61,37 @@ def test_op1_learns_from_its_fold_only(spark):
     assert scores[0] == scores[1]
 
 
+def test_op1_scores_follow_from_the_weights(spark):
+    """Features and scores by code of their own."""
+    rows = corpus(900)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t, _ in rows], COLUMNS)
+    model = toxicity.fit_on(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    texts = [*(t for _, t, _ in rows[:200]), "", "IDIOT! you are a b***d", "GET OUT OF HERE NOW!!"]
+    for text, score in zip(texts, model.score(texts), strict=True):
+        found = set()
+        for w in re.findall(r"[^\W_]+", text.lower()):
+            found |= {w} | {w[:n] + "~" for n in (4, 5, 6, 7) if len(w) > n}
+        found |= {f"!{n}" for n, p in toxicity.PATTERNS.items() if p.search(text)} | ({"!insult"} if found & toxicity.INSULTS else set())
+        z = model.bias + sum(w for f, w in model.weights.items() if f in found)
+        assert abs(score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+    assert len(model.voters) > 30 and any(v.startswith("lexicon:") for v in model.voters)
+
+
+def test_op1_uses_unlabelled_rows_and_each_label_once(spark):
+    """A row's votes come from lexicons that its own half didn't choose; unlabelled rows are in the sample."""
+    rows = corpus(900)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t, _ in rows], COLUMNS)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i // 2 % 2], "doc_id long, toxic int")
+    sample, prior = toxicity.sample_of(docs, labels, "text", "doc_id", "toxic", 3000)
+    got = sample.groupBy("y").count().collect()
+    assert {r.y for r in got} == {-1, 0, 1} and 0.2 < prior < 0.5
+    small, _ = toxicity.sample_of(docs, labels, "text", "doc_id", "toxic", 20)
+    assert {(r.y, r["count"]) for r in small.groupBy("y").count().collect()} == {(-1, 20), (0, 20), (1, 20)}
+    model = toxicity.fit_on(docs, labels)
+    scores = model.score([t for _, t, _ in rows])
+    assert np.mean([(s >= 0.5) == bool(y) for s, (_, _, y) in zip(scores, rows, strict=True)]) > 0.95
+
+
 def test_op1_on_its_table(spark):
     rows = Q.op1_toxicity(spark, SF).collect()
     assert len(rows) == 200 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
