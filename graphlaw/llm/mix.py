@@ -6,7 +6,8 @@ target fills; each slot draws its output shard, so that the counts of a source i
 the shards are multinomial, given that they add up to the target. Slot t of a
 source takes block perm(t), perm being a keyed pseudorandom permutation of the
 source's block numbers (swap-or-not rounds, which need no table), and the blocks
-are joined by number.
+are joined by number. The last slot of a source takes as much of its block as
+the target still lacks, so a source's words are its target, rounded.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlaw.llm.common import n_words, text_of, words_of, written
+from graphlaw.llm.common import n_words, row_hash, text_of, words_of, written
 from graphlaw.llm.omh import let
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -44,14 +45,15 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
     return t.withColumn("target", F.least("full", F.max("level").over(every) * F.col("w"))).select("source", "sid", "source_size", "target")
 
 
-def permuted(t: Column, n: Column, *key: Column) -> Column:
-    """A keyed pseudorandom permutation of 0 to n-1: in each round t and (K - t) mod n are swapped if a hash of the larger of them says so."""
+def permuted(t: Column, n: Column, *key: Column, back: bool = False) -> Column:
+    """A keyed pseudorandom permutation of 0 to n-1: in each round t and (K - t) mod n are swapped if a hash of the larger of them says so. back: its inverse, the rounds from the last on."""
 
     def one(x: Column, r: Column) -> Column:
         other = F.pmod(F.pmod(F.xxhash64(F.lit("k"), r, *key), n) - x, n)
         return F.when(F.pmod(F.xxhash64(F.greatest(x, other), r, *key), F.lit(2)) == 1, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), t.cast("long"), one)
+    rounds = F.sequence(F.lit(ROUNDS), F.lit(1), F.lit(-1)) if back else F.sequence(F.lit(1), F.lit(ROUNDS))
+    return F.aggregate(rounds, t.cast("long"), one)
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = 128, n_shards: int = 8, seed: int = 11, rows_per_task: int = 5_000, keep: list[str] | None = None) -> DataFrame:
@@ -62,12 +64,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     used over ceil(cap) times, so no document is taken more often than that.
     Null texts and texts without words have size 0 and are never taken; a null
     source is a source of its own, the last. Repeated rows are documents of their
-    own. Columns of docs named like the new ones are replaced. An empty table gives
-    an empty table.
+    own. Columns of docs named like the new ones are replaced; they may be of any type. Texts of any
+    length are whole. An empty table gives an empty table.
     """
     keep = [c for c in (keep or docs.columns) if c not in MIX_COLUMNS]
     named = {f"__c{i}": docs[c] for i, c in enumerate(keep)}
-    narrow = docs.select(*[c.alias(k) for k, c in named.items()], docs[source].alias("source"), n_words(text_of(docs, text)).alias("size"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("h"))
+    narrow = docs.select(*[c.alias(k) for k, c in named.items()], docs[source].alias("source"), n_words(text_of(docs, text)).alias("size"), row_hash(docs).alias("h"))
     sized = written(narrow.withColumn("uid", F.monotonically_increasing_id()), "sizes")
     n = sized.count()
     cells = 2 ** max(0, math.ceil(math.log2(max(1, n / rows_per_task))))
@@ -75,7 +77,6 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     per_cell = sized.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     totals = targets(per_cell.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, cap)
     totals = totals.withColumn("blocks", F.ceil(F.col("source_size") / block))
-    totals = totals.withColumn("slots", F.when(F.col("source_size") > 0, F.least(F.ceil(F.lit(cap)) * F.col("blocks"), F.round(F.col("target") * F.col("blocks") / F.col("source_size")))).otherwise(0).cast("long"))
     ahead = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     per_cell = per_cell.withColumn("cell_from", F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)))
     per_cell = per_cell.alias("p").join(totals.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.source", "cell", "cell_from", "sid", "source_size", "target")
@@ -88,20 +89,34 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     chunk = 4096
     # a fixed number of partitions: rows as few as these would else be gathered into one task before they multiply
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    slots = totals.where("slots > 0").select("sid", "blocks", "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / chunk))).alias("part")).repartition(parts, "sid", "part")
-    slots = slots.select("sid", "blocks", F.explode(F.sequence(F.col("part") * chunk, F.least(F.col("slots"), (F.col("part") + 1) * chunk) - 1)).alias("slot"))
+    # whole passes over a source's blocks, then as many words of one more as the target lacks
+    full = totals.where("source_size > 0").withColumn("goal", F.round("target").cast("long"))
+    full = full.select("sid", "blocks", "source_size", F.floor(F.col("goal") / F.col("source_size")).alias("passes"), (F.col("goal") % F.col("source_size")).alias("rest"))
+    # the slot of that pass in which the last block, which may be short, stands
+    last = permuted(F.col("blocks") - 1, F.col("blocks"), F.lit(seed), F.col("sid"), F.col("passes").cast("int"), back=True)
+    some = F.when(F.col("rest") > 0, F.least("blocks", F.ceil(F.col("rest") / block) + 1)).otherwise(0)
+    lacks = F.col("blocks") * block - F.col("source_size")
+    full = full.select("sid", "blocks", "passes", "rest", lacks.alias("lacks"), last.alias("last"), (F.col("passes") * F.col("blocks") + some).alias("slots"))
+    own = ["sid", "blocks", "passes", "rest", "lacks", "last"]
+    slots = full.where("slots > 0").select(*own, "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / chunk))).alias("part")).repartition(parts, "sid", "part")
+    slots = slots.select(*own, F.explode(F.sequence(F.col("part") * chunk, F.least(F.col("slots"), (F.col("part") + 1) * chunk) - 1)).alias("slot"))
+    nth = F.col("slot") - F.col("passes") * F.col("blocks")
+    left = F.col("rest") - nth * block + F.when(F.col("last") < nth, F.col("lacks")).otherwise(0)
+    slots = slots.withColumn("limit", F.when(nth < 0, block).otherwise(F.least(F.lit(block), left))).where("limit > 0")
     shard = F.pmod(F.xxhash64(F.lit(seed), F.col("sid"), F.col("slot")), F.lit(n_shards)).cast("int")
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("int")
     at = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), turn)
-    slots = slots.select("sid", at.alias("block"), F.struct(shard.alias("shard"), "slot", turn.alias("pass")).alias("use"))
+    slots = slots.select("sid", at.alias("block"), F.struct(shard.alias("shard"), "slot", turn.alias("pass"), "limit").alias("use"))
 
     whole = F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block")
     pieces = laid.where("size > 0").select("uid", "sid", "start", "size", whole)
     begin = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     end = F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
-    pieces = pieces.select("uid", "sid", "block", begin.alias("begin"), (end - begin).alias("words"))
+    into = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
+    pieces = pieces.select("uid", "sid", "block", into.alias("into"), begin.alias("begin"), (end - begin).alias("words"))
     # slots are counted by the sources' totals, so the planner takes their table for a small one
-    used = pieces.join(slots.hint("merge"), ["sid", "block"]).select("uid", F.struct("use.shard", "use.slot", "use.pass", "begin", "words").alias("take"))
+    used = pieces.join(slots.hint("merge"), ["sid", "block"]).withColumn("words", F.least("words", F.col("use.limit") - F.col("into"))).where("words > 0")
+    used = used.select("uid", F.struct("use.shard", "use.slot", "use.pass", "begin", "words").alias("take"))
     taken = used.groupBy("uid").agg(F.sum("take.words").alias("taken"), F.sort_array(F.collect_list("take")).alias("takes"))
     out = laid.join(taken, "uid", "left")
     none = F.array().cast(taken.schema["takes"].dataType)
@@ -128,7 +143,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     text, and the code points of that as n_chars, if there is such a column. Rows
     without words are never taken. What mix() says of nulls and repeated rows holds.
     """
-    keys = [F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)]
+    keys = [row_hash(docs), row_hash(docs, 1)]
     slim = docs.select(docs[text].alias("text"), docs[source].alias("source"), keys[0].alias("h1"), keys[1].alias("h2"))
     taken = mix(slim, keep=["h1", "h2"], **how).where("taken > 0").select("h1", "h2", "size", F.explode(runs(F.col("takes"))).alias("run"))
     taken = taken.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("size").alias("__size"), F.col("run").alias("__run"))
