@@ -58,15 +58,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = omh.with_next(read(spark, sf_dir, "documents"), omh.fingerprint)
-    n = F.length("text")
-    third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "value", "next_value")
-    rows = rows.withColumn("edited_value", omh.fingerprint(F.col("edited")))
+    rows = omh.edited_by_next(read(spark, sf_dir, "documents"), omh.fingerprint)
     return rows.select(
         "doc_id",
-        "n_chars",
+        F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         omh.as_text(F.col("value")).alias("fingerprint"),
         omh.as_text(F.col("edited_value")).alias("edited_fingerprint"),

@@ -118,19 +118,19 @@ class Small(int):
 
 
 def brute_print(text):
+    """Each order sorts all elements from its own bin on; its two least, in text order, are the tuple."""
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
     tokens = words if len(words) >= 16 else list(text or "")
     hashes = [spark_hash(w) for w in tokens]
-    seen, bins = {}, {}
+    seen, all_ = {}, []
     for i in range(len(hashes)):
         kmer = spark_hash(*hashes[i : i + 3])
         nth = seen[kmer] = seen.get(kmer, -1) + 1
-        h = spark_hash(kmer, Small(nth)) & ((1 << 39) - 1)
-        bins.setdefault(h >> 33, []).append((h, i))
+        all_.append((spark_hash(kmer, Small(nth)) & ((1 << 32) - 1), i))
     out = []
-    for b in sorted(bins):
-        two = sorted(sorted(bins[b])[:2], key=lambda x: x[1])
-        out.append(b << 18 | spark_hash(*[h for h, _ in two]) & ((1 << 18) - 1))
+    for order in range(64 if all_ else 0):
+        two = sorted(sorted(all_, key=lambda x: (((x[0] >> 26) - order) % 64, x))[:2], key=lambda x: x[1])
+        out.append((spark_hash(*[h for h, _ in two]) & 0xFFFF) - 0x8000)
     return out
 
 
@@ -142,31 +142,71 @@ def test_op7_fingerprints_equal_brute_force(spark):
     assert got == {i: brute_print(t) for i, t in enumerate(texts)}
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_op7_likeness_falls_with_edit_distance(spark):
+    """Changed words lower it, and so does moving passages, which leaves the set of k-mers nearly alone; short texts too."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    pairs = []
+    for n in (12, 40, 400):
+        for _ in range(20):
+            a = rng.choices(words, k=n)
+            b = list(a)
+            for p in rng.sample(range(n), max(1, n // 50)):
+                b[p] = "changed"
+            cuts = [a[i : i + n // 4] for i in range(0, n, n // 4)]
+            c = sum(cuts[::-1], [])
+            d = rng.choices(words, k=n)
+            pairs += [(n, kind, " ".join(a), " ".join(x)) for kind, x in (("same", a), ("few", b), ("moved", c), ("other", d))]
+    df = spark.createDataFrame(pairs, "n int, kind string, a string, b string")
+    near = df.select("n", "kind", omh.likeness(omh.fingerprint(F.col("a")), omh.fingerprint(F.col("b"))).alias("x")).groupBy("n", "kind").agg(F.avg("x").alias("x")).collect()
+    got = {(r.n, r.kind): r.x for r in near}
+    for n in (12, 40, 400):
+        assert got[n, "same"] == 1 and got[n, "few"] > got[n, "moved"] + 0.1 and got[n, "moved"] > got[n, "other"], got
+        assert got[n, "few"] > 0.4 and got[n, "other"] < 0.1, got
+    share = lambda a, b: 1 - edit_distance(a.split(), b.split()) / max(len(a.split()), 1)
+    assert all(share(a, b) > 0.9 for n, kind, a, b in pairs if kind == "few")
+
+
 def test_op7(spark):
     docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), reverse=True)
     got = {r.doc_id: r for r in Q.op7_order_minhash(spark, SF).collect()}
     assert len(got) == len(docs)
     for (i, text), (_, follow) in zip(docs, docs[1:] + docs[:1], strict=True):
         n = len(text) // 3
-        assert got[i].n_chars == len(text)
-        assert got[i].edited_sha256 == hashlib.sha256((text[: len(text) - n] + follow[:n]).encode()).hexdigest()
+        edited = text[: len(text) - n] + follow[:n]
+        said = lambda t: "".join(f"{x + 0x8000:04X}" for x in brute_print(t))
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        if len(text) < 3000:
+            assert (got[i].fingerprint, got[i].edited_fingerprint) == (said(text), said(edited))
         assert 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
     rows = list(got.values())
     assert sum(r.near_edited for r in rows) / len(rows) > 0.2 + sum(r.near_next for r in rows) / len(rows)
 
 
-def test_op7_ranges_and_ties(spark):
-    """Many small ranges, repeated ids, null ids: every row has its next."""
-    rows = [(i // 2 if i % 7 else i, f"text {i}", None, None, 0) for i in range(300)] + [(None, "none", None, None, 0)]
-    out = omh.with_next(spark.createDataFrame(rows, COLUMNS), lambda t: F.length(t), bucket_bytes=50).collect()
-    order = sorted(((r.doc_id is not None, r.doc_id or 0, spark_hash(r.text), r.text) for r in out), reverse=True)
-    follow = {a[3]: b[3] for a, b in zip(order, order[1:] + order[:1], strict=True)}
-    assert len(out) == 301 and all(r.next_text == follow[r.text] and r.next_value == len(r.next_text) for r in out)
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_op7_ranges_and_ties(spark, kind):
+    """Many small ranges, repeated ids, null ids, rows that repeat key and text: every row has its next."""
+    rows = [(f"k{i // 2 if i % 7 else i:04}" if kind == "string" else i // 2 if i % 7 else i, f"text {i}") for i in range(300)] + [(None, "none"), (None, None)]
+    rows += rows[20:23] * 2
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    out = omh.edited_by_next(df, lambda t: F.length(t), rows_per_task=40).collect()
+    order = sorted(((k is not None, k or "", spark_hash(t or ""), t or "") for k, t in rows), key=lambda r: (r[0], r[1] or 0, r[2]) if kind == "long" else r, reverse=True)
+    want = sorted((a[3], a[3][: len(a[3]) - len(a[3]) // 3] + b[3][: len(a[3]) // 3], len(b[3])) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted((r.text, r.edited, r.next_value) for r in out) == want
 
 
 def test_op7_awkward(spark):
-    out = omh.with_next(frame(spark, extra=True), omh.fingerprint)
-    assert out.count() == 17 and out.where("next_text is null").count() == 0
-    assert omh.with_next(frame(spark, []), omh.fingerprint).collect() == []
-    one = omh.with_next(frame(spark, [(5, "alone", None, None, 1)]), omh.fingerprint).collect()
-    assert [(r.doc_id, r.next_text) for r in one] == [(5, "alone")]
+    out = omh.edited_by_next(frame(spark, extra=True), omh.fingerprint)
+    assert out.count() == 17 and out.where("edited is null or next_value is null").count() == 0
+    assert omh.edited_by_next(frame(spark, []), omh.fingerprint).collect() == []
+    one = omh.edited_by_next(frame(spark, [(5, "alone", None, None, 1)]), omh.fingerprint).collect()
+    assert [(r.doc_id, r.edited) for r in one] == [(5, "alona")]
