@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlaw.llm.arrays import Texts, U, Words, mixed, shingles, slices
-from graphlaw.llm.common import text_of, written
+from graphlaw.llm.common import drop, text_of, written
 
 #: Coordinates of a signature; a band takes ROWS of them, and each is in DEALS bands. A pair of similarity
 #: 0.8 misses all bands in less than one of ten thousand cases, one of 0.3 meets in one of a hundred.
@@ -190,7 +190,8 @@ def _meeting(nodes: DataFrame, texts: DataFrame, labels: DataFrame, k: int, simi
     hopeful = written(nodes.where(F.col("u") <= F.col("n") * (1 - similarity) + 1e-9), "hopeful")
     rows = wanted.join(hopeful, "uid", "left_semi").mapInArrow(lambda x: elements(x, common), kind).select("e", "uid", "w", "late")
     rows = rows.join(counts.where("c > 1").select("e", "c"), "e").join(hopeful, "uid")
-    ahead = Window.partitionBy("uid").orderBy("late", "c", "e").rowsBetween(Window.unboundedPreceding, -1)
+    # common elements in the order in which they were kept above
+    ahead = Window.partitionBy("uid").orderBy("late", F.when(F.col("late"), 0).otherwise(F.col("c")), "e").rowsBetween(Window.unboundedPreceding, -1)
     lacking = F.coalesce(F.sum("w").over(ahead), F.lit(0.0)) + F.col("u")
     first = rows.withColumn("lacking", lacking).where(F.col("lacking") <= F.col("n") * (1 - similarity) + 1e-9)
     step = float(np.log(1.03))
@@ -213,29 +214,31 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(uid, root) of every node that edges (a, b) name: root is the same within a component. Edges are contracted round by round; only counts reach the driver."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(both.select(F.col("a").alias("uid")).distinct().withColumn("root", F.col("uid")), "labels")
+    old: list[DataFrame] = []
     for _ in range(max_rounds):
         edges = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         if edges.isEmpty():
             return labels
+        drop(*old)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to"))
         # one jump: where a's target moves on itself, a moves along
         jump = to.alias("x").join(to.alias("y"), F.col("x.to") == F.col("y.a")).select(F.col("x.a").alias("old"), F.col("y.to").alias("new"))
         jump = written(jump, "jumps")
         moved = labels.join(jump, F.col("root") == F.col("old"), "left").select("uid", F.coalesce("new", "root").alias("root"))
-        labels = written(moved, "labels")
+        old, labels = [edges, jump, labels], written(moved, "labels")
         x, y = jump.toDF("a", "na"), jump.toDF("b", "nb")
         edges = edges.join(x, "a").join(y, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     raise RuntimeError("the components did not settle")
 
 
-def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, similarity: float = SIMILARITY, coordinates: int = COORDINATES, rows: int = ROWS, deals: int = DEALS, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, similarity: float = SIMILARITY, coordinates: int = COORDINATES, rows: int = ROWS, deals: int = DEALS, weighted: bool = True) -> tuple[DataFrame, DataFrame]:
     """(classes, documents).
 
     classes: k1, k2 (hashes of a text) with class (long), class_id (the least key
     of the class), class_rows and class_texts. documents: key, k1, k2. Texts are linked
-    where their k-word shingles, as sets (weighted: as bags), have that Jaccard
-    similarity or more; classes are the components. Equal texts are one class;
+    where their k-word shingles, as bags (not weighted: as sets), have that weighted
+    Jaccard similarity or more (the least counts by the greatest, summed up); classes are the components. Equal texts are one class;
     texts without words, and null as empty, are only alike if equal. Texts of
     fewer than k words are one shingle. Any column may be null; a class whose keys
     are all null has a null class_id. Repeated rows are in one class.

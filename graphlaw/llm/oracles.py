@@ -43,13 +43,13 @@ SELECT d.doc_id, strlen(t)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_remov
 FROM d LEFT JOIN piece USING (doc_id)
 """
 
-#: Every pair that shares a shingle, and the components of those that are alike.
+#: Every pair that shares a shingle, bags of them compared by the least counts, and the components of those that are alike.
 OP10 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, md5(coalesce(text, '')) AS k, {_WORDS} AS ws FROM documents),
 t AS (SELECT k, any_value(ws) AS ws, min(doc_id) AS m FROM d GROUP BY k),
-s AS (SELECT DISTINCT k, md5(array_to_string(ws[i:i + 4], ' ')) AS g FROM (SELECT k, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM t WHERE len(ws) > 0)),
-n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
-p AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
+s AS (SELECT k, md5(array_to_string(ws[i:i + 4], ' ')) AS g, count(*) AS m FROM (SELECT k, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM t WHERE len(ws) > 0) GROUP BY 1, 2),
+n AS (SELECT k, sum(m) AS n FROM s GROUP BY k),
+p AS (SELECT a.k AS a, b.k AS b, sum(least(a.m, b.m)) AS c FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
 link AS (SELECT a, b FROM p JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
 reach AS (SELECT k, k AS r FROM t UNION SELECT reach.k, link.b FROM reach JOIN link ON reach.r = link.a),
 root AS (SELECT k, min(r) AS root FROM reach GROUP BY k),

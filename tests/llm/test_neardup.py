@@ -1,9 +1,10 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+from graphlaw.llm import neardup
 from graphlaw.llm import queries as Q
 from graphlaw.llm.neardup import components, counted, dart_signatures, drop_near_duplicates, mark_near_duplicates
 from tests.conftest import DATA
@@ -29,9 +30,9 @@ def test_counted():
     assert (e.tolist(), c.tolist(), d.tolist()) == ([3, 5, 3], [1, 2, 1], [0, 0, 1])
 
 
-def sets(text):
+def bags(text):
     w = (text or "").split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
 def brute_classes(rows):
@@ -43,11 +44,12 @@ def brute_classes(rows):
             i = parent[i]
         return i
 
-    s = [sets(t) for _, t in rows]
+    s = [bags(t) for _, t in rows]
+    n = [b.total() for b in s]
     for i in range(len(rows)):
         for j in range(i):
-            both = len(s[i] & s[j])
-            if (rows[i][1] or "") == (rows[j][1] or "") or both and both >= 0.8 * len(s[i] | s[j]) - 1e-9:
+            both = (s[i] & s[j]).total() if min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) - 1e-9 else 0
+            if (rows[i][1] or "") == (rows[j][1] or "") or both and both >= 0.8 * (n[i] + n[j] - both) - 1e-9:
                 parent[find(i)] = find(j)
     out = defaultdict(list)
     for i, (key, _) in enumerate(rows):
@@ -96,6 +98,26 @@ def test_op10_on_its_table(spark):
     assert classes_of(Q.op10_dart_minhash(spark, sf).collect()) == brute_classes(docs)
 
 
+def test_op10_one_family_of_edited_and_extended_copies(spark, monkeypatch):
+    """Mostly common shingles, unequal sizes near the limit, words that recur: all links are found, and with them all classes."""
+    monkeypatch.setattr(neardup, "COMMON", 200)
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(500)]
+    base, lines = rng.choices(words, k=240), [rng.choices(words, k=12) for _ in range(6)]
+    texts = []
+    for _ in range(140):
+        t = list(base)
+        for _ in range(rng.randrange(9)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(t))
+            t[at:at] = rng.choice(lines)
+        texts.append(" ".join(t[: rng.randrange(190, len(t) + 1)]))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], COLUMNS)
+    assert classes_of(mark_near_duplicates(df).collect()) == brute_classes(rows)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
