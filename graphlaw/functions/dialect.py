@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from graphlaw.terms import Keyword, QueryError, Symbol, read_form
 
@@ -118,7 +119,8 @@ def render(s: Schema | None) -> Any:
     if s.kind == "enum":
         return [k, *s.choices]
     if s.kind == "re":
-        return [k, s.regex]
+        # a pattern is a string with one: both ways to write it are one type
+        return [Keyword("string"), {Keyword("re"): s.regex}]
     if s.kind == "ref":
         return Symbol(s.names or "?")
     if s.kind == "=>":
@@ -126,8 +128,12 @@ def render(s: Schema | None) -> Any:
     return [Keyword("unknown"), s.kind]
 
 
-def valid(form: Any, v: Column) -> Column:
-    """Whether a value is of the type, as a column: true or false, never null for a value that is there."""
+def valid(form: Any, v: Column, of: DataType | None = None) -> Column:
+    """Whether a value is of the type, as a column: true or false, never null for a value that is there.
+
+    of: the column's type, where it is an array or a map; other columns hold scalars, which
+    are of no type of collections.
+    """
     s = parse(form)
     kind = F.typeof(v)
     if s.kind in ("any", "ref"):
@@ -151,9 +157,24 @@ def valid(form: Any, v: Column) -> Column:
     if s.kind == "re":
         return F.coalesce(kind.isin("string") & F.regexp_like(v.cast("string"), F.lit(s.regex)), F.lit(False))
     if s.kind in ("or", "and"):
-        parts = [valid(p, v) for p in s.of]
+        parts = [valid(p, v, of) for p in s.of]
         return reduce((lambda a, b: a | b) if s.kind == "or" else (lambda a, b: a & b), parts)
-    raise QueryError(f"values of type {s.kind} aren't stored in one column")
+    if s.kind in ("vector", "sequential", "set") and isinstance(of, ArrayType):
+        each = F.forall(v, lambda x: valid(s.of[0], x, of.elementType))
+        return F.coalesce(each & (F.size(F.array_distinct(v)) == F.size(v)) if s.kind == "set" else each, F.lit(False))
+    if s.kind == "map-of" and isinstance(of, MapType):
+        entries = F.map_entries(v)
+        return F.coalesce(F.forall(entries, lambda e: valid(s.of[0], e["key"], of.keyType) & valid(s.of[1], e["value"], of.valueType)), F.lit(False))
+    if s.kind == "tuple" and isinstance(of, StructType) and len(of.fields) == len(s.of):
+        return F.coalesce(reduce(lambda a, b: a & b, (valid(t, v[f.name], f.dataType) for t, f in zip(s.of, of.fields, strict=True)), v.isNotNull()), F.lit(False))
+    if s.kind == "map" and isinstance(of, StructType):
+        fields = {f.name: f.dataType for f in of.fields}
+        wanted = {k.removeprefix(":"): (t, o) for k, t, o in s.fields}
+        if not set(fields) <= set(wanted):
+            return F.lit(False)
+        one = lambda k, t, o: F.when(v[k].isNull(), F.lit(o)).otherwise(valid(t, v[k], fields[k])) if k in fields else F.lit(o)
+        return F.coalesce(reduce(lambda a, b: a & b, (one(k, t, o) for k, (t, o) in wanted.items()), v.isNotNull()), F.lit(False))
+    return F.lit(False)
 
 
 def adheres(authored: Schema, realized: Schema) -> bool:
@@ -196,3 +217,34 @@ def matches(form: Any, value: Any) -> bool:
         keys = {k.removeprefix(":"): (t, o) for k, t, o in s.fields}
         return isinstance(value, dict) and all(k in keys for k in value) and all(matches(t, value[k]) if k in value else o for k, (t, o) in keys.items())
     return False
+
+
+#: What the engine asks of types, by name; None where nothing is registered. Parts can be replaced one by one.
+DIALECT: dict[str, Any] = {"parse": parse, "render": render, "adheres": adheres, "valid": valid, "reflect_tag": "type/Schema"}
+
+
+def register(**parts: Any) -> None:
+    """Replace parts of the dialect: parse(form), render(type), adheres(a, b), valid(form, column), reflect_tag."""
+    unknown = set(parts) - {"parse", "render", "adheres", "valid", "reflect_tag"}
+    if unknown:
+        raise QueryError(f"a dialect has no {', '.join(sorted(unknown))}")
+    DIALECT.update(parts)
+
+
+def clear() -> None:
+    """Leave no dialect registered."""
+    DIALECT.clear()
+
+
+def ask(part: str, *args: Any) -> Any:
+    """A part of the dialect, applied; None where there is none."""
+    f = DIALECT.get(part)
+    return f(*args) if f is not None else None
+
+
+def value_valid(form: Any, v: Column) -> Column:
+    """Whether a value is of the type, by the registered dialect. Without one this is an error: a law that passes unchecked is worse."""
+    f = DIALECT.get("valid")
+    if f is None:
+        raise QueryError(f"no type dialect is registered that could check {form_text(form)}")
+    return f(form, v)

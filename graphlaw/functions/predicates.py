@@ -37,8 +37,8 @@ def corresponds(short: Column, long: Column) -> Column:
     return (F.size(a) <= F.size(b)) & (F.slice(b, F.greatest(F.size(b) - F.size(a) + 1, F.lit(1)), F.size(a)) == a)
 
 
-def link_corresponding(left: DataFrame, right: DataFrame, a: str, b: str, flipped: bool) -> DataFrame:
-    """left.a corresponds to right.b (flipped: right.b to left.a), by equality with every suffix of the longer name."""
+def link_corresponding(left: DataFrame, right: DataFrame, a: str, b: str, flipped: bool, on: list[str] | None = None) -> DataFrame:
+    """left.a corresponds to right.b (flipped: right.b to left.a), by equality with every suffix of the longer name, and of the columns on."""
 
     def tails(df: DataFrame, c: str) -> DataFrame:
         s = segments(F.col(c))
@@ -48,7 +48,7 @@ def link_corresponding(left: DataFrame, right: DataFrame, a: str, b: str, flippe
         return df.withColumn("__tail", F.array_join(segments(F.col(c)), "."))
 
     x, y = (tails(left, a), whole(right, b)) if flipped else (whole(left, a), tails(right, b))
-    return x.join(y, "__tail").drop("__tail")
+    return x.join(y, ["__tail", *(on or [])]).drop("__tail")
 
 
 def one_of(values: Any, v: Column) -> Column:
@@ -67,8 +67,8 @@ PREDICATES: dict[str, Predicate] = {
     "ends-with?": Predicate(lambda a, b: F.endswith(a, b)),
     "reader-realizes?": Predicate(lambda rn, p, ln: rn == F.concat(p, ln), 0, lambda p, ln: F.concat(p, ln)),
     "module-corresponds?": Predicate(corresponds, link=link_corresponding),
-    "value-valid?": Predicate(lambda form, v: dialect.valid(form, v)),
-    "value-invalid?": Predicate(lambda form, v: ~dialect.valid(form, v)),
+    "value-valid?": Predicate(lambda form, v: dialect.value_valid(form, v)),
+    "value-invalid?": Predicate(lambda form, v: ~dialect.value_valid(form, v)),
 }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -29,6 +30,11 @@ def refine(store: GraphStore, reg: Registry, nodes: DataFrame, clauses: Any) ->
     return nodes.select("n").distinct().join(focus(store, reg, clauses), "n", "left_semi")
 
 
+def union(*foci: DataFrame) -> DataFrame:
+    """(n): the nodes of any of the foci."""
+    return reduce(lambda a, b: a.unionByName(b), [f.select("n") for f in foci]).distinct()
+
+
 def run_checks(store: GraphStore, reg: Registry) -> DataFrame:
     """(check, verdict, offender): for every check whose lens finds nodes, a row for each of them. Checks are read one by one: there are few."""
     found = engine(store, reg).q('[:find ?c ?name ?verdict ?q :where [?c :structure/of "lens/Check"] [?c :entity/name ?name] [?c :val/verdict ?verdict] (gates ?c ?lens) [?lens :val/query ?q]]').orderBy("name").collect()

@@ -77,11 +77,16 @@ def module(store: GraphStore, registry: Registry, projection: str, name: str) ->
     return materialize(store, registry, projection, f'[(in-module ?n "{name}")]')
 
 
+def of_foci(store: GraphStore, projection: str, foci: DataFrame) -> DataFrame:
+    """(n, text): all nodes of a column focus of id arrays, those of several foci once."""
+    return materialize(store, Registry(), projection, foci.select(F.explode("focus").alias("n")).distinct())
+
+
 def unused_structures(store: GraphStore) -> DataFrame:
-    """(tag): reflected structures without instances that neither carry laws nor are included by another."""
-    tags = store.attr("tag", "string").select(F.col("e").alias("eid"), F.col("v").alias("tag"))
-    own = store.nodes.where("tag = 'grammar/Structure'").select("eid").join(tags, "eid")
+    """(name): reflected structures that no node is an instance of, but for the one that stands for any, realized ones and facets that others include."""
+    tags = store.attr("tag", "string", frozenset({"grammar/Structure"})).select(F.col("e").alias("eid"), F.col("v").alias("tag"))
+    own = store.nodes.where("tag = 'grammar/Structure' and name is not null").select("eid", "name").join(tags, "eid").where("tag != 'Any'")
     used = store.nodes.select("tag").where("tag is not null").distinct()
-    lawful = store.edges.where("kind = 'law'").select(F.col("src").alias("eid"))
+    realized = store.attr("realizes", "string").select(F.col("e").alias("eid"))
     included = store.edges.where("kind = 'includes'").select(F.col("dst").alias("eid"))
-    return own.join(used, "tag", "left_anti").join(lawful, "eid", "left_anti").join(included, "eid", "left_anti").select("tag")
+    return own.join(used, "tag", "left_anti").join(realized, "eid", "left_anti").join(included, "eid", "left_anti").select("name").distinct()

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlaw import vocab as V
-from graphlaw.functions import dialect
-from graphlaw.operators.check import engine, law_offenders, names_of
+from graphlaw.operators.check import law_offenders, names_of
 from graphlaw.operators.fixpoint import connected_components, reach_labels
+from graphlaw.plans.code_laws import Code, unmodelled
 from graphlaw.plans.registry import Registry
+from graphlaw.sources.shared import written
 from graphlaw.sources.store import GraphStore
 
 
-def module_dependencies(store: GraphStore, reg: Registry) -> DataFrame:
+def module_dependencies(store: GraphStore, reg: Registry | None = None) -> DataFrame:
     """(m, n): names of modules, the first depending on the second by a delegation or by a type that it owns."""
-    return engine(store, reg).q("[:find ?mn ?nn :in $ % :where (module-depends ?m ?n) [?m :entity/name ?mn] [?n :entity/name ?nn]]", V.DEPENDS).toDF("m", "n")
+    c = Code(store)
+    names = c.nodes(V.MODULE).where("name is not null")
+    return c.dependencies.join(names.toDF("m", "mn"), "m").join(names.toDF("n", "nn"), "n").select(F.col("mn").alias("m"), F.col("nn").alias("n")).distinct()
 
 
 def offending_names(store: GraphStore, reg: Registry, tag: str, nth: int = 0) -> DataFrame:
@@ -47,59 +50,128 @@ def uncovered_readers(store: GraphStore, reg: Registry) -> DataFrame:
     return offending_names(store, reg, "lens/Coverage")
 
 
-def uncovered_operations(store: GraphStore, reg: Registry) -> DataFrame:
-    q = '[:find ?on :where [?o :structure/of "code/Operation"] [?o :val/extracted true] [?o :entity/name ?on] (not-join [?o] (op-twin ?s ?o))]'
-    return engine(store, reg).q(q).toDF("name")
+def uncovered_operations(store: GraphStore, reg: Registry | None = None) -> DataFrame:
+    """(name): operations in code that are no twin."""
+    c = Code(store)
+    return c.side(True).join(c.twins.select(F.col("b").alias("eid")), "eid", "left_anti").where("name is not null").select("name").distinct()
 
 
-def uncovered_calls(store: GraphStore, reg: Registry) -> DataFrame:
+def uncovered_calls(store: GraphStore, reg: Registry | None = None) -> DataFrame:
     """(k1, k2): modules between which code calls without an intended delegation."""
-    return engine(store, reg).q("[:find ?k1 ?k2 :in $ % :where (called ?k1 ?k2) [(not= ?k1 ?k2)] (not (covered ?k1 ?k2))]", V.INTENT).toDF("k1", "k2")
+    c = Code(store)
+    return c.called.where("k1 != k2").select("k1", "k2").distinct().join(c.covered, ["k1", "k2"], "left_anti")
 
 
-DISPATCH = """[
- [(ext-edge ?a ?b) (calls ?a ?b)]
- [(ext-edge ?a ?b) (dispatches-to ?x ?y) (op-twin ?x ?a) (op-twin ?y ?b)]
- [(ext-reaches ?a ?b) (ext-edge ?a ?b)]
- [(ext-reaches ?a ?b) (ext-edge ?a ?mid) (ext-reaches ?mid ?b)]]"""
+def unrealized_dispatch(store: GraphStore, reg: Registry | None = None) -> DataFrame:
+    """(name): authored operations with a delegation to another module that no path of calls and dispatches realizes.
 
+    Only the twins that delegations aim at travel back along the paths, not all pairs.
+    """
+    c = Code(store)
+    twin = c.twins
+    steps = c.pairs("dispatches-to").toDF("x", "y").join(twin.toDF("x", "src"), "x").join(twin.toDF("y", "dst"), "y").select("src", "dst")
+    paths = written(c.pairs("calls").unionByName(steps).distinct(), "paths")
+    meant = written(c.intended.select("x", "y").distinct().join(twin.toDF("x", "node"), "x").join(twin.toDF("y", "label"), "y"), "meant")
+    ends = paths.join(meant.select(F.col("label").alias("dst")), "dst", "left_semi").toDF("label", "node").select("node", "label")
+    missing = meant.join(reach_labels(ends, paths), ["node", "label"], "left_anti").select("x").distinct()
+    return names_of(store, missing)
+
+
+def dispatch(store: GraphStore) -> DataFrame:
+    """(name, handlers): authored operations that dispatch, by name, with the names of what they dispatch to, sorted."""
+    c = Code(store)
+    pairs = c.pairs("dispatches-to").join(c.extracted.toDF("src"), "src", "left_anti")
+    names = store.nodes.where("name is not null").select("eid", "name")
+    named = pairs.join(names.toDF("src", "name"), "src").join(names.toDF("dst", "handler"), "dst")
+    return named.groupBy("name").agg(F.array_sort(F.collect_set("handler")).alias("handlers"))
+
+
+def _children(store: GraphStore) -> DataFrame:
+    """(eid, module): nodes and the names of those that have them as children; other ways of belonging don't count here."""
+    holders = store.nodes.where("name is not null").select(F.col("eid").alias("src"), F.col("name").alias("module"))
+    return Code(store).pairs("child").join(holders, "src").select(F.col("dst").alias("eid"), "module").distinct()
+
+
+def purity(store: GraphStore) -> DataFrame:
+    """(module, name, effects): operations in code that perform effects themselves, those of throwing left out, sorted."""
+    c = Code(store)
+    acts = c.performs.where("label != 'throws'").withColumnRenamed("node", "eid").join(c.side(True), "eid").join(_children(store), "eid")
+    return acts.groupBy("module", "name").agg(F.array_sort(F.collect_set("label")).alias("effects"))
+
+
+def encapsulation_by_module(store: GraphStore) -> DataFrame:
+    """(module, operations): by module, the names of public operations in code that the model doesn't cover, sorted."""
+    c = Code(store)
+    names = unmodelled(store).toDF("eid").join(c.nodes(V.OPERATION), "eid").select("name").distinct()
+    public = public_operations(store).join(names, "name", "left_semi").join(_children(store), "eid")
+    return public.groupBy("module").agg(F.array_sort(F.collect_set("name")).alias("operations"))
+
+
+def public_operations(store: GraphStore) -> DataFrame:
+    """(eid, name): operations in code that aren't private."""
+    c = Code(store)
+    return c.side(True).join(c.flagged(V.OPERATION, ("private",)).where("not private").select("eid"), "eid", "left_semi")
+
+
+def clientele(store: GraphStore) -> DataFrame:
+    """(op, module, client): for public operations in code, the names of their module and of the other modules that call them."""
+    c = Code(store)
+    public = public_operations(store).select(F.col("eid").alias("dst"))
+    calls = c.pairs("calls").join(public, "dst", "left_semi")
+    who = c.placed(c.placed(calls, "src", "client"), "dst", "module").where("client != module")
+    return who.select(F.col("dst").alias("op"), "module", "client").distinct()
 
-def unrealized_dispatch(store: GraphStore, reg: Registry) -> DataFrame:
-    """(name): authored operations with a delegation to another module that no path of calls and dispatches realizes."""
-    q = "[:find ?n :in $ % :where (delegates ?x ?y) (not [?x :val/extracted true]) [?x :entity/name ?n] (in-module ?x ?c1) (in-module ?y ?c2) [(not= ?c1 ?c2)] (op-twin ?x ?a) (op-twin ?y ?b) (not (ext-reaches ?a ?b))]"
-    return engine(store, reg).q(q, DISPATCH).toDF("name")
 
+def consumed(store: GraphStore) -> DataFrame:
+    """(module, n): how many of a module's public operations other modules call."""
+    return clientele(store).groupBy("module").agg(F.count_distinct("op").alias("n"))
 
-def _performed(store: GraphStore) -> DataFrame:
-    """(node, label): operations and the effects that they perform themselves."""
-    names = store.attr("name", "string").select(F.col("e").alias("dst"), F.col("v").alias("label"))
-    return store.edges.where("kind = 'performs'").select(F.col("src").alias("node"), "dst").join(names, "dst").select("node", "label").distinct()
+
+def co_consumed(store: GraphStore) -> DataFrame:
+    """(a, b): public operations of one module that a client shares, each linked with the least that the client calls there: the same groups as all pairs give."""
+    return _links(clientele(store))
+
+
+def _links(who: DataFrame) -> DataFrame:
+    least = who.groupBy("module", "client").agg(F.min("op").alias("b"))
+    return who.select(F.col("op").alias("a"), "module", "client").join(least, ["module", "client"]).where("a != b").select("a", "b").distinct()
+
+
+def direct_throwers(store: GraphStore, effect: str = "throws") -> DataFrame:
+    """(name): operations in code that perform the effect themselves."""
+    return throw_spread(store, effect).where("how = 'direct'").select("name")
 
 
 def reached_effects(store: GraphStore) -> DataFrame:
     """(node, label): every effect that an operation performs or reaches by calls."""
-    return reach_labels(_performed(store), store.edges.where("kind = 'calls'").select("src", "dst").distinct())
+    return Code(store).reached
 
 
 def throw_spread(store: GraphStore, effect: str = "throws") -> DataFrame:
     """(name, how): extracted operations that perform the effect ("direct") or only reach it ("transitive"), by name."""
-    ops = store.nodes.where(F.col("tag") == V.OPERATION).select(F.col("eid").alias("node"), "name").join(store.attr("extracted", "boolean").where("v").select(F.col("e").alias("node")), "node", "left_semi")
+    c = Code(store)
+    ops = c.side(True).toDF("node", "name")
     by = lambda df: df.where(F.col("label") == effect).join(ops, "node").select("name").distinct()
-    direct = by(_performed(store))
-    return direct.withColumn("how", F.lit("direct")).unionByName(by(reached_effects(store)).subtract(direct).withColumn("how", F.lit("transitive")))
+    direct = by(c.performs)
+    return direct.withColumn("how", F.lit("direct")).unionByName(by(c.reached).subtract(direct).withColumn("how", F.lit("transitive")))
 
 
-def effect_drift(store: GraphStore, reg: Registry) -> DataFrame:
+def effect_drift(store: GraphStore, reg: Registry | None = None) -> DataFrame:
     """(name, undeclared, phantom): sorted effects that an operation's twin reaches and it doesn't declare, and the reverse."""
-    eng = engine(store, reg)
-    pairs = eng.rule("op-twin").toDF("o", "e").join(store.nodes.select(F.col("eid").alias("o"), "name"), "o")
-    declared = pairs.join(_performed(store).withColumnRenamed("node", "o"), "o").select("o", "e", "name", "label").withColumn("d", F.lit(1))
-    reached = pairs.join(reached_effects(store).withColumnRenamed("node", "e"), "e").select("o", "e", "name", "label").withColumn("r", F.lit(1))
+    c = Code(store)
+    pairs = c.twins.toDF("o", "e").join(c.side(False).toDF("o", "name"), "o")
+    declared = pairs.join(c.performs.withColumnRenamed("node", "o"), "o").select("o", "e", "name", "label").withColumn("d", F.lit(1))
+    reached = pairs.join(c.reached.withColumnRenamed("node", "e"), "e").select("o", "e", "name", "label").withColumn("r", F.lit(1))
     both = declared.join(reached, ["o", "e", "name", "label"], "full_outer").where("d is null or r is null")
     sets = lambda c: F.array_sort(F.collect_set(F.when(F.col(c).isNull(), F.col("label"))))
     return both.groupBy("name").agg(sets("d").alias("undeclared"), sets("r").alias("phantom"))
 
 
+def undeclared_effects(store: GraphStore) -> DataFrame:
+    """(name, undeclared): operations whose twin reaches effects that they don't declare."""
+    return effect_drift(store).where(F.size("undeclared") > 0).select("name", "undeclared")
+
+
 def operation_signatures(store: GraphStore) -> DataFrame:
     """(eid, ins, out): schema ids of an operation's inputs in order, and of its output."""
     ops = store.nodes.where(F.col("tag") == V.OPERATION).select("eid")
@@ -109,8 +181,11 @@ def operation_signatures(store: GraphStore) -> DataFrame:
     return ops.join(ins, "eid", "left").join(outs, "eid", "left").select("eid", F.coalesce("ins", F.array().cast("array<long>")).alias("ins"), "out")
 
 
-def type_drifted_operations(store: GraphStore, reg: Registry) -> DataFrame:
-    """(name): authored operations whose signature differs from the one that their twin's code declares."""
+def type_drifted_operations(store: GraphStore, reg: Registry | None = None) -> DataFrame:
+    """(name): authored operations whose signature differs from the one that their twin's code declares.
+
+    Signatures found in code are stored in normal form (emit() sees to it), so texts are compared.
+    """
     from graphlaw.operators.render import schema_forms
 
     forms = schema_forms(store)
@@ -119,19 +194,11 @@ def type_drifted_operations(store: GraphStore, reg: Registry) -> DataFrame:
     ins = part.groupBy("eid").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.when(F.col("form").isNotNull(), F.struct("i", "form")))), lambda x: x["form"])).alias("ins"))
     outs = sigs.join(forms.select(F.col("eid").alias("out"), F.col("form").alias("result")), "out", "left").select("eid", F.coalesce("result", F.lit(":nil")).alias("result"))
     said = ins.join(outs, "eid").select(F.col("eid").alias("o"), F.concat(F.lit("[:=> [:cat"), F.when(F.col("ins") != "", F.concat(F.lit(" "), "ins")).otherwise(F.lit("")), F.lit("] "), "result", F.lit("]")).alias("said"))
-    twins = engine(store, reg).rule("op-twin").toDF("o", "e").join(store.attr("sig", "string").select(F.col("e"), F.col("v").alias("sig")), "e")
-    normal = F.udf(_normal_signature, "string")  # signatures are few and short: one a declared operation
-    drift = twins.join(said, "o").where(~F.col("said").eqNullSafe(normal("sig")))
+    twins = Code(store).twins.toDF("o", "e").join(store.attr("sig", "string").select(F.col("e"), F.col("v").alias("sig")), "e")
+    drift = twins.join(said, "o").where(F.col("said") != F.col("sig"))
     return names_of(store, drift.select("o"))
 
 
-def _normal_signature(text: str) -> str | None:
-    try:
-        return dialect.form_text(dialect.render(dialect.parse(text)))
-    except Exception:
-        return None
-
-
 def latent_boundaries(calls: DataFrame, members: DataFrame) -> DataFrame:
     """(module, ops, clientele): parts of two or more of a module's operations that other modules use together and apart from the rest.
 
@@ -139,11 +206,7 @@ def latent_boundaries(calls: DataFrame, members: DataFrame) -> DataFrame:
     modules that call it; operations of one module are used together if their clienteles meet.
     """
     who = calls.join(members.toDF("src", "client"), "src").join(members.toDF("dst", "module"), "dst").where("client != module").select(F.col("dst").alias("op"), "module", "client").distinct()
-    a, b = who.toDF("a", "module", "client"), who.toDF("b", "module", "client")
-    # one link to the least operation that shares a client stands for all pairs
-    least = who.groupBy("module", "client").agg(F.min("op").alias("b"))
-    links = a.join(least, ["module", "client"]).where("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    del b
+    links = _links(who).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     parts = connected_components(links).join(who.select(F.col("op").alias("node"), "module").distinct(), "node")
     sizes = parts.groupBy("module", "component").agg(F.count(F.lit(1)).alias("n"))
     total = who.groupBy("module").agg(F.count_distinct("op").alias("total"))

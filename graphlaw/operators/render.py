@@ -32,9 +32,9 @@ def schema_forms(store: GraphStore) -> DataFrame:
     value = F.when(F.col("kind") == "string", F.concat(F.lit('"'), "value", F.lit('"'))).when(F.col("kind") == "keyword", F.concat(F.lit(":"), "value")).otherwise(F.col("value"))
     choices = store.attr("value", "string").select(F.col("e").alias("eid"), F.col("v").alias("value")).join(text("kind"), "eid").select("eid", value.alias("form"))
     base = base.join(names, "eid", "left").join(_ordered(store, "choice", choices).withColumnRenamed("text", "choices"), "eid", "left")
-    bounds = F.concat_ws(", ", F.when(F.col("min").isNotNull(), F.concat(F.lit(":min "), F.col("min").cast("string"))), F.when(F.col("max").isNotNull(), F.concat(F.lit(":max "), F.col("max").cast("string"))))
+    bounds = F.concat_ws(", ", F.when(F.col("min").isNotNull(), F.concat(F.lit(":min "), F.col("min").cast("string"))), F.when(F.col("max").isNotNull(), F.concat(F.lit(":max "), F.col("max").cast("string"))), F.when(F.col("regex").isNotNull(), F.concat(F.lit(':re "'), "regex", F.lit('"'))))
     wrapped = F.when(bounds != "", F.concat(F.lit("[:"), "kind", F.lit(" {"), bounds, F.lit("}]"))).otherwise(F.concat(F.lit(":"), "kind"))
-    leaf = F.when(F.col("kind") == "ref", F.coalesce("target", F.lit("?"))).when(F.col("kind") == "enum", F.concat(F.lit("[:enum "), F.coalesce("choices", F.lit("")), F.lit("]"))).when(F.col("kind") == "re", F.concat(F.lit('[:re "'), "regex", F.lit('"]')))
+    leaf = F.when(F.col("kind") == "ref", F.coalesce("target", F.lit("?"))).when(F.col("kind") == "enum", F.concat(F.lit("[:enum "), F.coalesce("choices", F.lit("")), F.lit("]")))
     compound = ["vector", "set", "sequential", "tuple", "or", "and", "map-of"]
     has = {r["kind"] for r in base.select("kind").distinct().collect()}
     forms = base.select("eid", F.when(F.col("kind").isin([*compound, "map", "=>"]), F.lit(OPEN)).otherwise(F.coalesce(leaf, wrapped)).alias("form"))
@@ -102,6 +102,26 @@ def instance(store: GraphStore, reg: Registry, eid: int) -> str:
     return f"({head}{' {' + ', '.join(parts) + '}' if parts else ''})"
 
 
+def focus_text(store: GraphStore, reg: Registry, nodes: DataFrame) -> str:
+    """The nodes (n) as the forms that would author them, by tag and name, an empty line between. For reading: one lookup a node."""
+    rows = nodes.select("n").distinct().join(store.nodes.select(F.col("eid").alias("n"), "tag", "name"), "n").orderBy("tag", F.coalesce("name", F.lit("")), "n").select("n").collect()
+    return "\n\n".join(instance(store, reg, r["n"]) for r in rows)
+
+
+def show(store: GraphStore, reg: Registry, name: str) -> str:
+    """Every node of a name as its form."""
+    return focus_text(store, reg, store.nodes.where(F.col("name") == name).select(F.col("eid").alias("n")))
+
+
+def violations_text(store: GraphStore, reg: Registry, found: DataFrame) -> str:
+    """Offences with each offender quoted as its form. For reading: one lookup an offender."""
+    rows = found.orderBy("structure", "law", "offenders").collect()
+    if not rows:
+        return "Every law holds."
+    quoted = lambda x: "\n".join(f"  {line}" for line in (instance(store, reg, int(x)) if x is not None else "nil").splitlines())
+    return "\n\n".join("\n".join([f"{r['law']}  [{r['structure'].rsplit('/', 1)[-1]}]", *map(quoted, r["offenders"])]) for r in rows)
+
+
 def structure(s: Structure) -> str:
     """A declared structure as text."""
     shape = {"one": "{}", "optional": "[:? {}]", "many": "[:* {}]", "some": "[:+ {}]", "set": "[:set {}]"}

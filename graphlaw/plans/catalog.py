@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphlaw.functions import dialect
+from graphlaw.functions import dialect, predicates
 from graphlaw.operators import fixpoint, lens, probes
 from graphlaw.operators.check import check
-from graphlaw.plans.compiler import Engine
-from graphlaw.plans.registry import Law, Registry, Slot, Structure, has, matched_by
+from graphlaw.plans import code_catalog
+from graphlaw.plans.code_laws import OPERATION
+from graphlaw.plans.compiler import Engine, register_relation
+from graphlaw.plans.registry import Law, Registry, Slot, Structure, at_most_one, has, has_any, matched_by, target
+from graphlaw.sources.model import resolve_calls
+from graphlaw.sources.shared import numbered
 from graphlaw.sources.store import GraphStore
 from graphlaw.sources.tables import SPAN, EdgeTable, NodeTable, from_tables, key_of
 
@@ -44,23 +48,22 @@ def registry() -> Registry:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> GraphStore:
-    t = lambda name: table(spark, sf_dir, name)
-    line = t("lineitem")
+    nation, customer, supplier, part, orders, line = (table(spark, sf_dir, n) for n in ("nation", "customer", "supplier", "part", "orders", "lineitem"))
     return from_tables(
         spark,
         [
-            NodeTable("shop/Region", t("region"), "r_regionkey", "r_name"),
-            NodeTable("shop/Nation", t("nation"), "n_nationkey", "n_name", values={"key": "n_nationkey"}),
-            NodeTable("shop/Customer", t("customer"), "c_custkey", "c_name", values={"key": "c_custkey", "balance": "c_acctbal", "segment": "c_mktsegment"}),
-            NodeTable("shop/Supplier", t("supplier"), "s_suppkey", "s_name", values={"key": "s_suppkey", "balance": "s_acctbal"}),
-            NodeTable("shop/Part", t("part"), "p_partkey", "p_name", values={"key": "p_partkey", "brand": "p_brand", "size": "p_size"}),
-            NodeTable("shop/Order", t("orders"), "o_orderkey", values={"key": "o_orderkey", "status": "o_orderstatus", "total": "o_totalprice", "priority": "o_orderpriority"}),
+            NodeTable("shop/Region", table(spark, sf_dir, "region"), "r_regionkey", "r_name"),
+            NodeTable("shop/Nation", nation, "n_nationkey", "n_name", values={"key": "n_nationkey"}),
+            NodeTable("shop/Customer", customer, "c_custkey", "c_name", values={"key": "c_custkey", "balance": "c_acctbal", "segment": "c_mktsegment"}),
+            NodeTable("shop/Supplier", supplier, "s_suppkey", "s_name", values={"key": "s_suppkey", "balance": "s_acctbal"}),
+            NodeTable("shop/Part", part, "p_partkey", "p_name", values={"key": "p_partkey", "brand": "p_brand", "size": "p_size"}),
+            NodeTable("shop/Order", orders, "o_orderkey", values={"key": "o_orderkey", "status": "o_orderstatus", "total": "o_totalprice", "priority": "o_orderpriority"}),
         ],
         [
-            EdgeTable("in-region", t("nation"), "shop/Nation", "n_nationkey", "shop/Region", "n_regionkey"),
-            EdgeTable("in-nation", t("customer"), "shop/Customer", "c_custkey", "shop/Nation", "c_nationkey"),
-            EdgeTable("in-nation", t("supplier"), "shop/Supplier", "s_suppkey", "shop/Nation", "s_nationkey"),
-            EdgeTable("placed-by", t("orders"), "shop/Order", "o_orderkey", "shop/Customer", "o_custkey"),
+            EdgeTable("in-region", nation, "shop/Nation", "n_nationkey", "shop/Region", "n_regionkey"),
+            EdgeTable("in-nation", customer, "shop/Customer", "c_custkey", "shop/Nation", "c_nationkey"),
+            EdgeTable("in-nation", supplier, "shop/Supplier", "s_suppkey", "shop/Nation", "s_nationkey"),
+            EdgeTable("placed-by", orders, "shop/Order", "o_orderkey", "shop/Customer", "o_custkey"),
             EdgeTable("contains", line, "shop/Order", "l_orderkey", "shop/Part", "l_partkey", order="l_linenumber"),
             EdgeTable("ships", line, "shop/Supplier", "l_suppkey", "shop/Order", "l_orderkey"),
         ],
@@ -281,7 +284,7 @@ def b1_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes.survey(graph(spark, sf_dir))
 
 
-@query("SELECT * FROM (SELECT 'shop/Nation' AS source, 'in-region' AS kind, 'shop/Region' AS target, count(*) AS n FROM nation UNION ALL SELECT 'shop/Customer', 'in-nation', 'shop/Nation', count(*) FROM customer UNION ALL SELECT 'shop/Supplier', 'in-nation', 'shop/Nation', count(*) FROM supplier UNION ALL SELECT 'shop/Order', 'placed-by', 'shop/Customer', count(*) FROM orders UNION ALL SELECT 'shop/Order', 'contains', 'shop/Part', count(*) FROM lineitem UNION ALL SELECT 'shop/Supplier', 'ships', 'shop/Order', count(*) FROM lineitem) WHERE n > 1")
+@query("SELECT * FROM (SELECT 'shop/Nation' AS source, 'in-region' AS kind, 'shop/Region' AS target, count(*) AS n FROM nation UNION ALL SELECT 'shop/Customer', 'in-nation', 'shop/Nation', count(*) FROM customer UNION ALL SELECT 'shop/Supplier', 'in-nation', 'shop/Nation', count(*) FROM supplier UNION ALL SELECT 'shop/Order', 'placed-by', 'shop/Customer', count(*) FROM orders UNION ALL SELECT 'shop/Order', 'contains', 'shop/Part', count(DISTINCT (l_orderkey, l_partkey, l_linenumber)) FROM lineitem UNION ALL SELECT 'shop/Supplier', 'ships', 'shop/Order', count(DISTINCT (l_suppkey, l_orderkey)) FROM lineitem) WHERE n > 1")
 def b2_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes.patterns(graph(spark, sf_dir))
 
@@ -296,7 +299,7 @@ def b3_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes.consistency(store, "shop/Part")
 
 
-@query("WITH e AS (SELECT 0 AS t, n_nationkey AS k FROM nation UNION ALL SELECT 1, n_regionkey FROM nation UNION ALL SELECT 2, c_custkey FROM customer UNION ALL SELECT 0, c_nationkey FROM customer UNION ALL SELECT 3, s_suppkey FROM supplier UNION ALL SELECT 0, s_nationkey FROM supplier UNION ALL SELECT 4, o_orderkey FROM orders UNION ALL SELECT 2, o_custkey FROM orders UNION ALL SELECT 4, l_orderkey FROM lineitem UNION ALL SELECT 5, l_partkey FROM lineitem UNION ALL SELECT 3, l_suppkey FROM lineitem UNION ALL SELECT 4, l_orderkey FROM lineitem) SELECT list_extract(['Nation', 'Region', 'Customer', 'Supplier', 'Order', 'Part'], t + 1) AS tag, k::BIGINT AS key, count(*) AS degree FROM e GROUP BY t, k ORDER BY degree DESC, list_extract([1, 0, 2, 3, 5, 4], t + 1), k LIMIT 10")
+@query("WITH held AS (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem), shipped AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem), e AS (SELECT 0 AS t, n_nationkey AS k FROM nation UNION ALL SELECT 1, n_regionkey FROM nation UNION ALL SELECT 2, c_custkey FROM customer UNION ALL SELECT 0, c_nationkey FROM customer UNION ALL SELECT 3, s_suppkey FROM supplier UNION ALL SELECT 0, s_nationkey FROM supplier UNION ALL SELECT 4, o_orderkey FROM orders UNION ALL SELECT 2, o_custkey FROM orders UNION ALL SELECT 4, l_orderkey FROM held UNION ALL SELECT 5, l_partkey FROM held UNION ALL SELECT 3, l_suppkey FROM shipped UNION ALL SELECT 4, l_orderkey FROM shipped) SELECT list_extract(['Nation', 'Region', 'Customer', 'Supplier', 'Order', 'Part'], t + 1) AS tag, k::BIGINT AS key, count(*) AS degree FROM e GROUP BY t, k ORDER BY degree DESC, list_extract([1, 0, 2, 3, 5, 4], t + 1), k LIMIT 10")
 def b4_callers_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.array(*map(F.lit, ["Region", "Nation", "Customer", "Supplier", "Part", "Order"]))
     return probes.callers(graph(spark, sf_dir)).select(F.get(tags, F.floor(F.col("eid") / SPAN).cast("int")).alias("tag"), key_of(F.col("eid")).alias("key"), "degree")
@@ -318,8 +321,11 @@ def d20_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT l_orderkey AS orderkey, l_linenumber::BIGINT AS line FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def d16_found_several(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A one-slot with several relations: places of an order that more than one line takes."""
+    line = table(spark, sf_dir, "lineitem")
     place = F.col("l_orderkey") * 100 + F.col("l_linenumber")
-    line = table(spark, sf_dir, "lineitem").select(place.alias("place"), "l_partkey", F.monotonically_increasing_id().cast("int").alias("i"))
+    # relations of one place are told apart by their number there
+    nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(F.xxhash64(*line.columns)))
+    line = line.select(place.alias("place"), "l_partkey", nth.alias("i"))
     places = line.select("place").distinct()
     part = table(spark, sf_dir, "part")
     reg = Registry().add(Structure("shop/Part"), Structure("shop/Place", (Slot("holds", "shop/Part"),)))
@@ -340,9 +346,12 @@ def d9_has(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT l_orderkey AS orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate")
 def p8_across_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that ship before their order's date, each line a node with a content id."""
+    """Lines that ship before their order's date, each line a node."""
     line = table(spark, sf_dir, "lineitem")
-    line = line.select("l_orderkey", "l_shipdate", (F.xxhash64(*line.columns).bitwiseAND(SPAN - 1)).alias("id")).dropDuplicates(["id"])
+    # a line is named by its order and its number there; no hash, so no two become one
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", F.xxhash64(*line.columns)))
+    line = line.select("l_orderkey", "l_shipdate", nth.alias("nth"))
+    line = line.withColumn("id", F.when(F.col("nth") < 1024, F.col("l_orderkey") * 1024 + F.col("nth")).otherwise(F.raise_error(F.lit("an order of 1024 lines"))))
     orders = table(spark, sf_dir, "orders")
     store = from_tables(spark, [NodeTable("shop/Line", line, "id", values={"ships-on": "l_shipdate"}), NodeTable("shop/Order", orders, "o_orderkey", values={"key": "o_orderkey", "date": "o_orderdate"})], [EdgeTable("of", line, "shop/Line", "id", "shop/Order", "l_orderkey")])
     q = '[:find ?k :where [?r :rel/kind "of"] [?r :rel/from ?l] [?r :rel/to ?o] [?l :val/ships-on ?s] [?o :val/date ?d] [(< ?s ?d)] [?o :val/key ?k]]'
@@ -356,9 +365,12 @@ def q20_lens_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lens.refine(store, reg, rich, '[[?n :val/segment "BUILDING"]]').select(key_of(F.col("n")).alias("custkey"))
 
 
-@query("SELECT DISTINCT s_suppkey AS suppkey FROM supplier EXCEPT SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity >= 50")
+MUCH = "l_quantity >= 50 and l_discount >= 0.1 and l_tax >= 0.07"
+
+
+@query(f"SELECT DISTINCT s_suppkey AS suppkey FROM supplier EXCEPT SELECT DISTINCT l_suppkey FROM lineitem WHERE {MUCH}")
 def u2_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_quantity >= 50")
+    line = table(spark, sf_dir, "lineitem").where(MUCH)
     store = from_tables(spark, [NodeTable("shop/Supplier", table(spark, sf_dir, "supplier"), "s_suppkey"), NodeTable("shop/Order", table(spark, sf_dir, "orders"), "o_orderkey")], [EdgeTable("ships-much", line, "shop/Supplier", "l_suppkey", "shop/Order", "l_orderkey")])
     out = Engine(store).q('[:find ?s :where [?s :structure/of "shop/Supplier"] (not-join [?s] [?r :rel/from ?s] [?r :rel/kind "ships-much"])]')
     return out.select(key_of(F.col("s")).alias("suppkey"))
@@ -380,7 +392,7 @@ def o1_ordered_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j9_suffix_correspondence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host names whose segments end another's, by equality with every suffix."""
     hosts = table(spark, sf_dir, "pages").where("url is not null").select(F.regexp_extract("url", r"^[a-z]+://([^/:]+)", 1).alias("host")).distinct()
-    hosts = hosts.withColumn("id", F.xxhash64("host").bitwiseAND(SPAN - 1))
+    hosts = numbered(hosts, [F.col("host")], "id")
     store = from_tables(spark, [NodeTable("web/Host", hosts, "id", "host")], [])
     return Engine(store).q("[:find ?a ?b :where [?x :entity/name ?a] [?y :entity/name ?b] [(module-corresponds? ?a ?b)]]").toDF("short", "long")
 
@@ -392,9 +404,162 @@ def t3_value_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("partkey"), dialect.valid("[:int {:min 5 :max 40}]", size).alias("sized"), dialect.valid('[:re "^Brand#[1-3][0-9]$"]', F.col("p_brand")).alias("branded"))
 
 
+# the store
+
+@query("SELECT r_name AS name, 1::BIGINT AS n FROM region")
+def s8_insert_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph put into itself stays as it is."""
+    store = graph(spark, sf_dir)
+    both = store.insert(store)
+    return both.nodes.where("tag = 'shop/Region'").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def region_facts(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    """Facts of the five regions, each told twice, and two values of one attribute."""
+    out = []
+    for r in table(spark, sf_dir, "region").collect():  # five rows
+        e = r["r_regionkey"]
+        out += [(e, "structure/of", "Region"), (e, "entity/name", r["r_name"]), (e, "val/size", e), (e, "val/size", e * 10), (e, "val/size", e)]
+    return out * 2
+
+
+@query("SELECT r_name AS name, r_regionkey::BIGINT AS size FROM region UNION SELECT r_name, r_regionkey * 10 FROM region")
+def s11_datoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts are a set by entity, attribute and value."""
+    store = GraphStore.from_datoms(spark, region_facts(spark, sf_dir))
+    return Engine(store).q("[:find ?n ?s :where [?x :entity/name ?n] [?x :val/size ?s]]").toDF("name", "size")
+
+
+@query("SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT 'NOWHERE', 'ASIA'")
+def s14_maps_s16_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph from node and relation maps, and more of them folded onto it: known ids keep their entity."""
+    regions, nations = table(spark, sf_dir, "region").collect(), table(spark, sf_dir, "nation").collect()
+    link = lambda a, b: {"id": f"{a}|in|{b}", "from": a, "kind": "in", "to": b}
+    store = GraphStore.from_maps(spark, [{"id": f"r{r['r_regionkey']}", "tag": "Region", "name": r["r_name"]} for r in regions], [])
+    nodes = [{"id": f"n{n['n_nationkey']}", "tag": "Nation", "name": n["n_name"]} for n in nations] + [{"id": "r2", "tag": "Region"}, {"id": "x", "tag": "Nation", "name": "NOWHERE"}]
+    store = store.fold(nodes, [*(link(f"n{n['n_nationkey']}", f"r{n['n_regionkey']}") for n in nations), link("x", "r2")])
+    return Engine(store).q("[:find ?a ?b :where [?r :rel/kind \"in\"] [?r :rel/from ?x] [?r :rel/to ?y] [?x :entity/name ?a] [?y :entity/name ?b]]").toDF("nation", "region")
+
+
+@query("SELECT DISTINCT a.c_custkey AS src, b.c_custkey AS dst FROM orders JOIN customer a ON o_custkey = a.c_custkey JOIN customer b ON o_orderkey = b.c_custkey WHERE a.c_custkey <> b.c_custkey")
+def s19_resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usages by id between operations that are known; others, repeats and calls of oneself go."""
+    ops = table(spark, sf_dir, "customer")
+    store = from_tables(spark, [NodeTable(OPERATION, ops, "c_custkey", "c_name")], [])
+    usages = table(spark, sf_dir, "orders").select(F.concat_ws("/", F.lit(OPERATION), "o_custkey").alias("caller"), F.concat_ws("/", F.lit(OPERATION), "o_orderkey").alias("callee"))
+    found = store.add_relations("calls", resolve_calls(store, usages)).edges
+    return found.select(key_of(F.col("src")).alias("src"), key_of(F.col("dst")).alias("dst"))
+
+
+@query("SELECT 'lookup' AS what, 3::BIGINT AS v UNION ALL SELECT 'unknown', NULL UNION ALL SELECT 'attributes', 5 UNION ALL SELECT 'largest', max(o_orderkey) FROM orders")
+def s25_entity_s26_lookup_s27_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point lookups: a node by its name, all that is known of it, and the largest id of the nodes."""
+    store = graph(spark, sf_dir)
+    at = store.lookup("entity/name", "NATION_3")
+    rows = [("lookup", at % SPAN), ("unknown", store.lookup("entity/name", "NATION_X")), ("attributes", len(store.entity(at))), ("largest", GraphStore(spark, store.nodes, store.edges.limit(0)).max_eid() % SPAN)]
+    return spark.createDataFrame(rows, "what string, v long")
+
+
+# queries
+
+datalog("p6_blanks", "[:find ?k :where [_ :rel/kind ?k]]", ["kind"], "SELECT unnest(['in-region', 'in-nation', 'placed-by', 'contains', 'ships']) AS kind")
+datalog(
+    "p7_literals",
+    '[:find ?k :where [?o :val/status "F"] [?o :val/priority "1-URGENT"] [?o :val/key ?k] [?p :val/size 7]]',
+    ["orderkey"],
+    "SELECT o_orderkey AS orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'",
+)
+datalog(
+    "j1_three_ways",
+    "[:find ?r ?s :where (in-region ?n ?x) [?x :entity/name ?r] (in-nation ?s1 ?n) (Supplier ?s1) [?s1 :val/key ?s] [?s1 :val/balance ?b] [(< ?b 0.0)]]",
+    ["region", "suppkey"],
+    "SELECT DISTINCT r_name AS region, s_suppkey AS suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal < 0",
+)
+
+
+@query("SELECT n_name AS nation, w.v AS weight FROM nation JOIN (VALUES (0, 'a'), (3, 'b'), (3, 'c')) w(k, v) ON n_regionkey = w.k")
+def s6_constant_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    eng = Engine(graph(spark, sf_dir), registry().rules()).constant("weight", [(SPAN * 0 + 0, "a"), (3, "b"), (3, "c")], "region long, weight string")
+    return eng.q("[:find ?n ?w :where (in-region ?x ?r) [?x :entity/name ?n] (weight ?r ?w)]").toDF("nation", "weight")
+
+
+@query("SELECT c_custkey AS custkey, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < (SELECT avg(c_acctbal) FROM customer) / 100")
+def x1_predicate_x2_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate and a generating relation of one's own."""
+    predicates.register("hundredth?", predicates.Predicate(lambda x, y: x < y / 100))
+    register_relation("average-balance", lambda store: store.attr("balance", "double", frozenset({"shop/Customer"})).agg(F.avg("v")))
+    return Engine(graph(spark, sf_dir), registry().rules()).q("[:find ?k ?n :where (average-balance ?a) (Customer ?c) [?c :val/balance ?b] [(hundredth? ?b ?a)] [?c :val/key ?k] (in-nation ?c ?x) [?x :entity/name ?n]]").toDF("custkey", "nation")
+
+
+@query("SELECT o_orderkey AS orderkey, r_name AS region FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 400000")
+def r5_recursion_over_coproduct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From orders to regions along relations of three kinds, by a rule over their union."""
+    reg = registry().add(Structure("shop/up", coproduct=("placed-by", "in-nation", "in-region")))
+    big = "[[(above ?a ?b) (up ?a ?b)] [(above ?a ?b) (up ?a ?m) (above ?m ?b)]]"
+    q = "[:find ?k ?n :in $ % :where (above ?o ?x) (Region ?x) [?x :entity/name ?n] (Order ?o) [?o :val/total ?t] [(> ?t 400000.0)] [?o :val/key ?k]]"
+    return Engine(graph(spark, sf_dir), reg.rules()).q(q, big).toDF("orderkey", "region")
+
+
+@query("SELECT doc_id, coalesce(l.toxic, -1)::BIGINT AS toxic FROM documents LEFT JOIN labels l USING (doc_id)")
+def j13_optional_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id").distinct(), table(spark, sf_dir, "labels")
+    store = from_tables(spark, [NodeTable("text/Document", docs.join(labels, "doc_id", "left"), "doc_id", values={"toxic": "toxic"})], [])
+    eng = Engine(store)
+    return eng.optional(eng.q('[:find ?d :where [?d :structure/of "text/Document"]]'), "d", "val/toxic", -1, "toxic").select(key_of(F.col("d")).alias("doc_id"), "toxic")
+
+
+@query("SELECT DISTINCT n_name AS name FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 9990 UNION SELECT r_name FROM region")
+def u4_union_of_foci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, reg = graph(spark, sf_dir), registry()
+    foci = [lens.focus(store, reg, c) for c in ("[(Region ?n)]", "[(in-nation ?c ?n) (Rich ?c) [?c :val/balance ?b] [(> ?b 9990.0)]]")]
+    return lens.union(*foci).join(store.nodes.select(F.col("eid").alias("n"), "name"), "n").select("name")
+
+
+@query("SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) AS structures, (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem)) + (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem)) AS relations")
+def a9_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probes.totals(graph(spark, sf_dir))
+
+
+def gappy() -> Registry:
+    """Structures whose laws the store of the next query breaks, each in its own way."""
+    return Registry().add(
+        Structure("shop/Customer", (Slot("segment", ":string"), Slot("balance", "[:double {:min 0}]", "optional")), (has_any("a customer has a nation or a friend", "in-nation", "knows"),)),
+        Structure("shop/Nation", (), (at_most_one("a nation has one customer at most", "in-nation"), matched_by("a nation has a rich customer", "rich-in"))),
+        Structure("shop/Order", (Slot("placed-by", "shop/Customer"), Slot("urgent", ":boolean", "optional")), (target("customers who order build", "placed-by", {"segment": "BUILDING"}),)),
+    )
+
+
+@query("""SELECT * FROM (SELECT 'Customer.segment requires exactly one (found none)' AS law, count(*) AS n FROM customer WHERE c_custkey % 10 <> 0 AND c_mktsegment = 'FURNITURE'
+ UNION ALL SELECT 'Customer.balance value must satisfy [:double {:min 0}]', count(*) FROM customer WHERE c_custkey % 10 <> 0 AND c_acctbal < 0
+ UNION ALL SELECT 'a customer has a nation or a friend', count(*) FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 7 <> 0
+ UNION ALL SELECT 'a nation has one customer at most', count(*) FROM (SELECT c_nationkey FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1 HAVING count(*) > 1)
+ UNION ALL SELECT 'a nation has a rich customer', count(*) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 AND c_custkey % 10 <> 0)
+ UNION ALL SELECT 'Order.placed-by target must be a Customer', count(*) FROM orders WHERE o_custkey % 10 = 0
+ UNION ALL SELECT 'Order.placed-by requires exactly one (found none)', count(*) FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 10 <> 0
+ UNION ALL SELECT 'Order.placed-by requires exactly one (found several)', count(*) FROM orders WHERE o_orderpriority = '1-URGENT' AND (o_orderstatus <> 'P' OR o_custkey % 10 = 0)
+ UNION ALL SELECT 'customers who order build', count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE (o_orderstatus <> 'P' OR o_custkey % 10 = 0) AND NOT (c_custkey % 10 <> 0 AND c_mktsegment = 'BUILDING')) WHERE n > 0""")
+def d_laws_on_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kinds of laws on a graph with gaps: nodes that relations miss, values left out, relations doubled or lacking."""
+    customer, orders, nation = (table(spark, sf_dir, n) for n in ("customer", "orders", "nation"))
+    kept = customer.where("c_custkey % 10 != 0").withColumn("segment", F.expr("nullif(c_mktsegment, 'FURNITURE')"))
+    placed = orders.where("o_orderstatus != 'P' or o_custkey % 10 = 0").withColumn("i", F.lit(0))
+    twice = placed.where("o_orderpriority = '1-URGENT'").withColumn("i", F.lit(1))
+    store = from_tables(
+        spark,
+        [NodeTable("shop/Customer", kept, "c_custkey", values={"segment": "segment", "balance": "c_acctbal"}), NodeTable("shop/Nation", nation, "n_nationkey"), NodeTable("shop/Order", orders, "o_orderkey")],
+        [
+            EdgeTable("in-nation", customer.where("c_custkey % 3 = 0"), "shop/Customer", "c_custkey", "shop/Nation", "c_nationkey"),
+            EdgeTable("knows", customer.where("c_custkey % 7 = 0").withColumn("f", F.lit(1)), "shop/Customer", "c_custkey", "shop/Customer", "f"),
+            EdgeTable("rich-in", kept.where("c_acctbal > 9000"), "shop/Customer", "c_custkey", "shop/Nation", "c_nationkey"),
+            EdgeTable("placed-by", placed.unionByName(placed).unionByName(twice), "shop/Order", "o_orderkey", "shop/Customer", "o_custkey", order="i"),
+        ],
+    )
+    return check(store, gappy(), strict=True).groupBy("law").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | code_catalog.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | code_catalog.oracle_sql()

@@ -8,7 +8,9 @@ like. Entity ids are longs throughout.
 from __future__ import annotations
 
 import datetime
+import itertools
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -40,6 +42,18 @@ def union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+Tags = frozenset[str] | None
+
+
+@dataclass(frozen=True)
+class Row:
+    """frame: one row a node, with eid and the node's columns, a column for each attribute (values: attribute -> column, type), and the target of each relation that is a foreign key (links: kind -> column)."""
+
+    frame: DataFrame
+    values: dict[str, tuple[str, str]]
+    links: dict[str, str]
+
+
 class GraphStore:
     def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, attrs: dict[str, DataFrame] | None = None, attr_types: dict[str, str] | None = None):
         """attrs: a frame (e, a, v) for each type. attr_types: the type of each attribute, where it is known without a look at the data."""
@@ -57,12 +71,45 @@ class GraphStore:
                     self._types.setdefault(r["a"], set()).add(t)
         return self._types
 
-    def attr(self, name: str, kind: str) -> DataFrame:
+    def attr(self, name: str, kind: str, tags: Tags = None) -> DataFrame:
+        """(e, v): the values of an attribute in one type. tags: the entities asked for have one of these, so others may be left out."""
         df = self.attrs[kind]
         if df is None:
             return self.spark.createDataFrame([], f"e long, v {TYPES[kind]}")
         return df.where(F.col("a") == name).select("e", "v")
 
+    def nodes_of(self, tags: Tags = None) -> DataFrame:
+        """The nodes; given tags, at least those that have one of them."""
+        return self.nodes
+
+    def edges_of(self, kinds: Tags = None, sources: Tags = None, targets: Tags = None) -> DataFrame:
+        """The relations; given kinds or the tags of their ends, at least those."""
+        return self.edges
+
+    def ends(self, kind: str) -> tuple[Tags, Tags]:
+        """The tags that the ends of a kind of relations can have, where that is known."""
+        return None, None
+
+    def holders(self, attribute: str) -> Tags:
+        """The tags of the nodes that can have an attribute, where that is known."""
+        return None
+
+    def row(self, tag: str) -> Row | None:
+        """All that one row holds of a node, where the nodes of a tag are rows of a table."""
+        return None
+
+    def values(self, tag: str, attributes: list[str]) -> DataFrame:
+        """(eid, an array by attribute and type): the nodes of a tag with all values of some attributes, one row a node, columns named attribute/type."""
+        found = None
+        for kind, df in self.attrs.items():
+            own = [a for a in attributes if kind in self.attr_types.get(a, ())]
+            if df is None or not own:
+                continue
+            wide = df.where(F.col("a").isin(own)).groupBy(F.col("e").alias("eid")).agg(*[F.collect_list(F.when(F.col("a") == a, F.col("v"))).alias(f"{a}/{kind}") for a in own])
+            found = wide if found is None else found.join(wide, "eid", "full")
+        own = self.nodes_of(frozenset({tag})).where(F.col("tag") == tag).select("eid").distinct()
+        return own if found is None else own.join(found, "eid", "left")
+
     # building
 
     @classmethod
@@ -99,20 +146,32 @@ class GraphStore:
 
     @classmethod
     def from_datoms(cls, spark: SparkSession, datoms: Iterable[tuple[int, str, Any]]) -> GraphStore:
-        """From facts (entity, attribute, value); a fact repeated is one fact."""
-        facts: dict[int, dict[str, Any]] = {}
+        """From facts (entity, attribute, value), which are unique by all three: an attribute may have several values.
+
+        A node or relation with several values of one of its own columns has a row for
+        each combination of them.
+        """
+        facts: dict[int, dict[str, list[Any]]] = {}
         for e, a, v in datoms:
-            facts.setdefault(e, {})[a] = v
-        nodes = [(e, f.get("entity/id"), f.get("structure/of"), f.get("entity/name"), f.get("entity/doc")) for e, f in facts.items() if not any(k.startswith("rel/") for k in f)]
-        rels = [(e, f.get("rel/id"), f.get("rel/from"), f.get("rel/kind"), f.get("rel/to"), f.get("rel/label"), f.get("rel/order"), f.get("rel/payload")) for e, f in facts.items() if any(k.startswith("rel/") for k in f)]
+            held = facts.setdefault(e, {}).setdefault(a, [])
+            if not any(type(x) is type(v) and x == v for x in held):
+                held.append(v)
+        rows = lambda e, f, names: [(e, *x) for x in itertools.product(*(f.get(a, [None]) for a in names))]
+        node_attrs, edge_attrs = ("entity/id", "structure/of", "entity/name", "entity/doc"), ("rel/id", "rel/from", "rel/kind", "rel/to", "rel/label", "rel/order", "rel/payload")
+        nodes, rels = [], []
         values: dict[str, list] = {}
         types: dict[str, set[str]] = {}
         for e, f in facts.items():
-            for a, v in f.items():
-                if a.startswith("val/") and v is not None:
-                    t = classify(v)
-                    values.setdefault(t, []).append((e, a[4:], v if t != "string" or isinstance(v, str) else str(v)))
-                    types.setdefault(a[4:], set()).add(t)
+            if any(k.startswith("rel/") for k in f):
+                rels += rows(e, f, edge_attrs)
+            else:
+                nodes += rows(e, f, node_attrs)
+            for a, vs in f.items():
+                for v in vs if a.startswith("val/") else ():
+                    if v is not None:
+                        t = classify(v)
+                        values.setdefault(t, []).append((e, a[4:], v if t != "string" or isinstance(v, str) else str(v)))
+                        types.setdefault(a[4:], set()).add(t)
         attrs = {t: spark.createDataFrame(v, f"e long, a string, v {TYPES[t]}") for t, v in values.items()}
         out = cls(spark, spark.createDataFrame(nodes, NODES), spark.createDataFrame(rels, EDGES), attrs, {})
         out._types = types

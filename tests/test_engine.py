@@ -1,6 +1,7 @@
 """Fixtures for the query language, laws, recursion, identity and readings: each law with a firing, a silent and an empty case."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphlaw import terms as T
 from graphlaw import vocab as V
@@ -196,7 +197,7 @@ def test_fold_and_calls(spark):
 # dialect
 
 def test_dialect_round_trip():
-    for text in (":int", "[:int {:min 1, :max 5}]", '[:enum "a" :b]', "[:vector :int]", "[:tuple :int :string]", "[:or :int :nil]", "[:map [:a :int] [:b {:optional true} :string]]", "[:map-of :string :int]", '[:re "^x"]', "[:=> [:cat :int Thing] :nil]", "Thing"):
+    for text in (":int", "[:int {:min 1, :max 5}]", '[:enum "a" :b]', "[:vector :int]", "[:tuple :int :string]", "[:or :int :nil]", "[:map [:a :int] [:b {:optional true} :string]]", "[:map-of :string :int]", '[:string {:re "^x"}]', "[:=> [:cat :int Thing] :nil]", "Thing"):
         assert dialect.form_text(dialect.render(dialect.parse(text))) == text
     assert dialect.matches("[:map [:a :int] [:b {:optional true} :string]]", {"a": 1}) and not dialect.matches("[:vector :int]", ["x"])
     assert dialect.matches("[:int {:min 1}]", 1) and not dialect.matches(":int", True)
@@ -297,11 +298,121 @@ def test_architecture_laws(spark, reg):
 
 
 def test_latent_boundaries(spark):
-    calls = spark.createDataFrame([(50, 1), (50, 2), (51, 1), (60, 3), (60, 4), (70, 10), (70, 11), (80, 20)], "src long, dst long")
-    members = [(1, "HOST"), (2, "HOST"), (3, "HOST"), (4, "HOST"), (50, "CX"), (51, "CX"), (60, "CY"), (10, "COH"), (11, "COH"), (70, "CX"), (20, "LONE"), (80, "CX")]
-    got = readings.latent_boundaries(calls, spark.createDataFrame(members, "op long, module string")).collect()
-    assert [(r.module, r.ops, r.clientele) for r in got] == [("HOST", [1, 2], ["CX"]), ("HOST", [3, 4], ["CY"])]
-    assert readings.latent_boundaries(calls.limit(0), spark.createDataFrame(members, "op long, module string")).collect() == []
+    """Of five operations of a store, readers use two or three, one links the groups of writers, one is used alone; a queue is used as a whole."""
+    members = {"store": [1, 2, 3, 4, 5, 6], "queue": [7, 8], "web": [20, 21], "report": [30], "load": [40, 41], "admin": [50]}
+    calls = [(20, 1), (21, 2), (30, 2), (30, 3), (40, 4), (41, 5), (50, 6), (20, 7), (20, 8), (1, 4)]
+    rows_ = [(op, m) for m, ops in members.items() for op in ops]
+    who = spark.createDataFrame(rows_, "op long, module string")
+    got = readings.latent_boundaries(spark.createDataFrame(calls, "src long, dst long"), who).collect()
+    assert [(r.module, r.ops, r.clientele) for r in got] == [("store", [1, 2, 3], ["report", "web"]), ("store", [4, 5], ["load"])]
+    assert readings.latent_boundaries(spark.createDataFrame(calls[:0], "src long, dst long"), who).collect() == []
+
+
+def test_relations_are_counted_once(spark):
+    """A relation that a table holds twice is one; two to the same target are two."""
+    from graphlaw.sources.tables import EdgeTable, NodeTable, from_tables
+
+    reg = make(Structure("x/T"), Structure("x/S", (Slot("r", "x/T"),)))
+    ends = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    edges = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 2, 0), (2, 2, 1), (3, 1, 0)], "a long, b long, i int").repartition(4)
+    store = from_tables(spark, [NodeTable("x/S", ends, "k"), NodeTable("x/T", ends, "k")], [EdgeTable("r", edges, "x/S", "a", "x/T", "b", order="i")])
+    got = [(r.law, r.offenders) for r in check(store, reg, strict=True).collect()]
+    assert got == [("S.r requires exactly one (found several)", ["2"])]
+    assert rows(probes.totals(store)) == [(6, 4)] and rows(probes.patterns(store)) == [("x/S", "r", "x/T", 4)]
+    bad = from_tables(spark, [NodeTable("x/S", spark.createDataFrame([(-1,)], "k long"), "k")], [])
+    with pytest.raises(Exception, match="key out of range"):
+        bad.nodes.collect()
+
+
+def test_facts_are_unique_by_the_whole_triple(spark):
+    store = GraphStore.from_datoms(spark, [(1, "structure/of", "A"), (1, "val/n", 1), (1, "val/n", 2), (1, "val/n", True), (1, "val/n", 1)])
+    assert store.attrs["long"].count() == 2 and store.attrs["boolean"].count() == 1
+    assert rows(Engine(store).q("[:find ?v :where [?x :val/n ?v] [(> ?v 1)]]")) == [(2,)]
+
+
+def test_plans_read_only_what_is_asked(spark, tmp_path):
+    """A kind leaves other tables out, values and foreign keys come with the row, filters stand below the join that multiplies."""
+    import re
+
+    from graphlaw.plans import catalog
+    from tests.conftest import DATA
+
+    eng = Engine(catalog.graph(spark, str(DATA / "sf0.001")), catalog.registry().rules())
+    q = "[:find ?a ?b :where (Customer ?c) (Supplier ?s) (in-nation ?c ?n) (in-nation ?s ?n) [?c :val/balance ?x] [(> ?x 9000.0)] [?s :val/balance ?y] [(> ?y 5000.0)] [?c :val/key ?a] [?s :val/key ?b]]"
+    plan = eng.q(q)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and len(re.findall(r"Join ", plan)) == 1
+    assert plan.index("Join ") < plan.index("9000.0") and plan.index("Join ") < plan.index("5000.0")
+
+
+def test_relations_of_ones_own(tiny):
+    from graphlaw.plans.compiler import register_relation
+
+    register_relation("doubled", lambda store: store.attr("n", "long").selectExpr("e", "v * 2"))
+    e = Engine(tiny).constant("wanted", [(14,)], "v long")
+    assert rows(e.q("[:find ?x :where (doubled ?x ?v) (wanted ?v)]")) == [(3,)]
+    bad = Engine(tiny, T.rules("[[(odd ?x) (nowhere ?x)] [(fine ?x) [?x :val/n 5]]]"))
+    with pytest.warns(UserWarning, match="odd is left out"):
+        assert list(bad.unplannable()) == ["odd"]
+    assert rows(bad.q("[:find ?x :where (fine ?x)]")) == [(1,), (2,)]
+    assert rows(e.optional(e.q("[:find ?x :where [?x :structure/of _]]"), "x", "val/on", False, "on")) == [(1, False), (2, True), (3, False)]
+
+
+def test_pairs_need_a_small_side(tiny, monkeypatch):
+    from graphlaw.plans import compiler
+
+    e = Engine(tiny)
+    q = '[:find ?c :where [?x :entity/name ?a] [?y :entity/name ?b] [(reader-realizes? ?c ?a ?b)]]'
+    assert len(rows(e.q(q))) == 9
+    monkeypatch.setattr(compiler, "FEW", 1)
+    with pytest.raises(T.QueryError, match="would pair"):
+        Engine(tiny).q(q)
+
+
+def test_instruments_and_findings(spark, reg):
+    from graphlaw import instruments
+    from graphlaw.operators import projection
+
+    code = [module("c", "c/f", "c/g"), module("z.c", "z/f", extracted=True), op("f", "c"), op("g", "c"), op("f", "z", extracted=True, performs=["io"], sig="[:=> [:cat] :int]")]
+    gate = Instance(V.CHECK, {"gates": Ref("instruments/drift"), "verdict": "realize it"}, "gate")
+    store = store_of(spark, reg, *instruments.instances(), *code, gate)
+    assert laws(store, reg, ["lens/Lens", "lens/Projection", "lens/Mapping", "lens/Check"]) == []
+    drift = lens.evaluate(store, reg, store.lookup("entity/id", "instruments/drift"))
+    assert names(store, drift) == ["g"]
+    found = lens.run_checks(store, reg).collect()
+    assert [(r.check, r.verdict) for r in found] == [("gate", "realize it")]
+    texts = projection.materialize(store, reg, "DriftClose", drift).collect()
+    assert [r.text for r in texts] == [f"{instruments.CONTEXT}\ng() -> :nil"]
+    finding = probes.finding(store, reg, "drift")
+    assert [tuple(r)[:3] for r in finding.collect()] == [("drift", "gap", "g")] and rows(probes.finding_text(finding)) == [("g",)]
+    assert projection.of_foci(store, "Blueprint", finding).count() == 1
+    other = store.nodes.where("name = 'f'").select(F.col("eid").alias("n"))
+    assert probes.run(store, reg, "drift", other).collect() == [] and probes.run(store, reg, "drift", drift).count() == 1
+    for name in ("survey", "patterns", "consistency", "callers", "integrity", "coverage"):
+        assert probes.finding(store, reg, name).columns == ["lens", "as", "note", "focus"]
+    assert render.show(store, reg, "gate").startswith("(Check gate") and "realize it" in render.show(store, reg, "gate")
+    broken = check(store_of(spark, reg, Instance("lens/Projection", {}, "p")), reg, ["lens/Projection"])
+    assert "(Projection p)" in render.violations_text(store_of(spark, reg, Instance("lens/Projection", {}, "p")), reg, broken)
+
+
+def test_dialect_parts_can_be_replaced(spark, reg):
+    before = dict(dialect.DIALECT)
+    try:
+        ident, nodes, rels = V.reflect_type(reg, "[:vector :int]")
+        assert ident.startswith("=") and len(nodes) == 2 and len(rels) == 1
+        dialect.register(adheres=lambda a, b: True)
+        assert dialect.ask("adheres", None, None) is True
+        with pytest.raises(T.QueryError):
+            dialect.register(colour=1)
+        dialect.clear()
+        assert V.reflect_type(reg, ":int") is None and dialect.ask("render", ":int") is None
+        with pytest.raises(T.QueryError, match="no type dialect"):
+            dialect.value_valid(":int", None)
+    finally:
+        dialect.DIALECT.update(before)
+    df = spark.createDataFrame([([1, 2], {"a": 1}, (1, "x")), ([], {}, (None, None)), (None, None, None)], "v array<long>, m map<string,long>, t struct<a:long,b:string>")
+    of = {f.name: f.dataType for f in df.schema}
+    got = df.select(dialect.valid("[:vector [:int {:min 1}]]", F.col("v"), of["v"]), dialect.valid("[:map-of :string :int]", F.col("m"), of["m"]), dialect.valid("[:map [:a :int] [:b {:optional true} :string]]", F.col("t"), of["t"]), dialect.valid("[:vector :int]", F.lit("x")))
+    assert [tuple(r) for r in got.collect()] == [(True, True, True, False), (True, True, False, False), (False, False, False, False)]
 
 
 def test_lenses_checks_and_coverage(spark, reg):
@@ -320,6 +431,13 @@ def test_lenses_checks_and_coverage(spark, reg):
     assert [(r.check, r.verdict) for r in lens.run_checks(store, reg).collect()] == [("gate", "no readers please")] * 2
 
 
+def test_reflection_holds_slots_and_queries(spark):
+    reg = V.shipped().add(Structure("x/Big", realized_as='[[?e :val/size ?s] [(> ?s 3)]]'), Structure("x/S", (Slot("r", "x/Big", "many"),), (Law("named", ("x",), '[[?x :entity/name "no"]]'),)))
+    store = store_of(spark, reg, *V.reflect(reg))
+    of = lambda a: {r.v for r in store.attr(a, "string").collect()}
+    assert "[[?e :val/size ?s] [(> ?s 3)]]" in of("realizes") and '[[?x :entity/name "no"]]' in of("query") and "x/Big" in of("target")
+
+
 def test_reflection_is_lawful(spark, reg):
     store = store_of(spark, reg, *V.reflect(reg))
     assert laws(store, reg, ["grammar/Law", "grammar/Structure", "grammar/Vocabulary"]) == []
@@ -330,6 +448,9 @@ def test_reflection_is_lawful(spark, reg):
 
 def test_extraction(spark, reg):
     text = 'import os\n"""doc"""\n\ndef alpha():\n    raise ValueError\n\ndef beta():\n    """b"""\n    alpha(); print(1); os.remove("x")\n\ndef _delta():\n    beta()\n\ngamma = 1\n'
+    more = extract.source("m", "class A:\n    def run(self):\n        self.go()\n        def inner(): open('x')\n        inner()\n    def go(self): pass\n\ndef area(x): pass\n\n@area.register\ndef _sq(x): pass\n")
+    assert more.usages == [("m.A.run", "m.A.go"), ("m.A.run", "m.A.run.inner"), ("m.A.run.inner", "open")]
+    assert next(i for i in more.instances if i.id == "m.area").fields["dispatches-to"] == [Ref("m._sq")]
     f = extract.source("pkg.mod", text)
     store = store_of(spark, reg, *f.instances)
     known = {i.id for i in f.instances if i.tag == V.OPERATION}
