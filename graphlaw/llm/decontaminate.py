@@ -57,9 +57,10 @@ def with_seeds(rows: DataFrame, h: str, gap: Column, width: Column | None = None
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", agree: int = AGREE, share: float = SHARE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """Contaminated texts: key (two hashes of the text), items (ids, sorted).
 
-    Equal texts are one row. Null and empty texts are never contaminated; null,
-    empty and very short items (below LEAST_TOKENS tokens) match nothing. Items
-    that equal or share a text are all reported. Either table may be empty.
+    Equal texts are one row, and texts of any length are whole. Null and empty texts
+    are never contaminated; null, empty and very short items (below LEAST_TOKENS
+    tokens) match nothing. Items that equal or share a text are all reported, and
+    rows of one item with different texts all count. Either table may be empty.
     """
     items = benchmark.select(benchmark[item_id].alias("item"), token_hashes(text_of(benchmark, item_text)).alias("t")).where(F.size("t") >= LEAST_TOKENS)
     items = items.select("item", F.xxhash64("t").alias("b"), "t", F.size("t").alias("n")).distinct()
@@ -86,12 +87,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
         rows = with_seeds(once, "h", F.lit(gap), F.lit(width), F.lit(bool(single))).select("k1", "k2", "pos", "seed")
         hits = rows.join(needles.hint("merge"), "seed").select("k1", "k2", "b", diagonal.cast("int").alias("pos"), F.lit(0).alias("item_pos")).distinct()
         hits = hits.join(once.hint("merge"), ["k1", "k2"]).join(texts.select("b", "t", "n", "need"), "b")
-    #: The tokens that the item lies along; only these leave the document.
-    part = F.slice("h", F.greatest(diagonal, F.lit(0)) + 1, F.least("n", F.col("n") + diagonal))
-    lines = hits.select("k1", "k2", "b", diagonal.alias("diagonal"), part.alias("part")).groupBy("k1", "k2", "b", "diagonal").agg(F.first("part").alias("part"))
-    skip = F.greatest(-F.col("diagonal"), F.lit(0))
-    same = F.size(F.filter(F.transform("part", lambda x, j: x == F.get("t", j + skip)), lambda x: x))
-    leaks = lines.join(items.select("item", "b", "t", "need"), "b").where(same >= F.col("need")).select("k1", "k2", "item")
+    # the tokens that the item lies along are compared where the hit is, so only leaks leave the document
+    part = F.slice("h", F.greatest(diagonal, F.lit(0)) + 1, F.least("n", F.col("n") + diagonal, F.size("h") - F.greatest(diagonal, F.lit(0))))
+    skip = F.greatest(-diagonal, F.lit(0))
+    same = F.size(F.filter(F.transform(part, lambda x, j: x == F.get("t", j + skip)), lambda x: x))
+    found = hits.where(same >= F.col("need")).select("k1", "k2", "b").distinct()
+    leaks = found.join(items.select("item", "b"), "b")
     return leaks.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 

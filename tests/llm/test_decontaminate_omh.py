@@ -37,7 +37,7 @@ def brute_leaks(docs, items):
 
 
 def test_op2_equals_brute_force(spark):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if len(r.text) < 4000]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if len(r.text) < 30_000]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     got = {r.doc_id: r.item_ids for r in Q.op2_spaced_seed_decontamination(spark, SF).collect()}
     want = brute_leaks(docs, items)
@@ -92,6 +92,15 @@ def test_op2_finds_every_pattern_of_substitutions(spark, limit):
     assert got == {i: w for i, _, w in docs}
 
 
+@pytest.mark.parametrize("limit", [300_000, 0])
+def test_op2_rows_of_one_item_with_different_texts(spark, limit):
+    texts = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 20), ("b", 9))]
+    docs = spark.createDataFrame([(i, f"x y {t} z") for i, t in enumerate(texts)], "doc_id long, text string")
+    for order in (texts, texts[::-1]):
+        bench = spark.createDataFrame([("one", t) for t in order], "item_id string, text string")
+        assert [r.leaked_items for r in mark_leaks(docs, bench, broadcast_seeds=limit).orderBy("doc_id").collect()] == [["one"], ["one"]]
+
+
 def test_op2_awkward(spark, planted):
     df = frame(spark, extra=True)
     out = decontaminate(df, planted[1])
