@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bits of the key that each round of probes resolves: at most 2**10 counts a splitter reach the driver.
 STEP = 10
-#: Cells whose counts are broadcast at most; a larger table is joined by its key.
-BROADCAST_CELLS = 50_000
+#: Cells that rows are numbered in, about, at most: their counts are broadcast, one row each.
+MOST_CELLS = 100_000
 
 
 def _probe(df: DataFrame, key: str, goals: list[float], slack: float) -> list[tuple[int, int, float, float]]:
@@ -82,27 +82,28 @@ def histogram_sort(df: DataFrame, size: Column, key: list[Column], tie: list[Col
 
     Rows of equal key stay in one shard wherever the splitter can move by at most
     group_tolerance of a shard for it; a larger group is cut between its ties.
-    Rows equal in key and tie (repeated rows) stay together. Nulls are hashed as
-    nulls and are one key. Columns of df named shard or slot are replaced. An
-    empty table gives an empty table.
+    Rows equal in key and tie (repeated rows) stay together, in a shard as in the
+    task that numbers them. Nulls are hashed as nulls and are one key; texts of any
+    length are whole. Columns of df named shard or slot are replaced. An empty table
+    gives an empty table. Each row moves once, whatever their number.
     """
     base = df.drop("shard", "slot").withColumns({"__size": size, "__key": F.xxhash64(*key), "__tie": F.xxhash64(F.lit(7), *tie)})
     probes = base.select("__size", "__key", "__tie")
     splitters = _splitters(probes, n_shards, tolerance, group_tolerance)
     shard = sum((_at_least(s).cast("int") for s in splitters), F.lit(0)).cast("int") if splitters else F.lit(0)
     n = probes.count()
+    rows_per_task = max(rows_per_task, math.ceil(n / MOST_CELLS))
     bits = max(0, math.ceil(math.log2(max(1, n / rows_per_task))))
     bucket = F.shiftright(F.col("__key"), 64 - bits) if bits else F.lit(0).cast("long")
     cell = ["shard", "__bucket"]
     placed = base.withColumns({"shard": shard, "__bucket": bucket})
     # buckets that equal keys overfill are cut by the tie
     cuts = placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / rows_per_task).alias("__cuts"))
-    # one row a cell, so their number is known beforehand
-    small = F.broadcast if n_shards * 2**bits + 2 * n / rows_per_task <= BROADCAST_CELLS else (lambda df: df)
+    # a bucket lies in one shard, but for those with a splitter: at most 2**bits + n_shards rows here, and n / rows_per_task more below
     sub = F.floor((F.shiftright(F.col("__tie"), 40) + (1 << 23)) * F.col("__cuts") / (1 << 24)).cast("long")
-    cut = placed.join(small(cuts), cell).withColumn("__sub", sub).drop("__cuts")
+    cut = placed.join(F.broadcast(cuts), cell).withColumn("__sub", sub).drop("__cuts")
     ahead = Window.partitionBy("shard").orderBy("__bucket", "__sub")
     offsets = cut.groupBy(*cell, "__sub").count().withColumn("__from", F.sum("count").over(ahead) - F.col("count")).drop("count")
     own = Window.partitionBy(*cell, "__sub").orderBy("__key", "__tie")
-    out = cut.withColumn("__nth", F.row_number().over(own)).join(small(offsets), [*cell, "__sub"])
+    out = cut.withColumn("__nth", F.row_number().over(own)).join(F.broadcast(offsets), [*cell, "__sub"])
     return out.withColumn("slot", (F.col("__from") + F.col("__nth") - 1).cast("long")).select(*[c for c in df.columns if c not in ("shard", "slot")], "shard", "slot")
