@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from graphlaw.sources.shared import drop, shared_dir, written
+from graphlaw.sources.shared import drop, numbered, shared_dir, written
 
 __all__ = ["SPACE", "WORD", "drop", "long_keys", "n_words", "named_keys", "numbered", "read", "row_hash", "shared_dir", "text_of", "words_of", "written"]
 
@@ -44,21 +44,6 @@ def row_hash(df: DataFrame, *seed: int) -> Column:
     return F.xxhash64(*map(F.lit, seed), *columns)
 
 
-def numbered(df: DataFrame, order: list[Column], name: str, rows_per_task: int = 500_000) -> DataFrame:
-    """df as a table with a gapless long number from 0 in the given order (no ties).
-
-    Rows are dealt into ranges, numbered there, and moved on by the sizes of the
-    ranges before: one row a range is gathered, no more.
-    """
-    parts = int(max(1, df.count() // rows_per_task))
-    placed = written(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    ahead = F.sum("count").over(Window.orderBy("__range")) - F.col("count")
-    offsets = placed.groupBy("__range").count().select("__range", ahead.alias("__from"))
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    out = placed.withColumn("__nth", own).join(offsets, "__range")
-    return written(out.withColumn(name, (F.col("__from") + F.col("__nth") - 1).cast("long")).select(*df.columns, name), "numbers")
-
-
 def long_keys(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
     """(docs with a long key and text, names): integers stay as they are; keys of other types become their numbers in order, which names (key, d) tells."""
     if isinstance(docs.schema[key].dataType, ST.IntegralType):

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -171,6 +172,50 @@ def test_op6_judge_adds_and_base_stays(spark):
     assert not any(re.search(r"[0-9a-f]{32}|555-", r.t) for r in hidden) and any("<secret>" in r.t for r in hidden)
 
 
+def account(rng):
+    """An account number with right check digits."""
+    body, country = "".join(rng.choices("0123456789", k=18)), "DE"
+    number = int("".join(str(int(c, 36)) for c in body + country + "00"))
+    return f"{country}{98 - number % 97:02}{body}"
+
+
+def test_op6_all_generators_can_add(spark):
+    """Spelled-out addresses and account numbers by their own weak labels, some with wrong check digits; part numbers are left alone."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        good = account(rng)
+        bad = good[:2] + f"{(int(good[2:4]) + 7) % 90:02}" + good[4:]
+        code = f"part no. {'X' * 3}{rng.randrange(10**9):09}Q"
+        rows.append((i, (f"pay to account {good} please", f"{code} is in stock", f"write to j{i} [at] ex{i} [dot] com today", f"account {bad} unknown" if i % 80 == 3 else "nothing here 12")[i % 4], None, None, 0))
+    df = spark.createDataFrame(rows, COLUMNS)
+    judge = pii.fit_judge(df)
+    assert judge is not None
+    kinds = Counter(x.k for r in pii.find_pii(df, judge).collect() for x in r.spans)
+    assert kinds["address"] >= 90 and 80 <= kinds["code"] <= 105, kinds
+
+
+def test_op6_spans_equal_brute_force(spark):
+    """What is added, by loops over all pairs: above its threshold, clear of base spans and of better ones."""
+    rows = pii_corpus() + [(1000, " ".join(f"{i}.{i % 300}.1.2 tel 555-{i:04} key={'ab1' * 8}{i} ({i}) 12/34/{i}" for i in range(300)), "en", "s", 0)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    judge = pii.fit_judge(df)
+    kinds = [*pii.BASE, *pii.MORE]
+    found = df.select("doc_id", *[pii.matches(F.col("text"), k).alias(k) for k in kinds])
+    found = found.select("doc_id", pii.base_spans({k: F.col(k) for k in kinds}).alias("base"), pii.tagged({k: F.col(k) for k in kinds}, list(pii.MORE)).alias("c"))
+    scored = found.select("doc_id", "base", F.transform("c", lambda c: F.struct(judge.score(pii.features(c)).alias("p"), c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"))).alias("c"))
+    want = {}
+    for r in scored.collect():
+        base = [tuple(b) for b in r.base]
+        over = lambda a, b: a[0] < b[1] and b[0] < a[1]
+        good = [(c.p, c.e - c.s, -c.s, kinds.index(c.k), c.s, c.e, c.k) for c in r.c if c.p >= judge.least.get(c.k, 2.0)]
+        good = [c for c in good if not any(over((c[4], c[5]), (b[0], b[2])) for b in base)]
+        kept = [c for c in good if not any(over((c[4], c[5]), (d[4], d[5])) and (d[0], d[1], d[2]) > (c[0], c[1], c[2]) for d in good)]
+        want[r.doc_id] = sorted(base + [(c[4], c[3], c[5], c[6]) for c in kept])
+    got = {r.doc_id: sorted(tuple(x) for x in r.spans) for r in pii.find_pii(df, judge).collect()}
+    assert got == want and sum(len(w) for w in want.values()) > 500
+
+
 def test_op6_on_its_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = Q.op6_pii(spark, SF).collect()
