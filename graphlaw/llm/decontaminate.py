@@ -87,11 +87,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
         rows = with_seeds(once, "h", F.lit(gap), F.lit(width), F.lit(bool(single))).select("k1", "k2", "pos", "seed")
         hits = rows.join(needles.hint("merge"), "seed").select("k1", "k2", "b", diagonal.cast("int").alias("pos"), F.lit(0).alias("item_pos")).distinct()
         hits = hits.join(once.hint("merge"), ["k1", "k2"]).join(texts.select("b", "t", "n", "need"), "b")
-    # the tokens that the item lies along are compared where the hit is, so only leaks leave the document
-    part = F.slice("h", F.greatest(diagonal, F.lit(0)) + 1, F.least("n", F.col("n") + diagonal, F.size("h") - F.greatest(diagonal, F.lit(0))))
-    skip = F.greatest(-diagonal, F.lit(0))
-    same = F.size(F.filter(F.transform(part, lambda x, j: x == F.get("t", j + skip)), lambda x: x))
-    found = hits.where(same >= F.col("need")).select("k1", "k2", "b").distinct()
+    # of each hit only the tokens that the item lies along go on, as a generated row, since a filter would be
+    # moved before a mere projection, to rows that hold the whole document; compared here, only leaks are shuffled
+    skip, ahead = F.greatest(-diagonal, F.lit(0)), F.greatest(diagonal, F.lit(0))
+    size = F.least(F.col("n") - skip, F.size("h") - ahead)
+    beside = F.struct(F.slice("h", ahead + 1, size).alias("h"), F.slice("t", skip + 1, size).alias("t"))
+    lines = hits.select("k1", "k2", "b", "need", F.explode(F.array(beside)).alias("x"))
+    same = F.size(F.filter(F.zip_with("x.h", "x.t", lambda x, y: x == y), lambda x: x))
+    found = lines.where(same >= F.col("need")).select("k1", "k2", "b").distinct()
     leaks = found.join(items.select("item", "b"), "b")
     return leaks.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
