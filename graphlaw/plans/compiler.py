@@ -119,6 +119,17 @@ class Engine:
         self.done[name] = _set(df.toDF(*map(str, range(len(df.columns)))))
         return self
 
+    def create(self, name: str, types: str) -> Engine:
+        """This engine with an empty relation of its own, to put rows into."""
+        return self.constant(name, [], types)
+
+    def put(self, name: str, rows: list[tuple]) -> Engine:
+        """Rows into a relation of this engine; rows that it has stay once."""
+        own = self.done[name]
+        self.memo.clear()
+        self.done[name] = _set(own.unionByName(self.store.spark.createDataFrame(rows, own.schema)))
+        return self
+
     def unplannable(self) -> dict[str, str]:
         """The rules that can't be planned, with the reason, each also warned of; they only matter to queries that apply them."""
         out = {}
@@ -530,6 +541,8 @@ class Engine:
 
     def q(self, query: Any, *inputs: Any) -> DataFrame:
         """The answers of a query, as a set. inputs: values, lookup pairs (attribute, value) or rules, for what :in names after $."""
+        if self.store.closed:
+            raise T.QueryError("the store is closed")
         query = T.query(query)
         to: dict[str, T.Term] = {}
         extra: list[T.Rule] = []

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import itertools
+import json
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -38,6 +39,13 @@ def classify(v: Any) -> str:
     return "string"
 
 
+def as_text(v: Any) -> str:
+    """A value that isn't of a type of its own, as text: lists, maps and the like as JSON."""
+    if isinstance(v, str):
+        return v
+    return json.dumps(sorted(v, key=str) if isinstance(v, set | frozenset) else v, default=str) if isinstance(v, list | tuple | dict | set | frozenset) else str(v)
+
+
 def union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -55,6 +63,8 @@ class Row:
 
 
 class GraphStore:
+    closed = False
+
     def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, attrs: dict[str, DataFrame] | None = None, attr_types: dict[str, str] | None = None):
         """attrs: a frame (e, a, v) for each type. attr_types: the type of each attribute, where it is known without a look at the data."""
         self.spark, self.nodes, self.edges = spark, nodes, edges
@@ -137,13 +147,42 @@ class GraphStore:
             for k, v in n.items():
                 if k.startswith("val/"):
                     t = classify(v)
-                    values.setdefault(t, []).append((ids[i], k[4:], v if t != "string" or isinstance(v, str) else str(v)))
+                    values.setdefault(t, []).append((ids[i], k[4:], v if t != "string" else as_text(v)))
                     types.setdefault(k[4:], set()).add(t)
         attrs = {t: spark.createDataFrame(v, f"e long, a string, v {TYPES[t]}") for t, v in values.items()}
         out = cls(spark, spark.createDataFrame(rows, NODES), spark.createDataFrame(links, EDGES), attrs, {})
         out._types = types
         return out
 
+    @classmethod
+    def from_tx(cls, spark: SparkSession, maps: Iterable[dict]) -> GraphStore:
+        """From transaction maps: attributes with a db/id. Negative ids are names within the transaction; maps of one entity/id (or rel/id) are one entity.
+
+        Ends of relations are such ids, or lookups ("entity/id", id).
+        """
+        maps = list(maps)
+        name = lambda m: m.get("entity/id") or m.get("rel/id") or f"#{m['db/id']}"
+        known = {m["db/id"]: name(m) for m in maps if "db/id" in m}
+        end = lambda x: x[1] if isinstance(x, tuple | list) else known.get(x, f"#{x}")
+        nodes, rels = [], []
+        for m in maps:
+            if "rel/kind" in m:
+                rels.append({"id": name(m), "from": end(m["rel/from"]), "kind": m["rel/kind"], "to": end(m["rel/to"]), "label": m.get("rel/label"), "order": m.get("rel/order"), "payload": m.get("rel/payload")})
+            else:
+                values = {k: v for k, v in m.items() if k.startswith("val/")}
+                nodes.append({"id": name(m), "tag": m.get("structure/of"), "name": m.get("entity/name"), "doc": m.get("entity/doc"), **values})
+        return cls.from_maps(spark, nodes, rels)
+
+    def close(self) -> None:
+        """No query runs on a closed store."""
+        self.closed = True
+
+    def __enter__(self) -> GraphStore:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
+
     @classmethod
     def from_datoms(cls, spark: SparkSession, datoms: Iterable[tuple[int, str, Any]]) -> GraphStore:
         """From facts (entity, attribute, value), which are unique by all three: an attribute may have several values.
@@ -170,7 +209,7 @@ class GraphStore:
                 for v in vs if a.startswith("val/") else ():
                     if v is not None:
                         t = classify(v)
-                        values.setdefault(t, []).append((e, a[4:], v if t != "string" or isinstance(v, str) else str(v)))
+                        values.setdefault(t, []).append((e, a[4:], v if t != "string" else as_text(v)))
                         types.setdefault(a[4:], set()).add(t)
         attrs = {t: spark.createDataFrame(v, f"e long, a string, v {TYPES[t]}") for t, v in values.items()}
         out = cls(spark, spark.createDataFrame(nodes, NODES), spark.createDataFrame(rels, EDGES), attrs, {})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,17 +57,36 @@ class TableStore(GraphStore):
         self.node_tables = {n.tag: n for n in node_tables}
         self.edge_tables = edge_tables
         self.spark = spark
-        attrs: dict[str, list[DataFrame]] = {}
-        types: dict[str, set[str]] = {}
+        self._types: dict[str, set[str]] = {}
         for n in node_tables:
             for a in n.values:
-                types.setdefault(a, set()).add(self._type(n, a))
-                attrs.setdefault(self._type(n, a), []).append(self._values(n, a))
-        empty = GraphStore.empty(spark)
-        nodes = union(map(self._node, node_tables)) if node_tables else empty.nodes
-        edges = union(self._edge(i) for i in range(len(edge_tables))) if edge_tables else empty.edges
-        super().__init__(spark, nodes, edges, {t: union(x) for t, x in attrs.items()}, {})
-        self._types = types
+                self._types.setdefault(a, set()).add(self._type(n, a))
+        self._frames: dict[Any, Any] = {}
+
+    def _once(self, key: Any, make: Callable[[], Any]) -> Any:
+        """What make gives, made once: frames are planned only if something asks for them."""
+        if key not in self._frames:
+            self._frames[key] = make()
+        return self._frames[key]
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._once("nodes", lambda: union(map(self._node, self.node_tables.values())) if self.node_tables else GraphStore.empty(self.spark).nodes)
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._once("edges", lambda: union(map(self._edge, range(len(self.edge_tables)))) if self.edge_tables else GraphStore.empty(self.spark).edges)
+
+    @property
+    def attrs(self) -> dict[str, DataFrame | None]:
+        def all_() -> dict[str, DataFrame | None]:
+            found: dict[str, list[DataFrame]] = {}
+            for n in self.node_tables.values():
+                for a in n.values:
+                    found.setdefault(self._type(n, a), []).append(self._values(n, a))
+            return {t: union(found[t]) if t in found else None for t in TYPES}
+
+        return self._once("attrs", all_)
 
     def _eid(self, tag: str, column: Column) -> Column:
         return in_range(column, self.place[tag] * SPAN)
@@ -80,13 +101,19 @@ class TableStore(GraphStore):
         return [self._eid(n.tag, n.frame[n.key]).alias("eid"), F.concat_ws("/", F.lit(n.tag), n.frame[n.key]).alias("entity_id"), F.lit(n.tag).alias("tag"), text(n.name).alias("name"), text(n.doc).alias("doc")]
 
     def _node(self, n: NodeTable) -> DataFrame:
-        return n.frame.select(*self._named(n))
+        return self._once(("node", n.tag), lambda: n.frame.select(*self._named(n)))
 
     def _values(self, n: NodeTable, attribute: str) -> DataFrame:
+        return self._once(("values", n.tag, attribute), lambda: self._plan_values(n, attribute))
+
+    def _plan_values(self, n: NodeTable, attribute: str) -> DataFrame:
         c, t = n.values[attribute], self._type(n, attribute)
         return n.frame.where(n.frame[c].isNotNull()).select(self._eid(n.tag, n.frame[n.key]).alias("e"), F.lit(attribute).alias("a"), n.frame[c].cast(TYPES[t]).alias("v"))
 
     def _edge(self, i: int) -> DataFrame:
+        return self._once(("edge", i), lambda: self._plan_edge(i))
+
+    def _plan_edge(self, i: int) -> DataFrame:
         e = self.edge_tables[i]
         src, dst = self._eid(e.source, e.frame[e.src]), self._eid(e.target, e.frame[e.dst])
         order: Column = e.frame[e.order].cast("int") if e.order else F.lit(None).cast("int")
@@ -122,9 +149,10 @@ class TableStore(GraphStore):
         return frozenset(n.tag for n in self.node_tables.values() if attribute in n.values)
 
     def row(self, tag: str) -> Row | None:
-        n = self.node_tables.get(tag)
-        if n is None:
-            return None
+        return self._once(("row", tag), lambda: self._plan_row(tag)) if tag in self.node_tables else None
+
+    def _plan_row(self, tag: str) -> Row:
+        n = self.node_tables[tag]
         values = {a: (f"val/{a}", self._type(n, a)) for a in n.values}
         columns = [n.frame[c].cast(TYPES[values[a][1]]).alias(f"val/{a}") for a, c in n.values.items()]
         links = {}

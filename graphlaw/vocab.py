@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from graphlaw import terms as T
 from graphlaw.functions import dialect
 from graphlaw.functions.dialect import Schema, form_text, parse, render
@@ -116,8 +118,27 @@ def shipped() -> Registry:
     return reg
 
 
-def reflect(reg: Registry) -> list[Instance]:
-    """The registry itself as instances: a vocabulary for each namespace, its structures with slots and laws, and what they are realized as."""
+def spaces_from(reg: Registry, seeds: Iterable[str]) -> set[str]:
+    """The namespaces that structures of the seeds refer to, by slots, facets and laws, and so on from there."""
+    space = lambda tag: tag.rsplit("/", 1)[0]
+    seen, todo = set(), list(seeds)
+    while todo:
+        now = todo.pop()
+        if now in seen:
+            continue
+        seen.add(now)
+        for s in reg.structures.values():
+            if space(s.tag) == now:
+                named = [*(x.target for x in s.slots if not x.scalar), *s.includes, *(x.scope for x in s.laws if x.scope and x.scope != "global")]
+                todo += [space(t) for t in named if t in reg.structures]
+    return seen
+
+
+def reflect(reg: Registry, seeds: Iterable[str] | None = None) -> list[Instance]:
+    """The registry itself as instances: a vocabulary for each namespace (of those that the seeds lead to), its structures with slots and laws, and what they are realized as."""
+    if seeds is not None:
+        wanted = spaces_from(reg, seeds)
+        reg = Registry({t: s for t, s in reg.structures.items() if t.rsplit("/", 1)[0] in wanted})
     spaces: dict[str, list[Ref]] = {}
     out = []
     for s in reg.structures.values():

@@ -357,6 +357,29 @@ def test_relations_of_ones_own(tiny):
     assert rows(e.optional(e.q("[:find ?x :where [?x :structure/of _]]"), "x", "val/on", False, "on")) == [(1, False), (2, True), (3, False)]
 
 
+def test_relations_are_created_and_filled(tiny):
+    e = Engine(tiny).create("seen", "x long")
+    assert rows(e.q("[:find ?x :where (seen ?x)]")) == []
+    e.put("seen", [(1,), (3,)]).put("seen", [(3,), (9,)])
+    assert rows(e.q("[:find ?x :where (seen ?x) [?x :structure/of _]]")) == [(1,), (3,)]
+
+
+def test_transactions_and_closing(spark):
+    tx = [{"db/id": -1, "entity/id": "a", "structure/of": "A"}, {"db/id": -2, "structure/of": "B", "val/xs": [1, "z"]}, {"db/id": -3, "entity/id": "a", "entity/name": "n"}, {"db/id": -4, "rel/kind": "r", "rel/from": -1, "rel/to": -2}, {"db/id": -5, "rel/kind": "r", "rel/from": -2, "rel/to": ("entity/id", "a")}]
+    with GraphStore.from_tx(spark, tx) as store:
+        e = Engine(store)
+        assert store.nodes.count() == 2 and rows(e.q('[:find ?n :where [?x :structure/of "A"] [?x :entity/name ?n]]')) == [("n",)]
+        assert len(rows(e.q('[:find ?x ?y :where [?r :rel/from ?x] [?r :rel/kind "r"] [?r :rel/to ?y]]'))) == 2
+        assert rows(e.q("[:find ?v :where [?x :val/xs ?v]]")) == [('[1, "z"]',)]
+    with pytest.raises(T.QueryError, match="closed"):
+        e.q("[:find ?x :where [?x :structure/of _]]")
+
+
+def test_namespaces_follow_from_seeds(reg):
+    assert V.spaces_from(reg, ["lens"]) == {"lens"} and V.spaces_from(reg, ["code"]) == {"code", "type", "group"}
+    assert {i.name for i in V.reflect(reg, ["grammar"]) if i.tag == "grammar/Vocabulary"} == {"grammar"}
+
+
 def test_pairs_need_a_small_side(tiny, monkeypatch):
     from graphlaw.plans import compiler
 
