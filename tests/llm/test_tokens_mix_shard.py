@@ -149,6 +149,24 @@ def test_op9(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_op9_shards_follow_the_order_of_hashes(spark):
+    """Splitters by sorting everything: shards are ranges of the order, each begins where the bytes below are nearest to its share."""
+    rows = [(i, f"text {i % 900} " * (1 + i % 900 % 13), None, None, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, COLUMNS).withColumn("size", F.length("text").cast("long"))
+    out = histogram_sort(df, F.col("size"), [F.col("text")], [F.col("doc_id")], tolerance=0, group_tolerance=1).select("size", "shard", "slot", "text", F.xxhash64("text").alias("k"), F.xxhash64(F.lit(7), "doc_id").alias("t")).collect()
+    out.sort(key=lambda r: (r.k, r.t))
+    assert [(r.shard, r.slot) for r in out] == sorted((r.shard, r.slot) for r in out)
+    ideal, below, cut, edges = sum(r["size"] for r in out) / 8, 0, [], []
+    for a, b in zip([None, *out], [*out, None]):
+        if a is None or b is None or a.k != b.k:
+            edges.append(below)
+        if a is not None and b is not None and a.shard != b.shard:
+            cut.append(below)
+            assert a.k != b.k
+        below += b["size"] if b is not None else 0
+    assert len(cut) == 7 and all(abs(c - ideal * j) == min(abs(e - ideal * j) for e in edges) for j, c in enumerate(cut, 1))
+
+
 def test_op9_hot_group(spark):
     """A group of equal keys with most of all bytes is cut between its ties; small tasks still number gaplessly."""
     rows = [(i, "same text" if i % 3 else f"t{i}", None, None, i) for i in range(3000)]
