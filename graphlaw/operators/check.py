@@ -74,6 +74,19 @@ def _slot_offences(eng: Engine, registry: Registry, s: Structure) -> list[DataFr
                 laws.append((registry.law_name(s, x, "none"), reduce(lambda a, b: a & b, none, F.lit(True))))
         out.append(values.select("eid", one(laws, None)).select("law", F.array(F.col("eid").cast("string")).alias("offenders")))
     linked = [x for x in s.slots if not x.scalar]
+    # a foreign key in the node's own row is there once or not at all
+    row = store.row(s.tag)
+    keyed = [x for x in linked if row is not None and x.rel in row.links]
+    linked = [x for x in linked if x not in keyed]
+    if keyed:
+        of = lambda x: F.col(f"`{row.links[x.rel]}`")
+        laws = [(registry.law_name(s, x, "none"), of(x).isNull()) for x in keyed if x.card in ("one", "some")]
+        if laws:
+            out.append(row.frame.select("eid", one(laws, None)).select("law", F.array(F.col("eid").cast("string")).alias("offenders")))
+        aims = [F.struct(F.lit(registry.law_name(s, x, "target")).alias("law"), F.lit(x.target).alias("is"), of(x).alias("dst")) for x in keyed if x.target != ANY]
+        if aims:
+            ends = row.frame.select("eid", F.explode(F.array(*aims)).alias("x")).select("eid", "x.*").where("dst is not null").join(_good(eng, registry, [x.target for x in keyed if x.target != ANY]), ["dst", "is"], "left_anti")
+            out.append(ends.select("law", F.array(F.col("eid").cast("string"), F.col("dst").cast("string")).alias("offenders")).distinct())
     counted = [x for x in linked if x.card != "many" and x.card != "set"]
     kinds = lambda slots: frozenset(x.rel for x in slots)
     own = store.nodes_of(frozenset({s.tag})).where(F.col("tag") == s.tag).select("eid").distinct()
@@ -91,17 +104,23 @@ def _slot_offences(eng: Engine, registry: Registry, s: Structure) -> list[DataFr
     typed = [x for x in linked if x.target != ANY]
     if typed:
         ends = edges(typed).join(own.toDF("src"), "src", "left_semi").select("src", "kind", "dst").distinct()
-        wanted = frozenset(x.target for x in typed)
-        plain = [t for t in wanted if t in registry.direct()]
-        good = [store.nodes_of(frozenset(plain)).where(F.col("tag").isin(plain)).select(F.col("eid").alias("dst"), F.col("tag").alias("is"))] if plain else []
-        good += [eng.rule(t.rsplit("/", 1)[-1]).toDF("dst").withColumn("is", F.lit(t)) for t in wanted if t not in plain]
         must = F.coalesce(*[F.when(F.col("kind") == x.rel, F.lit(x.target)) for x in typed])
         named = F.coalesce(*[F.when(F.col("kind") == x.rel, F.lit(registry.law_name(s, x, "target"))) for x in typed])
-        ends = ends.withColumn("is", must).join(reduce(lambda a, b: a.unionByName(b), good).distinct(), ["dst", "is"], "left_anti")
+        ends = ends.withColumn("is", must).join(_good(eng, registry, [x.target for x in typed]), ["dst", "is"], "left_anti")
         out.append(ends.select(named.alias("law"), F.array(F.col("src").cast("string"), F.col("dst").cast("string")).alias("offenders")))
     return [reduce(lambda a, b: a.unionByName(b), out)] if out and said else [None]
 
 
+def _good(eng: Engine, registry: Registry, tags: Iterable[str]) -> DataFrame:
+    """(dst, is): the nodes of some structures, with the structure."""
+    plain, derived = [], []
+    for t in dict.fromkeys(tags):
+        (plain if t in registry.direct() else derived).append(t)
+    good = [eng.store.nodes_of(frozenset(plain)).where(F.col("tag").isin(plain)).select(F.col("eid").alias("dst"), F.col("tag").alias("is"))] if plain else []
+    good += [eng.rule(t.rsplit("/", 1)[-1]).toDF("dst").withColumn("is", F.lit(t)) for t in derived]
+    return reduce(lambda a, b: a.unionByName(b), good)
+
+
 def roll_call(store: GraphStore, registry: Registry, only: Iterable[str] | None = None) -> DataFrame:
     """(structure, law, status): every law with "planned", or "unsupported" and why. Laws with plans of their own are not run."""
     eng = engine(store, registry)
