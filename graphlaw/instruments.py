@@ -29,7 +29,7 @@ CONTEXT = "These operations are modelled, and no function realizes them. Impleme
 def instances() -> list[Instance]:
     """The lenses, the reader convention that covers them, and the projections."""
     out = [Instance("lens/ReaderConvention", {"prefix": "probe-"}, "instruments/readers", "readers")]
-    out += [Instance(LENS, {"focus": focus, "select": focus, "query": f"[{query}]"}, f"instruments/{name}", name) for name, (focus, query) in LENSES.items()]
+    out += [Instance(LENS, {"focus": focus, "select": (focus, f"[{query}]")}, f"instruments/{name}", name) for name, (focus, query) in LENSES.items()]
     maps = [Instance("lens/Mapping", {"from": Instance("lens/Notion", {"says": a}), "to": Instance("lens/Notion", {"says": b})}) for a, b in (("a value", "a constant"), ("a record", "a type"), ("a function", "a definition"), ("a law", "a predicate"))]
     out.append(Instance("lens/Projection", {"through": Ref("instruments/survey"), "maps": maps}, "instruments/Blueprint", "Blueprint", "The model as code to be written."))
     out.append(Instance("lens/Projection", {"contextualizes": Ref("instruments/Blueprint"), "through": Ref("instruments/drift"), "context": CONTEXT}, "instruments/DriftClose", "DriftClose", "What is missing in code, as a task."))

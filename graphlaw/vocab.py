@@ -99,7 +99,7 @@ def shipped() -> Registry:
                 law("every authored module is in a subsystem", "mod", C.outside_subsystems),
             ),
         ),
-        Structure(LENS, (Slot("focus", ":string"), Slot("select", ":string", "optional", True), Slot("query", ":string", "optional", True))),
+        Structure(LENS, (Slot("focus", ":string"), Slot("select", ":string", "optional", "query"), Slot("query", ":string", "optional"))),
         Structure("lens/Notion", (Slot("says", ":string"),), value=True),
         Structure("lens/Mapping", (Slot("from", "Any"), Slot("to", "Any")), value=True),
         Structure("lens/Projection", (Slot("through", LENS, "optional"), many("maps", "lens/Mapping"), Slot("contextualizes", "lens/Projection", "optional"), Slot("context", ":string", "optional")), (has_any("a projection maps or contextualizes", "maps", "contextualizes"),)),
@@ -107,7 +107,7 @@ def shipped() -> Registry:
         Structure("lens/ReaderConvention", (Slot("prefix", ":string"),)),
         Structure("lens/Coverage", laws=(law("every reader by convention is covered by its lens", "r", C.without_lens),)),
         Structure("grammar/Slot", (Slot("rel", ":string"), Slot("target", ":string"), Slot("card", ":string"), flag("payload"))),
-        Structure("grammar/Law", (Slot("desc", ":string"), Slot("scope", ":string", "optional"), Slot("query", ":string", "optional", True)), (law("a reflected law is owned by a structure", "x", C.not_held("grammar/Law", "law", "grammar/Structure"), None),)),
+        Structure("grammar/Law", (Slot("desc", ":string"), Slot("scope", ":string", "optional"), Slot("query", ":string", "optional")), (law("a reflected law is owned by a structure", "x", C.not_held("grammar/Law", "law", "grammar/Structure"), None),)),
         Structure(
             "grammar/Structure",
             (Slot("tag", ":string"), flag("value"), many("slot", "grammar/Slot"), many("includes", "grammar/Structure"), many("law", "grammar/Law"), Slot("realizes", ":string", "optional")),
@@ -144,7 +144,7 @@ def reflect(reg: Registry, seeds: Iterable[str] | None = None) -> list[Instance]
     for s in reg.structures.values():
         spaces.setdefault(s.tag.rsplit("/", 1)[0], []).append(Ref(f"grammar:{s.tag}"))
         laws = [Instance("grammar/Law", {"desc": x.desc} | ({"scope": x.scope} if x.scope else {}) | ({"query": query_text(x)} if query_text(x) else {})) for x in reg.laws_of(s)]
-        slots = [Instance("grammar/Slot", {"rel": x.rel, "target": x.target, "card": x.card, "payload": x.payload}) for x in s.slots]
+        slots = [Instance("grammar/Slot", {"rel": x.rel, "target": x.target, "card": x.card, "payload": x.payload is not None}) for x in s.slots]
         fields = {"tag": s.tag, "value": s.value, "slot": slots, "includes": [Ref(f"grammar:{f}") for f in s.includes], "law": laws}
         if s.realized_as is not None:
             fields["realizes"] = s.realized_as if isinstance(s.realized_as, str) else form_text(s.realized_as)

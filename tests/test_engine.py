@@ -375,6 +375,16 @@ def test_transactions_and_closing(spark):
         e.q("[:find ?x :where [?x :structure/of _]]")
 
 
+def test_values_with_forms(reg):
+    nodes, _ = emit(reg, [Instance(V.LENS, {"focus": "f", "select": ["all", T.read_form("[[?n :structure/of _]]")]}, "l")])
+    assert nodes[0]["val/select"] == "all" and nodes[0]["val/query"] == "[[?n :structure/of _]]"
+    for bad in ({"select": ["only one"]}, ):
+        with pytest.raises(T.QueryError):
+            emit(reg, [Instance(V.LENS, bad, "l")])
+    with pytest.raises(T.QueryError, match="takes a list"):
+        emit(reg, [Instance(V.MODULE, {"child": Ref("x")}, "m")])
+
+
 def test_namespaces_follow_from_seeds(reg):
     assert V.spaces_from(reg, ["lens"]) == {"lens"} and V.spaces_from(reg, ["code"]) == {"code", "type", "group"}
     assert {i.name for i in V.reflect(reg, ["grammar"]) if i.tag == "grammar/Vocabulary"} == {"grammar"}
