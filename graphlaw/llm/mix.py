@@ -2,11 +2,11 @@
 
 The words of a source, its documents one after another in the order of a hash,
 are packed into blocks of fixed length. Every source gets as many slots as its
-target fills; each slot draws its output shard, so that the counts of a source in
-the shards are multinomial, given that they add up to the target. Slot t of a
-source takes block perm(t), perm being a keyed pseudorandom permutation of the
-source's block numbers (swap-or-not rounds, which need no table), and the blocks
-are joined by number. The last slot of a source takes as much of its block as
+target fills. How many of them each output shard gets is drawn first: multinomial
+counts, given that they add up to the target. A shard's slots then follow those of
+the shard before; slot t of a source takes block perm(t), perm being a keyed
+pseudorandom permutation of the source's block numbers (swap-or-not rounds, which
+need no table), and the blocks are joined by number. The last slot of a source takes as much of its block as
 the target still lacks, so a source's words are its target, rounded.
 """
 
@@ -94,16 +94,25 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     full = full.select("sid", "blocks", "source_size", F.floor(F.col("goal") / F.col("source_size")).alias("passes"), (F.col("goal") % F.col("source_size")).alias("rest"))
     # the slot of that pass in which the last block, which may be short, stands
     last = permuted(F.col("blocks") - 1, F.col("blocks"), F.lit(seed), F.col("sid"), F.col("passes").cast("int"), back=True)
-    some = F.when(F.col("rest") > 0, F.least("blocks", F.ceil(F.col("rest") / block) + 1)).otherwise(0)
     lacks = F.col("blocks") * block - F.col("source_size")
+    whole = F.ceil(F.col("rest") / block)
+    some = F.when(F.col("rest") == 0, 0).when(last >= whole, whole).otherwise(F.ceil((F.col("rest") + lacks) / block))
     full = full.select("sid", "blocks", "passes", "rest", lacks.alias("lacks"), last.alias("last"), (F.col("passes") * F.col("blocks") + some).alias("slots"))
     own = ["sid", "blocks", "passes", "rest", "lacks", "last"]
-    slots = full.where("slots > 0").select(*own, "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / chunk))).alias("part")).repartition(parts, "sid", "part")
-    slots = slots.select(*own, F.explode(F.sequence(F.col("part") * chunk, F.least(F.col("slots"), (F.col("part") + 1) * chunk) - 1)).alias("slot"))
+
+    def each_slot(sources: DataFrame, columns: list[str]) -> DataFrame:
+        cut = sources.where("slots > 0").select(*columns, "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / chunk))).alias("part")).repartition(parts, "sid", "part")
+        return cut.select(*columns, F.explode(F.sequence(F.col("part") * chunk, F.least(F.col("slots"), (F.col("part") + 1) * chunk) - 1)).alias("slot"))
+
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("sid"), F.col("slot")), F.lit(n_shards)).cast("int")
+    counts = each_slot(full, ["sid"]).groupBy("sid").agg(F.array(*[F.count_if(drawn == j) for j in range(n_shards)]).alias("counts"))
+    # where each shard's slots end
+    ends = F.transform("counts", lambda _, j: F.aggregate(F.slice("counts", F.lit(1), j + 1), F.lit(0).cast("long"), lambda a, x: a + x))
+    slots = each_slot(full.join(counts.select("sid", ends.alias("ends")), "sid"), [*own, "ends"])
     nth = F.col("slot") - F.col("passes") * F.col("blocks")
     left = F.col("rest") - nth * block + F.when(F.col("last") < nth, F.col("lacks")).otherwise(0)
-    slots = slots.withColumn("limit", F.when(nth < 0, block).otherwise(F.least(F.lit(block), left))).where("limit > 0")
-    shard = F.pmod(F.xxhash64(F.lit(seed), F.col("sid"), F.col("slot")), F.lit(n_shards)).cast("int")
+    slots = slots.withColumn("limit", F.when(nth < 0, block).otherwise(F.least(F.lit(block), left)))
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("slot")))
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("int")
     at = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), turn)
     slots = slots.select("sid", at.alias("block"), F.struct(shard.alias("shard"), "slot", turn.alias("pass"), "limit").alias("use"))

@@ -103,6 +103,12 @@ def test_op4_blocks_follow_from_the_permutation(spark):
             words[r.source, t["pass"]][t.slot] += t.words
             shards[r.source, t.slot].add(t.shard)
     assert all(len(s) == 1 for s in shards.values())
+    for s in {r.source for r in out}:
+        # a shard's slots are a range, and no shard's count is far from its share
+        own = [next(iter(v)) for (source, _), v in sorted(shards.items(), key=lambda x: x[0][1]) if source == s]
+        assert own == sorted(own)
+        n = Counter(own)
+        assert all(abs(n[j] - len(own) / 8) <= 4.5 * (len(own) * 7 / 64) ** 0.5 for j in range(8))
     for s in {r.source for r in out}:
         size = sum(r["size"] for r in out if r.source == s)
         passes = sorted(p for x, p in words if x == s)
