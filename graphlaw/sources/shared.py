@@ -72,4 +72,6 @@ def numbered(df: DataFrame, order: list[Column], name: str, rows_per_task: int =
     offsets = placed.groupBy("__range").count().select("__range", ahead.alias("__from"))
     own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     out = placed.withColumn("__nth", own).join(offsets, "__range")
-    return written(out.withColumn(name, (F.col("__from") + F.col("__nth") - 1).cast("long")).select(*df.columns, name), "numbers")
+    out = written(out.withColumn(name, (F.col("__from") + F.col("__nth") - 1).cast("long")).select(*df.columns, name), "numbers")
+    drop(placed)
+    return out
