@@ -250,7 +250,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     nodes = written(nodes.withColumn("uid", F.monotonically_increasing_id()), "nodes")
     band = nodes.select("uid", F.explode("bands").alias("key"))
     shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    buckets = written(band.join(shared, "key"), "members")
+    members = buckets = written(band.join(shared, "key"), "members")
     # the pivot of a bucket is the node that meets most others anywhere: of a group of edited copies, the one in their middle
     central = buckets.groupBy("uid").agg(F.sum("c").alias("meets"))
     pivots = buckets.join(central, "uid").groupBy("key").agg(F.max_by("uid", F.struct("meets", "uid")).alias("pivot"))
@@ -265,14 +265,18 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     placed = buckets.where("uid != pivot").select("key", "uid").join(labels, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
     open_ = written(placed.join(split, "key", "left_semi").select("uid").distinct(), "open")
+    used: list[DataFrame] = []
     if not open_.isEmpty():
         fresh = written(_meeting(open_, texts, labels, k, similarity, weighted).join(pairs, ["a", "b"], "left_anti"), "pairs")
         more = written(_alike(fresh, texts, k, similarity, weighted), "links")
+        used += [fresh, more]
         if not more.isEmpty():
+            used.append(labels)
             labels = components(edges.unionByName(more))
     rooted = nodes.join(labels, "uid", "left").withColumn("class", F.coalesce("root", "uid")).select("k1", "k2", "id", "n", "class")
     totals = rooted.groupBy("class").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_rows"), F.count(F.lit(1)).alias("class_texts"))
     classes = written(rooted.select("k1", "k2", "class").join(totals, "class"), "classes")
+    drop(*used, nodes, members, buckets, texts, pairs, edges, labels, open_)
     return classes, keyed.select(F.col("id").alias(key), "k1", "k2")
 
 
@@ -292,6 +296,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id
     t = text_of(docs, text)
     keyed = docs.withColumns({"__h1": F.xxhash64(t), "__h2": F.xxhash64(t, F.lit(1))})
     kept = keyed.join(first, (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")) & docs[key].eqNullSafe(F.col("__i")))
+    drop(classes)
     # rows that repeat key and text: any one of them
     once, again = kept.where("__same = 1"), kept.where("__same > 1").dropDuplicates(["__i", "__k1", "__k2"])
     return once.unionByName(again).select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlaw.llm.arrays import LETTERS, M2, Powers, Texts, U, Words, mixed, slices
-from graphlaw.llm.common import text_of, written
+from graphlaw.llm.common import drop, text_of, written
 
 #: Text worked on at a time, bits of a position there, windows of one text at a time.
 BLOCK, POSITION, CHUNK = 1 << 16, 24, 1 << 22
@@ -202,6 +202,7 @@ def find(docs: DataFrame, units: Units, kernel: Callable[[np.ndarray, np.ndarray
     twice = written(anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "twice")
     # all these tables grow with the corpus, so none is broadcast at any size
     repeated = written(anchors.join(twice.hint("merge"), "a"), "repeated")
+    drop(twice)
     different = repeated.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "place", "frag")).alias("first"))
     different = written(different.select("a", "s", "c", "first.d", "first.frag", "first.place"), "different")
     crowded = written(different.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHARD_SEGMENTS).select("a"), "crowded")

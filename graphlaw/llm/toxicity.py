@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlaw.llm.common import text_of, written
+from graphlaw.llm.common import drop, text_of, written
 
 #: Bounds of the fit: rows of either label and without one, features, lexicon voters learned on a half.
 ROWS_A_CLASS, MAX_FEATURES, MAX_VOTERS = 3000, 3000, 160
@@ -251,6 +251,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     kept = list(dict.fromkeys([*kept, *(f for f in built_in if f in known)]))
     names = list(dict.fromkeys([*kept, *lexicons[0], *lexicons[1], *clean[0], *clean[1]]))
     rows = incidence(sample, names)
+    drop(sample, counts)
 
     index = {n: i for i, n in enumerate(names)}
     y, half = (np.array([r[c] for r in rows]) for c in ("y", "half"))
