@@ -31,7 +31,7 @@ from graphlaw.llm.common import drop, text_of, written
 #: 0.8 misses all bands in less than one of ten thousand cases, one of 0.3 meets in one of a hundred.
 WORDS, SIMILARITY, COORDINATES, ROWS, DEALS = 5, 0.8, 140, 7, 3
 #: Bytes of text that are worked on at a time; elements that count as common at most.
-BLOCK, COMMON = 2 << 20, 10_000
+BLOCK, COMMON = 1 << 20, 10_000
 
 
 def dart_signatures(element: np.ndarray, weight: np.ndarray | None, owner: np.ndarray, n: int, coordinates: int, seed: int = 1) -> np.ndarray:
