@@ -18,6 +18,7 @@ from graphlaw import vocab as V
 from graphlaw.operators import lens, probes, projection, readings, render
 from graphlaw.operators.check import law_offenders, roll_call
 from graphlaw.plans.compiler import Engine
+from graphlaw.plans.registry import Instance, Ref, emit
 from graphlaw.sources.store import GraphStore
 from graphlaw.sources.tables import EdgeTable, NodeTable, from_tables, key_of
 
@@ -314,6 +315,33 @@ def j15_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(code_graph(spark, sf_dir), V.shipped().rules()).q("[:find ?a ?b :where (op-twin ?a ?b)]").select(key_of(F.col("a")).alias("k"), key_of(F.col("b")).alias("b"))
 
 
+@query("SELECT name, lower(n_name) AS place FROM ops JOIN nation ON n_nationkey = m WHERE NOT ex UNION SELECT name, 'src.' || lower(n_name) FROM ops JOIN nation ON n_nationkey = m WHERE ex")
+def s4_in_module_v7_substrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that no slot gives: where an operation lies, and its name."""
+    return Engine(code_graph(spark, sf_dir), V.shipped().rules()).q("[:find ?n ?m :where (Operation ?x) (in-module ?x ?m) (named ?x ?n)]").toDF("name", "place")
+
+
+def with_instruments(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The code graph with the shipped lenses and projections, and a check of the drift lens, folded onto it."""
+    gate = Instance(V.CHECK, {"gates": Ref("instruments/drift"), "verdict": "realize it"}, "gate")
+    return code_graph(spark, sf_dir).fold(*emit(V.shipped(), [*instruments.instances(), gate])).stored()
+
+
+@query(f"SELECT 'gate' AS \"check\", 'realize it' AS verdict, count(*) AS n FROM ({UNTWINNED})")
+def q21_run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks whose lenses find anything, with how much."""
+    found = lens.run_checks(with_instruments(spark, sf_dir), V.shipped())
+    return found.groupBy("check", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT k, '{instruments.CONTEXT}' || chr(10) || name || '(' || CASE WHEN i IS NULL THEN '' ELSE '_ ' || i END || ') -> ' || coalesce(o, ':nil') || CASE WHEN e IS NULL THEN '' ELSE ' performs ' || e END AS text FROM (SELECT u.k, u.name, max(CASE WHEN t.kind = 'in' THEN CASE WHEN t.k % 10 = 0 THEN '?' ELSE s_name END END) AS i, max(CASE WHEN t.kind = 'out' THEN CASE WHEN t.k % 10 = 0 THEN '?' ELSE s_name END END) AS o, max(eff) AS e FROM ({UNTWINNED}) u LEFT JOIN takes t ON t.x = u.k LEFT JOIN supplier ON s_suppkey = t.k LEFT JOIN perf ON op = u.k GROUP BY u.k, u.name)")
+def m2_contextualized_m3_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the drift lens finds, in a projection that lays its context over another."""
+    store, reg = with_instruments(spark, sf_dir), V.shipped()
+    found = lens.evaluate(store, reg, store.lookup("entity/id", "instruments/drift"))
+    return projection.materialize(store, reg, "DriftClose", found).select(key_of(F.col("n")).alias("k"), "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -18,6 +18,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphlaw.sources.shared import written
+
 NODES = "eid long, entity_id string, tag string, name string, doc string"
 EDGES = "rid long, rel_id string, src long, kind string, dst long, label string, ord int, payload string"
 TYPES = {"long": "long", "double": "double", "string": "string", "boolean": "boolean", "timestamp": "timestamp"}
@@ -249,6 +251,13 @@ class GraphStore:
         attrs = {t: to(df, "e").select("e", "a", "v") for t, df in fresh.attrs.items() if df is not None}
         return self.insert(GraphStore(self.spark, new.select(*self.nodes.columns), edges, attrs, {k: next(iter(v)) for k, v in fresh.attr_types.items()}))
 
+    def stored(self) -> GraphStore:
+        """This graph as tables in the shared folder, for many queries over a graph that was put together."""
+        attrs = {t: written(df, f"attrs-{t}") for t, df in self.attrs.items() if df is not None}
+        out = GraphStore(self.spark, written(self.nodes, "nodes"), written(self.edges, "edges"), attrs, {})
+        out._types = {k: set(v) for k, v in self.attr_types.items()}
+        return out
+
     def max_eid(self) -> int:
         """The largest id of a node or relation, -1 where there is none."""
         both = self.nodes.select(F.col("eid").alias("i")).unionByName(self.edges.select(F.col("rid").alias("i")))
