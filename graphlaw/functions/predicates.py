@@ -37,16 +37,19 @@ def corresponds(short: Column, long: Column) -> Column:
     return (F.size(a) <= F.size(b)) & (F.slice(b, F.greatest(F.size(b) - F.size(a) + 1, F.lit(1)), F.size(a)) == a)
 
 
-def link_corresponding(left: DataFrame, right: DataFrame, a: str, b: str, flipped: bool, on: list[str] | None = None) -> DataFrame:
-    """left.a corresponds to right.b (flipped: right.b to left.a), by equality with every suffix of the longer name, and of the columns on."""
+def tails(df: DataFrame, c: str) -> DataFrame:
+    """df with __tail: a row for each suffix of the name c."""
+    s = segments(F.col(c))
+    return df.withColumn("__tail", F.explode(F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: F.array_join(F.slice(s, i, F.size(s)), "."))))
+
 
-    def tails(df: DataFrame, c: str) -> DataFrame:
-        s = segments(F.col(c))
-        return df.withColumn("__tail", F.explode(F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: F.array_join(F.slice(s, i, F.size(s)), "."))))
+def whole(df: DataFrame, c: str) -> DataFrame:
+    """df with __tail: the whole name c, written as tails are."""
+    return df.withColumn("__tail", F.array_join(segments(F.col(c)), "."))
 
-    def whole(df: DataFrame, c: str) -> DataFrame:
-        return df.withColumn("__tail", F.array_join(segments(F.col(c)), "."))
 
+def link_corresponding(left: DataFrame, right: DataFrame, a: str, b: str, flipped: bool, on: list[str] | None = None) -> DataFrame:
+    """left.a corresponds to right.b (flipped: right.b to left.a), by equality with every suffix of the longer name, and of the columns on."""
     x, y = (tails(left, a), whole(right, b)) if flipped else (whole(left, a), tails(right, b))
     return x.join(y, ["__tail", *(on or [])]).drop("__tail")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from graphlaw.operators.check import law_offenders, names_of
 from graphlaw.operators.fixpoint import connected_components, reach_labels
 from graphlaw.plans.code_laws import Code, unmodelled
 from graphlaw.plans.registry import Registry
-from graphlaw.sources.shared import written
+from graphlaw.sources.shared import drop, written
 from graphlaw.sources.store import GraphStore
 
 
@@ -65,16 +67,84 @@ def uncovered_calls(store: GraphStore, reg: Registry | None = None) -> DataFrame
 def unrealized_dispatch(store: GraphStore, reg: Registry | None = None) -> DataFrame:
     """(name): authored operations with a delegation to another module that no path of calls and dispatches realizes.
 
-    Only the twins that delegations aim at travel back along the paths, not all pairs.
+    Twins stay in groups, and a dispatch between two groups is one step between hubs
+    that their members lead to and come from: nothing is listed by pairs of twins.
     """
     c = Code(store)
-    twin = c.twins
-    steps = c.pairs("dispatches-to").toDF("x", "y").join(twin.toDF("x", "src"), "x").join(twin.toDF("y", "dst"), "y").select("src", "dst")
-    paths = written(c.pairs("calls").unionByName(steps).distinct(), "paths")
-    meant = written(c.intended.select("x", "y").distinct().join(twin.toDF("x", "node"), "x").join(twin.toDF("y", "label"), "y"), "meant")
-    ends = paths.join(meant.select(F.col("label").alias("dst")), "dst", "left_semi").toDF("label", "node").select("node", "label")
-    missing = meant.join(reach_labels(ends, paths), ["node", "label"], "left_anti").select("x").distinct()
-    return names_of(store, missing)
+    groups, own, code = c.twin_groups
+    ends = lambda df: df.toDF("x", "y").join(own.toDF("x", "s"), "x").join(own.toDF("y", "t"), "y").select("s", "t").distinct()
+    at = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"))
+    turns = written(ends(c.pairs("dispatches-to")), "turns")
+    out = code.join(turns.select(F.col("s").alias("g")), "g", "left_semi").select(at("node", "b"), at("from", "g"))
+    into = code.join(turns.select(F.col("t").alias("g")), "g", "left_semi").select(at("to", "g"), at("node", "b"))
+    calls = c.pairs("calls").select(at("node", "src"), at("node", "dst"))
+    steps = reduce(lambda a, b: a.union(b), (calls, out, turns.select(at("from", "s"), at("to", "t")), into)).toDF("src", "dst")
+    goals = ends(c.intended.select("x", "y").distinct()).join(groups.toDF("s", "name"), "s")
+    found = unreached(written(goals, "goals"), written(code.select("g", at("node", "b").alias("v")), "members"), written(steps, "steps"))
+    drop(turns, own, code)
+    return found
+
+
+#: Labels times steps up to which a pivot isn't worth its rounds.
+FEW_PAIRS = 5_000_000
+
+
+def unreached(goals: DataFrame, members: DataFrame, steps: DataFrame) -> DataFrame:
+    """(name): of goals (s, t, name), those names with a goal of which some member of s has no path of one step or more to some member of t.
+
+    members (g, v), steps (src, dst), all of them tables, without repeated rows. A name whose goal fails is known, and its other goals
+    needn't be decided. First members without any step out, or in, tell; then, unless little is left,
+    what a pivot joins (all that leads to it reaches all that it leads to) is taken off, and with it the paths that pass
+    it; only for what is left labels travel back, along the steps left.
+    """
+    named = lambda df, *ids: df.select(*ids).distinct()
+    known: list[DataFrame] = []
+
+    def settle(goals: DataFrame, lost: DataFrame) -> DataFrame:
+        """The goals of names that none of the goals lost has."""
+        known.append(written(lost.select("name").distinct(), "names"))
+        return written(goals.join(known[-1], "name", "left_anti"), "goals")
+
+    def lacking(nodes: DataFrame, side: str) -> DataFrame:
+        """(s or t): groups with a member that isn't among the nodes."""
+        return members.join(named(nodes.toDF("v"), "v"), "v", "left_anti").select(F.col("g").alias(side)).distinct()
+
+    def where(goals: DataFrame, groups: DataFrame) -> DataFrame:
+        return goals.join(groups, groups.columns, "left_semi")
+
+    def names() -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b), known).distinct()
+
+    goals = settle(goals, where(goals, lacking(steps.select("src"), "s")).unionByName(where(goals, lacking(steps.select("dst"), "t"))))
+    if goals.isEmpty():
+        return names()
+    aimed = lambda: members.join(goals.select(F.col("t").alias("g")), "g", "left_semi").select(F.col("v").alias("dst")).distinct()
+    degree = lambda end: steps.groupBy(F.col(end).alias("v")).agg(F.count(F.lit(1)).alias(f"n_{end}"))
+    pivot = written(degree("src").join(degree("dst"), "v").orderBy((F.col("n_src") * F.col("n_dst")).desc(), "v").select("v").limit(1 if aimed().count() * steps.count() > FEW_PAIRS else 0), "pivot")
+    label = F.lit(True).alias("label")
+    behind = written(reach_labels(pivot.select(F.col("v").alias("node"), label), steps).select(F.col("node").alias("v")), "behind")
+    first = steps.join(pivot.toDF("src"), "src", "left_semi").select(F.col("dst").alias("node"), label)
+    ahead = written(reach_labels(first, steps.toDF("dst", "src")).select(F.col("node").alias("v")), "ahead")
+    # a member that isn't behind the pivot only has steps among such nodes, one that isn't ahead of it is only come to from such
+    stray, off = written(lacking(behind, "s"), "stray"), written(lacking(ahead, "t"), "off")
+    aside, before = steps.join(behind.toDF("src"), "src", "left_anti"), steps.join(ahead.toDF("dst"), "dst", "left_anti")
+    early, late = where(goals, off), where(goals, stray)
+    goals = written(named(early.unionByName(late), "s", "t", "name"), "goals")
+    goals = settle(goals, where(early, lacking(before.select("src"), "s")).unionByName(where(late, lacking(aside.select("dst"), "t"))))
+    if goals.isEmpty():
+        return names()
+    left = written(named(aside.select("src", "dst").unionByName(before.select("src", "dst")), "src", "dst"), "left")
+    starts = left.join(aimed(), "dst", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("label"))
+    is_in = lambda nodes, name: nodes.withColumn(name, F.lit(True))
+    own = members.join(is_in(behind, "behind"), "v", "left").join(is_in(ahead, "ahead"), "v", "left")
+    own = written(own.select("g", "v", F.col("behind").isNotNull().alias("behind"), F.col("ahead").isNotNull().alias("ahead")), "own")
+    size = own.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_if("behind").alias("nb"), F.count_if("ahead").alias("na"))
+    pairs = reach_labels(starts, left).join(own.select(F.col("g").alias("s"), F.col("v").alias("node"), "behind"), "node")
+    pairs = pairs.join(own.select(F.col("g").alias("t"), F.col("v").alias("label"), "ahead"), "label").where("not (behind and ahead)")
+    met = pairs.join(goals.select("s", "t").distinct(), ["s", "t"], "left_semi").groupBy("s", "t").agg(F.count(F.lit(1)).alias("met"))
+    done = goals.join(met, ["s", "t"], "left").join(size.select(F.col("g").alias("s"), F.col("n").alias("ns"), "nb"), "s").join(size.select(F.col("g").alias("t"), F.col("n").alias("nt"), "na"), "t")
+    known.append(done.where(F.coalesce("met", F.lit(0)) + F.col("nb") * F.col("na") < F.col("ns") * F.col("nt")).select("name").distinct())
+    return names()
 
 
 def dispatch(store: GraphStore) -> DataFrame:

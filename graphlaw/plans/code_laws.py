@@ -12,9 +12,10 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlaw.functions.predicates import link_corresponding
+from graphlaw.functions.predicates import link_corresponding, tails, whole
 from graphlaw.operators import fixpoint
 from graphlaw.plans.registry import HELD_BY
+from graphlaw.sources.shared import written
 from graphlaw.sources.store import GraphStore
 
 OPERATION, MODULE, KIND, EFFECT, SCHEMA, SUBSYSTEM = "code/Operation", "code/Module", "code/Kind", "code/Effect", "type/Schema", "code/Subsystem"
@@ -78,6 +79,19 @@ class Code:
         b = self.placed(self.side(True).toDF("b", "name"), "b", "long")
         return link_corresponding(a, b, "short", "long", False, ["name"]).select("a", "b").distinct()
 
+    @cached_property
+    def twin_groups(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(g, name), (a, g), (b, g), as tables: what is authored and what was found in code are twins if they share a group, which both sides have.
+
+        As many rows as there are operations and places, where twins are as many as their products.
+        """
+        a = whole(self.placed(self.side(False).toDF("a", "name"), "a", "short"), "short").select("a", "name", "__tail").distinct()
+        b = tails(self.placed(self.side(True).toDF("b", "name"), "b", "long"), "long").select("b", "name", "__tail").distinct()
+        key = ["name", "__tail"]
+        groups = written(a.select(key).distinct().join(b.select(key).distinct(), key).withColumn("g", F.monotonically_increasing_id()), "groups")
+        own, code = (written(df.join(groups, key).select(e, "g"), "members") for df, e in ((a, "a"), (b, "b")))
+        return groups.select("g", "name"), own, code
+
     @cached_property
     def place_pairs(self) -> DataFrame:
         """(c, k): a place of something authored and a corresponding place of something found in code."""

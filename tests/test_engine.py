@@ -8,9 +8,10 @@ from graphlaw import vocab as V
 from graphlaw.functions import dialect
 from graphlaw.operators import fixpoint, lens, probes, readings, render
 from graphlaw.operators.check import check
+from graphlaw.plans import code_laws
 from graphlaw.plans.compiler import Engine
 from graphlaw.plans.registry import Instance, Law, Ref, Registry, Slot, Structure, at_most_one, emit, has, has_any, matched_by, target
-from graphlaw.sources import extract
+from graphlaw.sources import extract, shared
 from graphlaw.sources.store import GraphStore, classify
 
 
@@ -208,6 +209,64 @@ def test_dialect_round_trip():
         dialect.parse(":strange")
 
 
+def brute_unreached(goals, members, steps):
+    """By searching from every node."""
+    after = {}
+    for a, b in steps:
+        after.setdefault(a, set()).add(b)
+    seen = {}
+    for v in {v for _, v in members}:
+        found, left = set(), [v]
+        while left:
+            left = [b for a in left for b in after.get(a, ()) if b not in found and not found.add(b)]
+        seen[v] = found
+    of = lambda g: {v for h, v in members if h == g}
+    return sorted({(n,) for s, t, n in goals if any(not of(t) <= seen[v] for v in of(s))})
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_goals_between_groups_equal_brute_force(spark, monkeypatch, few):
+    """Members of several groups, circles, ways past the pivot, goals from a group to itself."""
+    import random
+
+    monkeypatch.setattr(readings, "FEW_PAIRS", few)
+    rng = random.Random(1)
+    core, early, late = range(30), range(30, 60), range(60, 90)
+    steps = {(a, rng.choice(core)) for a in (*core, *core, *early)} | {(rng.choice(core), b) for b in (*core, *late)}
+    steps |= {(a, rng.choice(early)) for a in early} | {(rng.choice(late), b) for b in late} | {(a, rng.choice(late)) for a in (*early, *late)}
+    # a circle that nothing joins to the rest, a way past the core
+    steps |= {(90, 91), (91, 92), (92, 90), (93, 30), (93, 94), (94, 93)}
+    members = {(g, rng.randrange(95)) for g in range(60) for _ in range(rng.randrange(1, 4))} | {(60, 90), (60, 91), (61, 92), (62, 93), (63, 94)}
+    goals = {(rng.randrange(64), rng.randrange(64)) for _ in range(150)} | {(60, 61), (61, 60), (60, 60), (60, 62), (62, 63), (63, 61)}
+    goals = sorted((s, t, f"n{i}") for i, (s, t) in enumerate(sorted(goals)))
+    frames = [spark.createDataFrame(list(rows), cols) for rows, cols in ((goals, "s long, t long, name string"), (members, "g long, v long"), (steps, "src long, dst long"))]
+    want = brute_unreached(goals, members, steps)
+    assert rows(readings.unreached(*frames)) == want and 20 < len(want) < len(goals) - 20
+
+
+def test_dispatch_lists_no_pairs_of_twins(spark, reg, monkeypatch):
+    """Forty operations of one name on either side: tables grow with operations, not with pairs of twins."""
+    sizes = []
+    put = shared.written
+
+    def counted(df, name="table"):
+        out = put(df, name)
+        sizes.append(out.count())
+        return out
+
+    for m in (readings, code_laws, fixpoint):
+        monkeypatch.setattr(m, "written", counted, raising=False)
+    monkeypatch.setattr(readings, "FEW_PAIRS", 0, raising=False)
+    n, one = 40, []
+    for side, found in (("c", False), ("z.c", True)):
+        for m in ("x", "y"):
+            one.append(module(f"{side}.{m}", *(f"{side}.{m}{i}/{m}" for i in range(n)), extracted=True) if found else module(f"{side}.{m}", *(f"{side}.{m}{i}/{m}" for i in range(n))))
+        one += [op("y", f"{side}.y{i}", **({"extracted": True} if found else {})) for i in range(n)]
+        one += [op("x", f"{side}.x{i}", **({"extracted": True} if found else {"delegates": [Ref(f"c.y{i}/y")], "dispatches_to": [Ref(f"c.y{i}/y")]})) for i in range(n)]
+    assert rows(readings.unrealized_dispatch(store_of(spark, reg, *one), reg)) == []
+    assert max(sizes) <= 8 * n
+
+
 # the shipped vocabulary
 
 def op(name, module="", **fields):
