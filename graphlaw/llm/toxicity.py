@@ -28,6 +28,8 @@ from graphlaw.llm.common import drop, text_of, written
 ROWS_A_CLASS, MAX_FEATURES, MAX_VOTERS = 3000, 3000, 160
 #: Texts of the sample that a feature must be in; standard errors that a voter's feature must be off by.
 LEAST_SEEN, SURE = 4, 4.0
+#: Numbers that incidence packs; highest byte first, so they sort as they are.
+PLACE = np.dtype(">i4")
 #: How often a given label is taken to be right.
 LABEL_TRUST = 0.97
 #: Characters of a word's beginning that are features of their own.
@@ -199,15 +201,18 @@ def feature_counts(sample: DataFrame) -> DataFrame:
 
 
 def incidence(sample: DataFrame, names: list[str]) -> list:
-    """Rows (y, half, has): which of the named features each text of the sample has, by their places in names; in the order of the keys' hashes."""
+    """Rows (y, half, has): which of the named features each text of the sample has, by their places in names, as PLACE numbers; in the order of the keys' hashes.
+
+    has is packed, since the driver would hold each number of a list as an object, in the JVM and in Python.
+    """
     index = {n: i for i, n in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            has = [sorted(index[f] for f in features_of(t) if f in index) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), batch.column("half"), pa.array(has, pa.list_(pa.int32()))], names=["h", "y", "half", "has"])
+            has = [np.array(sorted(index[f] for f in features_of(t) if f in index), PLACE).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), batch.column("half"), pa.array(has, pa.binary())], names=["h", "y", "half", "has"])
 
-    rows = sample.withColumn("h", F.xxhash64("key")).select("h", "y", "half", "text").mapInArrow(run, "h long, y int, half int, has array<int>")
+    rows = sample.withColumn("h", F.xxhash64("key")).select("h", "y", "half", "text").mapInArrow(run, "h long, y int, half int, has binary")
     return sorted(rows.collect(), key=lambda r: (r["h"], r["y"], r["has"]))
 
 
@@ -255,8 +260,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
 
     index = {n: i for i, n in enumerate(names)}
     y, half = (np.array([r[c] for r in rows]) for c in ("y", "half"))
-    cols = np.concatenate([np.array(r["has"], np.int64) for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r["has"]) for r in rows])
+    cols = np.frombuffer(b"".join(r["has"] for r in rows), PLACE).astype(np.int64)
+    row = np.repeat(np.arange(len(rows)), [len(r["has"]) // PLACE.itemsize for r in rows])
 
     def has(features: list[str]) -> np.ndarray:
         """How many of the features each text has."""
@@ -272,12 +277,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     voters: dict[str, np.ndarray] = {}
     for sign, name, lists in ((1, "lexicon", lexicons), (-1, "clean", clean)):
         for f in sorted({*lists[0], *lists[1]}):
-            voters[f"{name}:{f}"] = sign * (fair([[f] if f in x else [] for x in lists]) > 0)
+            voters[f"{name}:{f}"] = (sign * (fair([[f] if f in x else [] for x in lists]) > 0)).astype(np.int8)
     for i in range(8):
         n = fair([x[i::8] for x in lexicons])
         voters |= {f"any:group{i}": (n > 0) * 1, f"two:group{i}": (n > 1) * 1, f"none:group{i}": (n == 0) * -1}
     voters |= {"insult": 2 * has(["!insult"]) - 1} | {p: has([f"!{p}"]) for p in PATTERNS}
-    votes = np.stack(list(voters.values()), 1).astype(np.int8)
+    votes = np.stack([v.astype(np.int8) for v in voters.values()], 1)
     balanced = of(1, 0, 1) / max(1, len(rows)) if learned else prior
     model = LabelModel(min(0.95, max(0.02, balanced))).fit(votes, y if learned else None)
     q = model.q

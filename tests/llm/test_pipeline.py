@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline as P
 from graphlaw.llm import toxicity
 from graphlaw.llm.mix import mixed_documents
+from graphlaw.sources import shared
 from tests.conftest import DATA
 from tests.llm.cases import frame
 from tests.llm.test_decontaminate_omh import brute_leaks
@@ -82,3 +83,14 @@ def test_awkward_and_empty(spark):
     odd = frame(spark, extra=True)
     out = mixed_documents(odd, block=16)
     assert out.columns == odd.columns and out.count() > 0
+
+
+def test_the_drivers_heap_is_given_back_between_tables(spark, monkeypatch):
+    gateway, runtime = spark.sparkContext._gateway, spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    ballast = gateway.jvm.java.nio.ByteBuffer.allocate(1_000_000_000)
+    grown = runtime.totalMemory()
+    gateway.detach(ballast)
+    monkeypatch.setattr(shared, "HEAP_SHARE", 0.1, raising=False)
+    assert grown > 0.1 * runtime.maxMemory()
+    assert P.written(spark.range(3), "test").count() == 3
+    assert runtime.totalMemory() < grown - 400_000_000

@@ -41,6 +41,16 @@ def test_label_model_finds_accuracies_and_shares_say():
     assert model.say[2] < 0.5 < 0.9 < model.say[0]
 
 
+def test_op1_incidence_reaches_the_driver_packed(spark):
+    texts = ["you idiot", "", "a calm day, a calm sea", "idiot sea " * 50]
+    rows = [(i, i % 2, -1, t) for i, t in enumerate(texts)]
+    names = sorted({f for t in texts for f in toxicity.features_of(t)}) + ["never"]
+    got = toxicity.incidence(spark.createDataFrame(rows, "key long, y int, half int, text string"), names)
+    assert all(isinstance(r["has"], bytes | bytearray) for r in got)
+    has = Counter((r["y"], tuple(np.frombuffer(bytes(r["has"]), toxicity.PLACE).tolist())) for r in got)
+    assert has == Counter((y, tuple(i for i, n in enumerate(names) if n in toxicity.features_of(t))) for _, y, _, t in rows)
+
+
 def test_op1_held_out_accuracy(spark):
     rows = corpus(1500)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], COLUMNS)
